@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from quernel.shipping import ship
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,4 +29,5 @@ def local_session(cpus: int | None = None, shuffle: int = 8, memory: str = "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
