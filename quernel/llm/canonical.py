@@ -18,10 +18,25 @@ _APOSTROPHE = re.compile("['’‘‛]")
 _LOOSE = re.compile(r"(?<!\d)[,;:]+|[,;:]+(?!\d)|(?<![^\W_])[.]+|[.]+(?![^\W_])|(?<![^\W_])[–—―]+|[–—―]+(?![^\W_])")
 _SPACE = re.compile(r"\s+")
 _TIGHT = re.compile(r" ?([/+=<>*|&%()\[\]{}^~\\]) ?")
+_BULLET = re.compile(r"\s*[-*>•]\s+")
+_WRAPS = {"(": ")", "[": "]", "*": "*", "_": "_"}
 _ENTRY = re.compile(r"\s*[^\W\d_]+(?:[ \t\r\n'’-]+[^\W\d_]+){0,4}\s*:(?!//)")
 SEPARATORS = (";", "|", "/", "\n")
 
 
+def _bare(s: str) -> str:
+    """The text without what is put around the whole of it: a list or quote mark before it, a pair of brackets or stars."""
+    while True:
+        s = s.strip()
+        m = _BULLET.match(s)
+        if m:
+            s = s[m.end() :]
+        elif len(s) > 1 and _WRAPS.get(s[0]) == s[-1] and not ({s[0], s[-1]} & set(s[1:-1])):
+            s = s[1:-1]
+        else:
+            return s
+
+
 def _fragment(s: str) -> str:
     s = _SPACE.sub(" ", s)
     while (t := _LOOSE.sub(" ", s)) != s:  # what stands beside dropped punctuation is loose too
@@ -53,14 +68,16 @@ def question_key(text: str | None) -> str | None:
     """The text without what is mere form.
 
     Whitespace, invisible characters, letter case and punctuation are levelled,
-    and ``field: value`` entries are put in order. Signs, operators, brackets
-    and punctuation inside numbers, dates and codes stay. Null stays null; an
+    ``field: value`` entries are put in order, and marks that stand before or
+    around the whole text (as in ``- text``, ``> text``, ``(text)``, ``*text*``) go.
+    Signs, operators and brackets within it and punctuation inside numbers,
+    dates and codes stay. Null stays null; an
     empty or blank text has the key ''.
     """
     if text is None:
         return None
     s = unicodedata.normalize("NFC", text.translate(_TABLE)).casefold()
-    s = _APOSTROPHE.sub("", _DROP.sub(" ", s))
+    s = _bare(_APOSTROPHE.sub("", _DROP.sub(" ", s)))
     entries = _entries(s)
     if entries is None:
         return _fragment(s)

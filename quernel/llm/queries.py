@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, digest, duplicates, packing
+from quernel.llm import bpe, digest, duplicates, language, packing
 from quernel.sources import read_table
 
 # -- 3: duplicates hidden by formatting ---------------------------------------
@@ -25,6 +25,30 @@ def p3_representatives(spark: SparkSession, base: str) -> DataFrame:
     return rows.withColumnRenamed("first_id", "first_run_id")
 
 
+# -- 4: languages -------------------------------------------------------------
+
+
+def _languages(spark: SparkSession, base: str) -> DataFrame:
+    runs = read_table(spark, base, "audit_runs").select("run_id", "question", "question_lang")
+    profiles = language.fit_on(runs, "question", "question_lang")
+    return language.detect(runs.dropDuplicates(["run_id"]), "question", profiles)
+
+
+def p4_languages(spark: SparkSession, base: str) -> DataFrame:
+    """Every stretch of every question, with language and confidence."""
+    rows = _languages(spark, base).select("run_id", F.posexplode("stretches").alias("at", "s"))
+    return rows.select("run_id", (F.col("at") + 1).alias("seg"), "s.lang", "s.confidence", "s.start", "s.stop")
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Stretches of the questions that are mixed or whose label is missing or wrong."""
+    rows = _languages(spark, base).withColumn("label", language.label_language("question_lang"))
+    mixed = F.size("stretches") > 1
+    unlike = F.col("label").isNull() | (F.col("label") != F.col("stretches")[0]["lang"])
+    cases = rows.where((F.size("stretches") > 0) & (mixed | unlike)).select("run_id", F.posexplode("stretches").alias("at", "s"))
+    return cases.select("run_id", (F.col("at") + 1).alias("seg"), "s.lang")
+
+
 # -- 5: percentiles -----------------------------------------------------------
 
 OUTCOME = ["model", "runtime_outcome"]
@@ -91,6 +115,6 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_representatives, p5_percentiles, p5_daily_digests, p5_certificates, p8_ids, p9_containers, p9_fill)
+    for f in (p3_found, p3_representatives, p4_found, p4_languages, p5_percentiles, p5_daily_digests, p5_certificates, p8_ids, p9_containers, p9_fill)
 }
 SQL = P5_SQL

@@ -15,14 +15,18 @@ SAME = [
     ("measure: x | group: z", "group: z\nmeasure: x"),
     ("only above: 40; a: b", "a: b;  only\nabove :40"),
     ("l’importo", "l'importo"),
+    ("> list it", "- List it!"),
+    ("(list it)", "*list it*"),
+    ("(a: 1; b: 2)", "b: 2 | a: 1"),
 ]
 OTHER = [
     ("above -5", "above 5"),
     ("a > b", "a < b"),
-    ("> list it", "list it"),
-    ("- list it", "list it"),
-    ("(list it)", "list it"),
-    ("[x]", "x"),
+    ("list (it)", "list it"),
+    ("(a) or (b)", "a or b"),
+    ("a - b", "a b"),
+    ("a * b", "a b"),
+    ("-5 or more", "5 or more"),
     ("12.5", "125"),
     ("2025-12-01", "2025 12 01"),
     ("build 4.15.615", "build 415615"),
