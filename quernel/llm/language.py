@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.canonical import _INVISIBLE
+from quernel.llm.sampling import bounded_sample
 
 #: Labelled rows that profiles are fitted on at most, taken in the order of a hash.
 SAMPLE_ROWS = 20_000
@@ -223,10 +224,9 @@ def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROU
 
 def fit_on(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles fitted on at most ``sample_rows`` distinct labelled texts, in the order of their hash."""
-    pairs = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text is not null and label is not null").distinct()
-    sample = pairs.orderBy(F.xxhash64("text", "label")).limit(sample_rows).collect()
-    rows = [(r["text"], lang) for r in sorted(sample) if (lang := read_label(r["label"])) in NAMES]
-    return fit(rows)
+    pairs = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text is not null and label is not null")
+    sample = bounded_sample(pairs, sample_rows)
+    return fit([(r["text"], lang) for r in sample if (lang := read_label(r["label"])) in NAMES])
 
 
 SEGMENTS = "array<struct<lang string, confidence double, start int, stop int, n_words int>>"
@@ -236,7 +236,8 @@ def detect(df: DataFrame, text: str, profiles: Profiles, column: str = "stretche
     """``df`` with an array of the stretches of each text: language, confidence, start, end and number of words.
 
     Positions count in the text without invisible characters. A null, empty or
-    wordless text has an empty array.
+    wordless text has an empty array. (The function is marked nondeterministic
+    so that filters on its result don't evaluate it twice.)
     """
     held = df.sparkSession.sparkContext.broadcast(profiles)  # bounded by languages x PROFILE_SIZE
 
@@ -257,7 +258,7 @@ def detect(df: DataFrame, text: str, profiles: Profiles, column: str = "stretche
                 out.append(got)
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn(column, run(F.col(f"`{text}`")))
+    return df.withColumn(column, run.asNondeterministic()(F.col(f"`{text}`")))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, digest, duplicates, language, packing
+from quernel.llm import bpe, digest, duplicates, language, packing, pii
 from quernel.sources import read_table
 
 # -- 3: duplicates hidden by formatting ---------------------------------------
@@ -85,6 +85,40 @@ FROM runs, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS
 WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v > 0 GROUP BY model, runtime_outcome, percentile"""
 }
 
+# -- 6: personal information --------------------------------------------------
+
+
+def _texts(spark: SparkSession, base: str) -> DataFrame:
+    """record_table, record_id, text of every question and description, each record once."""
+    runs = read_table(spark, base, "audit_runs").select(F.lit("audit_runs").alias("record_table"), F.col("run_id").alias("record_id"), F.col("question").alias("text"))
+    reports = read_table(spark, base, "reports").select(F.lit("reports").alias("record_table"), F.col("id").alias("record_id"), F.col("description").alias("text"))
+    return runs.unionByName(reports).dropDuplicates(["record_table", "record_id"])
+
+
+def _field(spark: SparkSession, base: str) -> pii.Field:
+    return pii.fit_on([read_table(spark, base, "audit_runs").select("question"), read_table(spark, base, "reports").select("description")])
+
+
+def _numbered(kind: str) -> Column:
+    """array<struct<kind, n>>: the occurrences of one kind, numbered from 1."""
+    n = F.size(F.filter("found", lambda x: x["kind"] == kind))
+    some = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("n")))
+    return F.when(n > 0, some).otherwise(F.array().cast("array<struct<kind:string,n:int>>"))
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Each occurrence of personal information, numbered by record and kind."""
+    rows = pii.find(_texts(spark, base), "text", _field(spark, base))
+    numbered = [_numbered(kind) for kind in pii.KINDS]
+    return rows.select("record_table", "record_id", F.explode(F.concat(*numbered)).alias("x")).select("record_table", "record_id", "x.kind", "x.n")
+
+
+def p6_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every question and description with typed placeholders."""
+    rows = pii.redact(_texts(spark, base), "text", _field(spark, base))
+    return rows.select("record_table", "record_id", F.col("redacted").alias("text"))
+
+
 # -- 8: token ids -------------------------------------------------------------
 
 
@@ -115,6 +149,6 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_representatives, p4_found, p4_languages, p5_percentiles, p5_daily_digests, p5_certificates, p8_ids, p9_containers, p9_fill)
+    for f in (p3_found, p3_representatives, p4_found, p4_languages, p5_percentiles, p5_daily_digests, p5_certificates, p6_found, p6_redacted, p8_ids, p9_containers, p9_fill)
 }
 SQL = P5_SQL
