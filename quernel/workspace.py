@@ -45,3 +45,14 @@ def _remove(spark: SparkSession, app: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # the session has ended; the cluster cleans its own folder
         pass
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned by keys (or evenly) into enough parts for work that costs far more than its bytes.
+
+    The number is explicit, so that adaptive execution doesn't join small parts
+    again; grouping by the keys afterwards needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
