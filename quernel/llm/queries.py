@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, digest, duplicates, language, packing, pii
+from quernel.llm import bpe, digest, duplicates, language, packing, pii, subjects
 from quernel.sources import read_table
+from quernel.workspace import spread
 
 # -- 3: duplicates hidden by formatting ---------------------------------------
 
@@ -31,7 +32,7 @@ def p3_representatives(spark: SparkSession, base: str) -> DataFrame:
 def _languages(spark: SparkSession, base: str) -> DataFrame:
     runs = read_table(spark, base, "audit_runs").select("run_id", "question", "question_lang")
     profiles = language.fit_on(runs, "question", "question_lang")
-    return language.detect(runs.dropDuplicates(["run_id"]), "question", profiles)
+    return language.detect(spread(runs, "run_id").dropDuplicates(["run_id"]), "question", profiles)
 
 
 def p4_languages(spark: SparkSession, base: str) -> DataFrame:
@@ -92,7 +93,7 @@ def _texts(spark: SparkSession, base: str) -> DataFrame:
     """record_table, record_id, text of every question and description, each record once."""
     runs = read_table(spark, base, "audit_runs").select(F.lit("audit_runs").alias("record_table"), F.col("run_id").alias("record_id"), F.col("question").alias("text"))
     reports = read_table(spark, base, "reports").select(F.lit("reports").alias("record_table"), F.col("id").alias("record_id"), F.col("description").alias("text"))
-    return runs.unionByName(reports).dropDuplicates(["record_table", "record_id"])
+    return spread(runs.unionByName(reports), "record_table", "record_id").dropDuplicates(["record_table", "record_id"])
 
 
 def _field(spark: SparkSession, base: str) -> pii.Field:
@@ -147,8 +148,31 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill(_packed(spark, base), CAPACITY)
 
 
+# -- 10: subjects -------------------------------------------------------------
+
+
+def _subjects(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents").select("doc_id", "text", "lang")
+    labels, areas = read_table(spark, base, "subject_labels"), read_table(spark, base, "subject_areas")
+    topics = subjects.fit(docs, "doc_id", "text", labels, areas, language.label_language("lang"))
+    return subjects.assign(spread(docs), "text", topics)
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """The subjects that at least a fifth of a document's sentences are about."""
+    return _subjects(spark, base).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    """How much of the corpus each subject makes up: documents, and their share."""
+    rows = _subjects(spark, base).withColumn("has", F.size("subjects") > 0)
+    total = rows.groupBy().agg(F.count(F.when(F.col("has"), 1)).alias("total"))
+    each = rows.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+    return each.join(F.broadcast(total)).select("subject", "n_documents", (F.col("n_documents") / F.col("total")).alias("share"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_representatives, p4_found, p4_languages, p5_percentiles, p5_daily_digests, p5_certificates, p6_found, p6_redacted, p8_ids, p9_containers, p9_fill)
+    for f in (p3_found, p3_representatives, p4_found, p4_languages, p5_percentiles, p5_daily_digests, p5_certificates, p6_found, p6_redacted, p8_ids, p9_containers, p9_fill, p10_found, p10_composition)
 }
 SQL = P5_SQL
