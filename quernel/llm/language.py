@@ -29,7 +29,7 @@ from quernel.llm.canonical import _INVISIBLE
 from quernel.llm.sampling import bounded_sample
 
 #: Labelled rows that profiles are fitted on at most, taken in the order of a hash.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8000
 PROFILE_SIZE = 3000
 GRAMS = (1, 2, 3, 4, 5)
 ROUNDS = 3
