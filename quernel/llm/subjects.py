@@ -40,6 +40,10 @@ TELLING = 0.35
 #: (such as a language) of at least so many documents.
 GENERAL = 0.08
 GROUP_DOCUMENTS = 25
+#: Terms that tell less than this are not looked at in sentences.
+LEAST_TELLING = 0.02
+#: Documents whose rows of V are held at a time.
+AT_ONCE = 500
 #: A subject belongs to a document if at least this share of its sentences is about it.
 SHARE = 0.2
 #: Least evidence, in terms, and least lead for a sentence to be about a subject.
@@ -129,62 +133,59 @@ class Topics:
     """Fitted components: rows of H (subjects first, then the background) over a vocabulary."""
 
     def __init__(self, subjects: list[str], vocab: list[str], h: np.ndarray) -> None:
-        self.subjects, self.h = subjects, h
-        self.index = {t: i for i, t in enumerate(vocab)}
-
-    def ids(self, counts: dict[str, int]) -> tuple[list[int], list[int]]:
-        some = [(i, n) for t, n in counts.items() if (i := self.index.get(t)) is not None]
-        return [i for i, _ in some], [n for _, n in some]
-
-    def mixture(self, text: str) -> np.ndarray:
-        """The share of each subject in a document; zeros if no term is known."""
-        i, n = self.ids(document_terms(text))
-        w = solve_w(Batch([i], [n]), self.h)[0, : len(self.subjects)]
-        return w / w.sum() if w.sum() > 0 else w
+        """Keeps the terms that tell something: a term of the background alone, or that all subjects use alike, moves no mixture of subjects."""
+        self.subjects = subjects
+        k = len(subjects)
+        p = h[:k] + 1e-9
+        if p.size:
+            p = p / p.sum(axis=0)
+            entropy = -(p * np.log(p)).sum(axis=0) / np.log(max(k, 2))
+            telling = np.clip(1 - entropy, 0, 1) ** 2
+        else:
+            telling = np.zeros(h.shape[1])
+        keep = np.flatnonzero(telling > LEAST_TELLING)
+        self.h, self.telling = h[:, keep], telling[keep]
+        self.spread = (h[:k, keep] + 1e-9) / np.maximum(h[:k, keep].max(axis=0, initial=0) if keep.size else 1, 1e-12)
+        self.index = {vocab[i]: n for n, i in enumerate(keep)}
+
+    def _ids(self, text: str) -> list[int]:
+        at = self.index
+        return [i for t in terms(text) if (i := at.get(t)) is not None]
 
     def sentence_subjects(self, text: str) -> list[int | None]:
         """The subject of each sentence; None for one about no subject."""
         parts = sentences(text)
-        if not parts:
-            return []
+        if not parts or not self.index:
+            return [None] * len(parts)
         k = len(self.subjects)
-        rows = []
-        for p in parts:
-            counts: dict[str, int] = {}
-            for t in terms(p):
-                counts[t] = 1
-            rows.append(self.ids(counts))
-        mix = self.mixture(text)
-        prior = 0.7 * mix + 0.3 / k
+        rows = [self._ids(p) for p in parts]
+        counts: dict[int, int] = {}
+        for some in (*rows, *(self._ids(c) for c in _FENCE.findall(text))):
+            for i in some:
+                counts[i] = counts.get(i, 0) + 1
+        if not counts:
+            return [None] * len(parts)
+        mix = solve_w(Batch([list(counts)], [list(counts.values())]), self.h)[0, :k]
+        prior = 0.7 * mix / max(mix.sum(), 1e-12) + 0.3 / k
         out: list[int | None] = []
-        for i, _ in rows:
-            if not i:
-                out.append(None)
-                continue
-            h = self.h[:k, i] / self.peak[i]  # how a term's weight is spread over the subjects
-            share = h * prior[:, None]
-            share /= np.maximum(share.sum(axis=0), 1e-12)
-            telling = self.telling[i]
-            score = (share * telling).sum(axis=1)
-            out.append(int(score.argmax()) if score.max() >= EVIDENCE else None)
+        known: dict[tuple[int, ...], int | None] = {}
+        for some in rows:
+            key = tuple(sorted(set(some)))
+            if key not in known:
+                known[key] = self._about(key, prior) if key else None
+            out.append(known[key])
         return out
 
-    def prepare(self) -> Topics:
-        """Derives how telling each term is: 1 if one subject alone uses it, 0 if all do alike."""
-        k = len(self.subjects)
-        h = self.h[:k] + 1e-9
-        if not h.size:
-            self.telling = self.peak = np.zeros(h.shape[1])
-            return self
-        p = h / h.sum(axis=0)
-        entropy = -(p * np.log(p)).sum(axis=0) / np.log(max(k, 2))
-        self.telling = np.clip(1 - entropy, 0, 1) ** 2
-        self.peak = np.maximum(h.max(axis=0), 1e-12)
-        return self
+    def _about(self, ids: tuple[int, ...], prior: np.ndarray) -> int | None:
+        i = list(ids)
+        share = self.spread[:, i] * prior[:, None]
+        score = (share / np.maximum(share.sum(axis=0), 1e-12)) @ self.telling[i]
+        best = int(score.argmax())
+        return best if score[best] >= EVIDENCE else None
 
     def document_subjects(self, text: str | None, share: float = SHARE) -> list[str]:
         """The subjects that at least ``share`` of a text's sentences are about; none for a text without words."""
-        if not text or not self.index:
+        if not text:
             return []
         some = [s for s in self.sentence_subjects(text) if s is not None]
         return [self.subjects[s] for s in sorted(set(some)) if some.count(s) >= share * len(some)]
@@ -211,8 +212,9 @@ def _summed(rows: DataFrame, run, n: int) -> np.ndarray:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            m = run(pdf)
-            total = m if total is None else total + m
+            for i in range(0, len(pdf), AT_ONCE):
+                m = run(pdf.iloc[i : i + AT_ONCE])
+                total = m if total is None else total + m
         if total is not None:
             k, t = np.nonzero(total)
             yield pd.DataFrame({"k": k, "t": t, "v": total[k, t]})
@@ -242,7 +244,7 @@ def _seeded(documents: np.ndarray, general: np.ndarray, k: int) -> np.ndarray:
     h[:k] = np.where(telling, np.where(share > TELLING / 2, rate * share, 0), 0)
     h[:k] += np.where(decided, 0, 0.02 / documents.shape[1] + 0.5 * rate * share)
     h[k] = np.where(telling, 0, documents[k + 1])
-    h[k] = np.where(decided, h[k], 0.2 * h[k])
+    h[k] = np.where(decided, h[k], 0.05 * h[k])
     return h / np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
 
 
@@ -267,7 +269,7 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFram
     counted = materialise(term_counts(spread(docs), key, text, group if group is not None else F.lit(None).cast("string")), "terms")
     vocab = vocabulary(counted)
     if not vocab or not subjects:
-        return Topics(subjects, [], np.zeros((len(subjects) + 1, 0))).prepare()
+        return Topics(subjects, [], np.zeros((len(subjects) + 1, 0)))
     rows = _indexed(counted, vocab, labels, subjects)
     k, v = len(subjects), len(vocab)
     index = {t: i for i, t in enumerate(vocab)}
@@ -291,12 +293,22 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFram
             if t in index:
                 h[j, index[t]] += 1.0 / v
     h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
+    # Terms of the background alone stay so and move no mixture of subjects: the updates can do without them.
+    keep = np.flatnonzero(h[:k].sum(axis=0))
+    place = np.full(v, -1)
+    place[keep] = np.arange(len(keep))
+    h = h[:, keep] / np.maximum(h[:, keep].sum(axis=1, keepdims=True), 1e-12)
+    v = len(keep)
+
+    def kept(pdf: pd.DataFrame) -> Batch:
+        ids = [place[np.asarray(t, np.int64)] if len(t) else np.zeros(0, np.int64) for t in pdf["ids"]]
+        return Batch([t[t >= 0] for t in ids], [np.asarray(c)[t >= 0] for t, c in zip(ids, pdf["counts"], strict=True)])
+
     for update in range(UPDATES):
         held = rows.sparkSession.sparkContext.broadcast(h)
 
         def step(pdf: pd.DataFrame, anchored: bool = update < ANCHORED, held=held) -> np.ndarray:
-            b = Batch(list(pdf["ids"]), list(pdf["counts"]))
-            f = flags(pdf)
+            b, f = kept(pdf), flags(pdf)
             allowed = np.ones((len(pdf), k + 1))
             if anchored:
                 some = f.any(axis=1)
@@ -307,7 +319,7 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, areas: DataFram
         h = h * pad(_summed(rows, step, k + 1))
         h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
         held.unpersist()
-    return Topics(subjects, vocab, h).prepare()
+    return Topics(subjects, [vocab[i] for i in keep], h)
 
 
 def assign(df: DataFrame, text: str, topics: Topics, column: str = "subjects") -> DataFrame:
