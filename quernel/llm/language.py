@@ -73,15 +73,16 @@ def read_label(label: str | None) -> str | None:
     return _BY_NAME.get(head, head)
 
 
-# What holds no words: addresses of mails and pages, and anything with a digit or a sign inside.
-_CODE = re.compile(r"\S*[@#\\=<>]\S*|\bhttps?:\S+|\S*\d\S*|\b\w+(?:[._]\w+)+\b|\b\w*_\w*\b")
+# What holds no words: pieces between spaces that are addresses of mails or pages, or hold a digit or a sign inside.
+_PIECE = re.compile(r"\S+")
+_CODED = re.compile(r"[@#\\=<>\d_]|\w\.\w|https?:")
 _WORD = re.compile(r"[^\W\d_]+['’]?")
 _CLAUSE = re.compile(r"[.?!;:…|/\n–—()\"“”«»？]")
 
 
 def words(text: str) -> list[tuple[str, int, int, int]]:
     """(word in lower case, start, end, change) of the text; change tells what lies before: 0 nothing, 1 a comma, 2 a clause's end or code."""
-    plain = _CODE.sub(lambda m: "\x00" * len(m[0]), text)
+    plain = _PIECE.sub(lambda m: "\x00" * len(m[0]) if _CODED.search(m[0]) else m[0], text)
     out = []
     end = 0
     for m in _WORD.finditer(plain):

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quernel.workspace import materialise
 
 OPEN_BINS = 256
+#: Items of size 0 that wait for a closed bin to go into, at most.
+WAITING = 10_000
 #: Bins left open that one task packs again.
 BINS_PER_TASK = 200_000
 PACKED = "container long, item long, piece int, start long, size long, open boolean"
@@ -34,12 +36,15 @@ class BestFit:
         self.bits = 0
         self.n_open = 0
         self.next_bin = 0
+        self.closed: int | None = None  # a bin that is closed for good
 
     def _hold(self, free: int, bin_no: int) -> None:
         if free:
             self.free.setdefault(free, []).append(bin_no)
             self.bits |= 1 << free
             self.n_open += 1
+        else:
+            self.closed = bin_no
 
     def _take(self, free: int) -> int:
         bins = self.free[free]
@@ -54,6 +59,11 @@ class BestFit:
         self.next_bin += 1
         return self.next_bin - 1
 
+    def full_bin(self) -> int:
+        """A new bin that is closed at once."""
+        self.closed = self.new_bin()
+        return self.closed
+
     def place(self, size: int) -> int:
         """The bin of an item of at most the capacity."""
         fitting = self.bits >> size
@@ -62,7 +72,7 @@ class BestFit:
             bin_no = self._take(free)
         else:
             if self.n_open >= self.open_bins:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.closed = self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             bin_no, free = self.new_bin(), self.capacity
         self._hold(free - size, bin_no)
         return bin_no
@@ -76,18 +86,32 @@ def _pack(capacity: int, open_bins: int):
         part = TaskContext.get().partitionId()
         packer = BestFit(capacity, open_bins)
         held: list[tuple] = []  # rows of bins that may still be open
+        waiting: list[int] = []  # items of size 0
         for pdf in batches:
+            out: list[tuple] = []
             for item, size in zip(pdf["item"].tolist(), pdf["size"].tolist(), strict=True):
+                if size == 0:
+                    waiting.append(item)
+                    continue
                 piece, start = 0, 0
                 while size - start > capacity:
-                    held.append((packer.new_bin(), item, piece, start, capacity))
+                    out.append((packer.full_bin(), item, piece, start, capacity))
                     piece, start = piece + 1, start + capacity
                 held.append((packer.place(size - start), item, piece, start, size - start))
+            if waiting and (packer.closed is not None or len(waiting) > WAITING):
+                home = packer.closed if packer.closed is not None else packer.full_bin()
+                out += [(home, item, 0, 0, 0) for item in waiting]
+                waiting = []
             still = packer.still_open()
-            out = [r for r in held if r[0] not in still]
+            out += [r for r in held if r[0] not in still]
             held = [r for r in held if r[0] in still]
             yield _frame(out, part, False)
-        yield _frame(held, part, True)
+        if waiting:
+            home = packer.place(0)
+            held += [(home, item, 0, 0, 0) for item in waiting]
+        still = packer.still_open()
+        yield _frame([r for r in held if r[0] not in still], part, False)
+        yield _frame([r for r in held if r[0] in still], part, True)
 
     def _frame(rows: list[tuple], part: int, is_open: bool) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=["container", "item", "piece", "start", "size"])
@@ -102,7 +126,7 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, open_bins: int = OP
 
     Only an item larger than the capacity is split: into full containers and a
     rest, which is packed as an item. Items of size 0 or null take no space but
-    have a container. Items are ordered by id first, so results repeat. Repeated ids are separate
+    have a container, as a rule one closed before. Items are ordered by id first, so results repeat. Repeated ids are separate
     items; null ids too. An empty input gives no rows.
     """
     if capacity < 1:

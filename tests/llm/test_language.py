@@ -58,3 +58,9 @@ def test_table(spark, profiles):
     fitted = L.fit_on(spark.createDataFrame([(t, lang.upper()) for lang, ts in TEXTS.items() for t in ts], "t string, l string"), "t", "l")
     assert fitted.stretches(TEXTS["pt"][1])[0][0] == "pt"
     assert L.fit_on(df.where("false"), "q", "lang").stretches("any text") == []
+
+
+def test_unbroken_text(profiles):
+    assert len(profiles.stretches("x" * 300_000)) <= 1
+    assert profiles.stretches("1" * 300_000) == []
+    assert [s[0] for s in profiles.stretches("a=" * 100_000 + " " + TEXTS["de"][2])] == ["de"]

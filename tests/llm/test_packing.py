@@ -45,3 +45,12 @@ def test_edges(spark):
     assert (f["n_containers"], f["n_tokens"], f["least"]) == (4, 38, 4)
     with pytest.raises(ValueError):
         pack(df, "doc", "n", 0)
+
+
+def test_many_empty_items(spark):
+    df = spark.range(50_000).selectExpr("id as doc", "if(id % 1000 = 0, 7, 0) as n")
+    for some, n_items, total in ((df, 50_000, 350), (df.where("n = 0"), 49_950, 0)):
+        rows = pack(some, "doc", "n", 10)
+        assert rows.count() == n_items and rows.where("container is null").count() == 0
+        f = fill(rows, 10).head()
+        assert f["n_tokens"] == total and f["n_containers"] <= 50 + 64
