@@ -124,6 +124,41 @@ def p2_snapshot_tables(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
+def _sql_keys(p: str) -> str:
+    """DuckDB: the keys of the elements at a place, a list."""
+    at = lambda x: f"json_extract({p}, {x})"
+    listed = f"list_filter(list_transform(range(CAST(json_array_length({p}) AS BIGINT)), lambda i: CASE WHEN json_type({at(chr(39) + '$[' + chr(39) + ' || i || ' + chr(39) + ']' + chr(39))}) <> 'NULL' THEN CAST(i AS VARCHAR) END), lambda x: x IS NOT NULL)"
+    plain = f"len(list_filter(json_keys({p}), lambda k: json_type({at(_KEYED)}) <> 'OBJECT')) = 0"
+    return f"CASE json_type({p}) WHEN 'ARRAY' THEN {listed} WHEN 'OBJECT' THEN CASE WHEN {plain} THEN json_keys({p}) ELSE ['0'] END ELSE [] END"
+
+
+_KEYED = """'$."' || k || '"'"""
+
+
+def _sql_decoded(text: str) -> str:
+    """DuckDB: a text read through up to four encodings, as JSON; null if it isn't complete."""
+    out = f"CASE WHEN json_valid({text}) THEN CAST({text} AS JSON) END"
+    for _ in range(3):
+        inner = f"json_extract_string({out}, '$')"
+        out = f"CASE WHEN json_type({out}) = 'VARCHAR' THEN CASE WHEN json_valid({inner}) THEN CAST({inner} AS JSON) END ELSE {out} END"
+    return out
+
+
+def _sql_p2() -> str:
+    parts = []
+    for column, fields in (("trace", ("stages", "events")), ("model_detail", ("missing_relationships", "interpretations"))):
+        once = f"SELECT run_id AS id, {_sql_decoded('txt')} AS d FROM (SELECT run_id, max({column}) AS txt FROM audit_runs GROUP BY run_id) r"
+        for f in fields:
+            parts.append(f"SELECT 'audit_runs' AS parent_table, id AS parent_id, '{column}/{f}/' || unnest({_sql_keys('p')}) AS path FROM (SELECT id, json_extract(d, '$.{f}') AS p FROM ({once}) a) b")
+    once = "SELECT id, {} AS d FROM (SELECT id, max(cards) AS txt FROM {} GROUP BY id) r"
+    parts.append(f"SELECT 'reports', id, 'cards/' || unnest({_sql_keys('d')}) FROM ({once.format(_sql_decoded('txt'), 'reports')}) a")
+    cards = f"SELECT id, d, unnest({_sql_keys('d')}) AS k FROM ({once.format(_sql_decoded('txt'), 'report_snapshots')}) a"
+    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k FROM ({cards}) c")
+    value = "CASE WHEN json_type(d) = 'ARRAY' THEN json_extract(d, '$[' || k || ']') WHEN json_type(json_extract(d, '$.\"' || k || '\"')) = 'OBJECT' THEN json_extract(d, '$.\"' || k || '\"') ELSE d END"
+    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k || '/rows/' || unnest({_sql_keys('p')}) FROM (SELECT id, k, json_extract({value}, '$.rows') AS p FROM ({cards}) c) e")
+    return " UNION ALL ".join(parts)
+
+
 # -- 7: sessions --------------------------------------------------------------
 
 
@@ -159,4 +194,4 @@ round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6, 3) AS durat
 }
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_stages, p2_snapshot_tables, p7_found, p7_sessions)}
-SQL = P1_SQL | P7_SQL
+SQL = P1_SQL | {"p2_found": _sql_p2()} | P7_SQL
