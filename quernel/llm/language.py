@@ -51,7 +51,7 @@ NAMES = {
     "nl": "nl nld dut dutch niederländisch niederlaendisch néerlandais neerlandais neerlandés neerlandes neerlandês holandés holandês olandese nederlands flemish",
 }
 # Labels that name no language.
-NO_LANGUAGE = "und unknown undetermined unspecified n/a na none null nil mul mis zxx xx ? - -- auto other any tbd"
+NO_LANGUAGE = "und not no unknown undetermined undefined unspecified missing empty default n/a na nan none null nil mul mis zxx xx ? - -- --- . auto other any tbd language lang"
 
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 _PLACEHOLDERS = set(NO_LANGUAGE.split()) | {""}
@@ -67,10 +67,13 @@ def read_label(label: str | None) -> str | None:
     whole = _BY_NAME.get(bare)
     if whole:
         return whole
-    head = re.split(r"[-_\s(,;/]+", bare)[0]
-    if head in _PLACEHOLDERS:
+    pieces = [p for p in re.split(r"[-_\s(),;/]+", bare) if p]
+    if not pieces or pieces[0] in _PLACEHOLDERS:
         return None
-    return _BY_NAME.get(head, head)
+    if pieces[0] in _BY_NAME:
+        return _BY_NAME[pieces[0]]
+    # "Brazilian Portuguese": a name further on counts, a code of two letters there is a country's.
+    return next((_BY_NAME[p] for p in pieces[1:] if len(p) > 3 and p in _BY_NAME), pieces[0])
 
 
 # What holds no words: pieces between spaces that are addresses of mails or pages, or hold a digit or a sign inside.

@@ -21,7 +21,7 @@ def profiles():
 
 
 def test_read_label():
-    for label, want in [("en", "en"), ("eng", "en"), ("English", "en"), ("en-US", "en"), ("en_GB", "en"), ("DE ", "de"), ("ger", "de"), ("pt-BR", "pt"), ("Dutch", "nl"), ("fr-CA", "fr"), ("", None), (" ", None), ("und", None), ("n/a", None), ("unknown", None), (None, None), ("pl", "pl"), ("Polish", "polish")]:
+    for label, want in [("en", "en"), ("eng", "en"), ("English", "en"), ("en-US", "en"), ("en_GB", "en"), ("DE ", "de"), ("ger", "de"), ("pt-BR", "pt"), ("Dutch", "nl"), ("fr-CA", "fr"), ("", None), (" ", None), ("und", None), ("n/a", None), ("unknown", None), (None, None), ("pl", "pl"), ("Polish", "polish"), ("Brazilian Portuguese", "pt"), ("English (US)", "en"), ("zh-DE", "zh"), ("not applicable", None), ("?", None)]:
         assert L.read_label(label) == want, label
 
 
