@@ -43,19 +43,23 @@ def value_counts(df: DataFrame, columns: list[str], most: int = MOST_COUNTED) ->
 
 
 def domains(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n_values, complete, values: columns whose few short values cover nearly all rows."""
-    counted = stacked(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """column, n_values, complete, values: columns whose few short values cover nearly all rows.
+
+    Only the most frequent values of each column leave the map side (the limit
+    on the rank is pushed below the shuffle), so a column of billions of
+    different values costs no task more than others; totals are a sum.
+    """
+    cells = stacked(df, columns)
+    counted = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    total = F.sum("n").over(Window.partitionBy("column"))
-    ranked = counted.withColumn("total", total).where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(w))
-    kept = ranked.where((F.col("rank") <= MOST_VALUES + 1) & (F.length("value") <= LONGEST_VALUE))
-    out = kept.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("covered"), F.first("total").alias("total"), F.sort_array(F.collect_list("value")).alias("values")
+    top = counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MOST_VALUES + 1)
+    kept = top.where(F.length("value") <= LONGEST_VALUE).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("covered"), F.sort_array(F.collect_list("value")).alias("values")
     )
-    nulls = counted.where(F.col("value").isNull()).select(F.col("column").alias("c"), F.col("n").alias("n_null"))
-    out = out.join(nulls, out["column"] == nulls["c"], "left").withColumn("covered", F.col("covered") + F.coalesce("n_null", F.lit(0)))
-    complete = (F.col("n_values") <= MOST_VALUES) & (F.col("covered") >= LEAST_COVERAGE * F.col("total"))
-    return out.select("column", F.col("n_values").cast("long").alias("n_values"), complete.alias("complete"), F.when(complete, F.array_join("values", "|")).alias("values"))
+    totals = cells.groupBy(F.col("column").alias("c")).agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("value").isNull().cast("long")).alias("n_null"))
+    complete = (F.col("n_values") <= MOST_VALUES) & (F.col("covered") + F.col("n_null") >= LEAST_COVERAGE * F.col("total"))
+    joined = kept.join(totals, kept["column"] == totals["c"])
+    return joined.select("column", F.col("n_values").cast("long").alias("n_values"), complete.alias("complete"), F.when(complete, F.array_join("values", "|")).alias("values"))
 
 
 def patterns(df: DataFrame, columns: list[str], most: int = 3) -> DataFrame:

@@ -17,11 +17,12 @@ def with_rest(df: DataFrame, category: str, series: str, measure: str, most: int
     """category, series, total: the largest series by absolute total, all others summed as ``Other (n)``."""
     cells = df.groupBy(F.col(category).alias("category"), F.col(series).alias("series")).agg(F.sum(measure).alias("total"))
     size = cells.groupBy("series").agg(F.sum(F.abs("total")).alias("size"))
-    # One row for each series; the ranking is global, and so one task handles it.
-    ranked = size.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "series"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    name = F.when(F.col("rank") <= most, F.col("series").cast("string")).otherwise(F.concat(F.lit("Other ("), (F.col("n") - most).cast("string"), F.lit(")")))
-    named = ranked.select(F.col("series").alias("s"), name.alias("shown"))
-    return cells.join(named, cells["series"].eqNullSafe(named["s"])).groupBy("category", F.col("shown").alias("series")).agg(F.sum("total").alias("total"))
+    top = size.orderBy(F.desc("size"), "series").limit(most).select(F.col("series").alias("s"), F.lit(True).alias("shown"))
+    n = size.agg(F.count(F.lit(1)).alias("n"))
+    # Both are bounded: ``most`` rows and one row.
+    named = cells.join(F.broadcast(top), cells["series"].eqNullSafe(top["s"]), "left").join(F.broadcast(n))
+    name = F.when(F.col("shown"), F.col("series").cast("string")).otherwise(F.concat(F.lit("Other ("), (F.col("n") - most).cast("string"), F.lit(")")))
+    return named.groupBy("category", name.alias("series")).agg(F.sum("total").alias("total"))
 
 
 def pivot(df: DataFrame, category: str, series: str, measure: str, most: int = MOST_SERIES) -> DataFrame:
@@ -34,8 +35,9 @@ def pivot(df: DataFrame, category: str, series: str, measure: str, most: int = M
 def slices(df: DataFrame, label: str, measure: str, most: int = MOST_SLICES) -> DataFrame:
     """label, total: the largest positive totals, and the rest in one slice."""
     sums = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.sum(measure).alias("total")).where("total > 0")
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "label")))
-    return ranked.groupBy(F.when(F.col("rank") <= most, F.col("label")).otherwise("Other").alias("label")).agg(F.sum("total").alias("total"))
+    top = sums.orderBy(F.desc("total"), "label").limit(most).select(F.col("label").alias("l"), F.lit(True).alias("shown"))
+    joined = sums.join(F.broadcast(top), sums["label"].eqNullSafe(top["l"]), "left")
+    return joined.groupBy(F.when(F.col("shown"), F.col("label")).otherwise("Other").alias("label")).agg(F.sum("total").alias("total"))
 
 
 def points(df: DataFrame, x: str, y: str, most: int = MOST_POINTS) -> DataFrame:
@@ -54,7 +56,7 @@ def compared(df: DataFrame, order: str, measure: str, target: float | None = Non
     """value, against, change, change_percent of the first row: against the second, or a target."""
     w = Window.orderBy(F.desc(order))
     against = F.lit(target).cast("double") if target is not None else F.lead(measure).over(w)
-    first = df.select(F.col(measure).cast("double").alias("value"), against.cast("double").alias("against"), F.row_number().over(w).alias("rn")).where("rn = 1")
+    first = df.orderBy(F.desc(order)).limit(2).select(F.col(measure).cast("double").alias("value"), against.cast("double").alias("against"), F.row_number().over(w).alias("rn")).where("rn = 1")
     change = F.col("value") - F.col("against")
     return first.select("value", "against", change.alias("change"), F.when(F.col("against") != 0, change / F.abs("against") * 100).alias("change_percent"))
 

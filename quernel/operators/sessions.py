@@ -18,7 +18,11 @@ EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a timestamp with or without zone."""
+    """Microseconds since 1970 of a timestamp with or without zone.
+
+    One without zone is read in the session's zone, which should have no
+    daylight saving; ``session.SETTINGS`` and clusters for this data say UTC.
+    """
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col(ts) if isinstance(ts, str) else ts)
 
 
