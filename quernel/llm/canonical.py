@@ -28,11 +28,10 @@ def _bare(s: str) -> str:
     """The text without what is put around the whole of it: a list or quote mark before it, a pair of brackets or stars."""
     while True:
         s = s.strip()
-        m = _BULLET.match(s)
-        if m:
-            s = s[m.end() :]
-        elif len(s) > 1 and _WRAPS.get(s[0]) == s[-1] and not ({s[0], s[-1]} & set(s[1:-1])):
+        if len(s) > 1 and _WRAPS.get(s[0]) == s[-1] and not ({s[0], s[-1]} & set(s[1:-1])):
             s = s[1:-1]
+        elif m := _BULLET.match(s):
+            s = s[m.end() :]
         else:
             return s
 

@@ -18,6 +18,8 @@ SAME = [
     ("> list it", "- List it!"),
     ("(list it)", "*list it*"),
     ("(a: 1; b: 2)", "b: 2 | a: 1"),
+    ("*¿Cuáles son?*", "¿cuáles son?"),
+    ("* one thing", "one thing"),
 ]
 OTHER = [
     ("above -5", "above 5"),
