@@ -1,10 +1,12 @@
 """Duplicates hidden by formatting differences.
 
-Canonical records are range-partitioned by (field, key, id) and sorted there,
-on disk where memory is short; one scan compares the full keys of adjacent
-records. A key's records may lie in several partitions, so a key that a third
-of all records share is split like any other: only the first and last key of
-each partition, two rows each, are compared across partitions.
+Canonical records are range-partitioned by (field, hash of the key, id) and
+sorted there by (field, hash, key, id), on disk where memory is short; one scan
+compares the full keys of adjacent records. The hash keeps the sampled bounds
+and most comparisons short; different keys with one hash stand side by side
+and stay apart. A key's records may lie in several partitions, so a key that a
+third of all records share is split like any other: only the first and last
+keys of each partition, as a rule two rows, are compared across partitions.
 """
 
 from __future__ import annotations
@@ -65,33 +67,45 @@ def canonical_records(df: DataFrame, record_id: str, fields: dict[str, str]) ->
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each run of equal keys with the run's first id; expects rows in order."""
+    """Members of each run of equal keys with the run's first id; expects (field, hash, key, id) in order.
+
+    ``lead`` marks members of the runs with the partition's first hash: earlier
+    partitions may hold members with smaller ids. The key of these runs, and of
+    those with the last hash, comes out with their first id as an edge.
+    """
     part = TaskContext.get().partitionId()
-    last: tuple | None = None  # field, key, id of the row before
-    first_id, lead, groups = None, True, 0
+    last: tuple | None = None  # field, hash, key, id of the row before
+    first_id, lead, hashes = None, True, 0
+    runs: list[tuple[str, str, str]] = []  # field, key, first id of the runs with the current hash
     for b in batches:
-        field, key, ident = (b.column(i).to_pylist() for i in range(3))
+        field, h, key, ident = (b.column(i).to_pylist() for i in range(4))
         firsts, leads, edges, keep = [], [], [], []
-        for i, (f, k, d) in enumerate(zip(field, key, ident, strict=True)):
-            same = last is not None and k == last[1] and f == last[0]
-            if same and d == last[2]:
+        for i, (f, x, k, d) in enumerate(zip(field, h, key, ident, strict=True)):
+            together = last is not None and x == last[1] and f == last[0]
+            same = together and k == last[2]
+            if same and d == last[3]:
                 continue  # the record arrived again
             if not same:
-                groups += 1
-                first_id, lead = d, groups == 1
-            last = (f, k, d)
+                if not together:
+                    hashes += 1
+                    runs = []
+                first_id, lead = d, hashes == 1
+                runs.append((f, k, d))
+            last = (f, x, k, d)
             keep.append(i)
             firsts.append(first_id)
             leads.append(lead)
-            edges.append(k if groups == 1 and not same else None)
+            edges.append(k if hashes == 1 and not same else None)
         take = pa.array(np.array(keep, dtype=np.int64))
         n = len(keep)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part, np.int32)), b.column(0).take(take).cast(pa.string()), b.column(2).take(take).cast(pa.string()), pa.array(firsts, pa.string()), pa.array(leads, pa.bool_()), pa.array(edges, pa.string())],
+            [pa.array(np.full(n, part, np.int32)), b.column(0).take(take).cast(pa.string()), b.column(3).take(take).cast(pa.string()), pa.array(firsts, pa.string()), pa.array(leads, pa.bool_()), pa.array(edges, pa.string())],
             schema=_OUT,
         )
-    if last is not None and groups > 1:  # the last run, whose key may go on in the next partition
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last[0]]), pa.array([None], pa.string()), pa.array([first_id]), pa.array([False]), pa.array([last[1]], pa.string())], schema=_OUT)
+    if hashes > 1:
+        n = len(runs)
+        fields, keys, ids = (list(x) for x in zip(*runs, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(fields, pa.string()), pa.array([None] * n, pa.string()), pa.array(ids, pa.string()), pa.array([False] * n), pa.array(keys, pa.string())], schema=_OUT)
 
 
 def members(df: DataFrame, record_id: str, fields: dict[str, str]) -> DataFrame:
@@ -99,15 +113,15 @@ def members(df: DataFrame, record_id: str, fields: dict[str, str]) -> DataFrame:
 
     Records that arrived repeatedly count once. An empty input gives no rows.
     """
-    records = materialise(canonical_records(df, record_id, fields), "canonical")
-    ordered = records.repartitionByRange("field", "key", "id").sortWithinPartitions("field", "key", "id")
+    records = materialise(canonical_records(df, record_id, fields).select("field", F.xxhash64("key").alias("h"), "key", "id"), "canonical")
+    ordered = records.repartitionByRange("field", "h", "id").sortWithinPartitions("field", "h", "key", "id")
     scanned = materialise(ordered.mapInArrow(_scan, SCANNED), "runs")
     edges = scanned.where(F.col("edge_key").isNotNull())
     names = edges.groupBy("field", F.col("edge_key")).agg(F.min("first_id").alias("name"))
-    # One row for each partition, so its size is bounded by their number.
-    carried = edges.where("lead").join(names, ["field", "edge_key"]).select("part", "name")
+    # As a rule one row for each partition, so its size is bounded by their number.
+    carried = edges.where("lead").join(names, ["field", "edge_key"]).select("part", "field", "first_id", "name")
     rows = scanned.where(F.col("id").isNotNull())
-    led = rows.where("lead").join(F.broadcast(carried), "part").select("field", "id", F.col("name").alias("first_id"))
+    led = rows.where("lead").join(carried, ["part", "field", "first_id"]).select("field", "id", F.col("name").alias("first_id"))
     return rows.where(~F.col("lead")).select("field", "id", "first_id").unionByName(led)
 
 

@@ -35,3 +35,15 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("1", "a", "b"), ("2", "A", "c"), ("3", "d", "B!")], "id string, key string, field string")
     got = sorted(map(tuple, members(df, "id", {"key": "question", "field": "question"}).collect()))
     assert got == [("field", "1", "1"), ("field", "2", "2"), ("field", "3", "1"), ("key", "1", "1"), ("key", "2", "1"), ("key", "3", "3")]
+
+
+def test_equal_hashes_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quernel.llm import duplicates as D
+
+    monkeypatch.setattr(D.F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # every key has one hash, over all partitions
+    rnd = random.Random(9)
+    rows = [(f"r{i:04d}", f"q {rnd.randint(0, 9)}", None) for i in range(600)]
+    df = spark.createDataFrame(rows, "run string, question string, sql string").repartition(5)
+    assert {tuple(r) for r in members(df, "run", {"question": "question"}).collect()} == {x for x in brute(rows) if x[0] == "question"}
