@@ -23,6 +23,8 @@ from quernel.workspace import materialise
 COMPRESSION = 200
 RANK_ERROR = 0.005
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: Digests that one task merges at most, where partitions are more.
+FAN_IN = 256
 #: Groups up to this number are broadcast in the counting pass; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -81,8 +83,7 @@ def partial_digests(df: DataFrame, keys: list[str], value: str, compression: int
 def merge_digests(digests: DataFrame, keys: list[str], compression: int) -> DataFrame:
     """One digest for each combination of keys; the input may itself be merged digests.
 
-    A key has at most one digest for each partition (or day) before, so a task
-    holds centroids by the number of partitions, never values.
+    A task holds the digests of one key: as many as there are days, or see ``digests``.
     """
     schema = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys) + ", " + DIGEST
 
@@ -94,6 +95,20 @@ def merge_digests(digests: DataFrame, keys: list[str], compression: int) -> Data
     return digests.groupBy(*keys).applyInPandas(run, schema)
 
 
+def digests(values: DataFrame, keys: list[str], value: str, compression: int = COMPRESSION) -> DataFrame:
+    """One digest for each combination of keys, of all values.
+
+    Digests of more partitions than ``FAN_IN`` are merged in two steps, by
+    salted parts first, so that no task holds more than a bounded number.
+    """
+    parts = partial_digests(values, keys, value, compression)
+    n = values.rdd.getNumPartitions()
+    if n > FAN_IN:
+        salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(-(-n // FAN_IN))))
+        parts = merge_digests(salted, [*keys, "__salt"], compression).drop("__salt")
+    return merge_digests(parts, keys, compression)
+
+
 def read_percentiles(digests: DataFrame, keys: list[str], percentiles: tuple[float, ...]) -> DataFrame:
     """keys, n, estimates (one for each percentile)."""
 
@@ -145,7 +160,7 @@ def percentiles(
     values = materialise(df.select(*keys, day, value), "values")
     out, todo = None, values
     while True:
-        daily = merge_digests(partial_digests(todo, [*keys, day], value, compression), [*keys, day], compression)
+        daily = digests(todo, [*keys, day], value, compression)
         whole = merge_digests(daily, keys, compression)
         done = materialise(certify(todo, keys, value, read_percentiles(whole, keys, quantiles), quantiles), "certified")
         bad = done.where(F.col("rank_error") > F.greatest(F.lit(rank_error), 1 / F.col("n"))).select(*keys).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import bpe, digest, duplicates, language, packing, pii, subjects
 from quernel.sources import read_table
-from quernel.workspace import spread
+from quernel.workspace import materialise, spread
 
 # -- 3: duplicates hidden by formatting ---------------------------------------
 
@@ -67,8 +67,7 @@ def p5_percentiles(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_daily_digests(spark: SparkSession, base: str) -> DataFrame:
     """The digest of each day, model and outcome: the form in which days combine."""
-    keys = [*OUTCOME, "day"]
-    return digest.merge_digests(digest.partial_digests(_durations(spark, base), keys, "duration_ms", digest.COMPRESSION), keys, digest.COMPRESSION)
+    return digest.digests(materialise(_durations(spark, base), "durations"), [*OUTCOME, "day"], "duration_ms")
 
 
 def p5_certificates(spark: SparkSession, base: str) -> DataFrame:

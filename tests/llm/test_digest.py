@@ -50,6 +50,16 @@ def test_days_combine(spark):
     assert row["n"] == 5000 and abs(row["estimates"][0] - 2500) < 25
 
 
+def test_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(D, "FAN_IN", 3)
+    df = spark.range(9000).select((F.col("id") % 2).cast("string").alias("k"), F.col("id").cast("double").alias("v")).repartition(11)
+    got = {r["k"]: (r["n"], sum(r["weights"]), r["low"], r["high"], len(r["means"])) for r in D.digests(df, ["k"], "v").collect()}
+    assert {k: v[:4] for k, v in got.items()} == {"0": (4500, 4500.0, 0.0, 8998.0), "1": (4500, 4500.0, 1.0, 8999.0)}
+    assert all(v[4] <= D.COMPRESSION + 1 for v in got.values())
+    r = D.percentiles(df.withColumn("day", F.lit(1)), ["k"], "v", "day", (0.5,)).collect()
+    assert all(x["rank_error"] <= D.RANK_ERROR for x in r)
+
+
 def test_impossible_values_and_empty(spark):
     rows = [(None,), (float("nan"),), (float("inf"),), (-1.0,), (0.0,), (2.0,)]
     df = spark.createDataFrame(rows, "v double")
