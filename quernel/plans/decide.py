@@ -64,6 +64,7 @@ class Budget:
     calls: int = 6
     explore_rounds: int = 2
     repairs: int = 1
+    expansions: int = 1
     clock: Callable[[], float] = time.monotonic
     started: float | None = None
 
@@ -77,7 +78,7 @@ class Budget:
 
     @classmethod
     def for_replay(cls) -> Budget:
-        return cls(calls=0, explore_rounds=0, repairs=0)
+        return cls(calls=0, explore_rounds=0, repairs=0, expansions=0)
 
 
 @dataclass
@@ -104,6 +105,12 @@ def answer(service: GovernedSql, proposer: Proposer, question: str, budget: Budg
                 return Answer("INVALID_PROPOSAL", wrong)
             feedback.append(wrong)
             continue
+        wanted = set(d.relations) & set(context.omitted)
+        if wanted and budget.take("expansions"):  # tables that were left out of what the proposer saw
+            context = select(service.catalog, question, wanted)
+            shown = render(context, service.catalog)["text"]
+            feedback.append(f"CONTEXT_EXPANDED: {', '.join(sorted(wanted))}")
+            continue
         if d.kind in ("BLOCKED_AUTHORITY", "BLOCKED_POLICY"):
             return Answer(d.kind)
         if d.kind == "NEEDS_CLARIFICATION":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -39,9 +40,13 @@ class Refusal:
 @dataclass
 class Trace:
     stages: list[dict[str, Any]] = field(default_factory=list)
+    #: Called with each stage as it ends, for showing progress.
+    listener: Callable[[dict[str, Any]], None] | None = None
 
     def add(self, name: str, status: str, began: float, reason: str | None = None) -> None:
         self.stages.append({"name": name, "status": status, "duration_ms": round((time.monotonic() - began) * 1000, 3), "reason": reason})
+        if self.listener:
+            self.listener(self.stages[-1])
 
 
 class GovernedSql:

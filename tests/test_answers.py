@@ -66,6 +66,17 @@ def test_readings_and_ties(service):
     assert ("TIES" in a.notes) == (a.result.row_count > 1)
 
 
+def test_context_expansion(service, monkeypatch):
+    monkeypatch.setattr(C, "WHOLE", 3)
+    monkeypatch.setattr(C, "NEIGHBOURS", 0)
+    s = Scripted([Decision("BLOCKED_AUTHORITY", relations=("events",)), Decision("ANSWER", "SELECT COUNT(*) AS n FROM events", ("events",))])
+    seen = []
+    service.trace.listener = seen.append
+    a = answer(service, s, "nations of a region")
+    assert a.outcome == "EXECUTED" and s.seen[1] == ["CONTEXT_EXPANDED: events"] and [x["name"] for x in seen][-1] == "execution"
+    assert answer(service, Scripted([Decision("BLOCKED_AUTHORITY", relations=("orders",))]), "orders").outcome == "BLOCKED_AUTHORITY"
+
+
 def test_context():
     tables = tuple(Table(f"t{i:02d}", (Column("id", "int", primary_key=True), *(Column(f"c{k}", "string") for k in range(12))), f"about thing{i}", relationships=(Relationship("c0", f"t{i - 1:02d}", "id"),) if i else ()) for i in range(20))
     cat = Catalog(tables)
