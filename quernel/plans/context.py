@@ -17,9 +17,9 @@ WEIGHTS = {"name": 10, "alias": 6, "description": 3, "column": 1}
 
 
 def words(text: str) -> set[str]:
-    """Words of a text and their plain singular and plural forms."""
+    """Words of a text, of three letters at least, and their plain singular and plural forms."""
     out: set[str] = set()
-    for w in re.findall(r"[^\W_]+", text.lower()):
+    for w in re.findall(r"[^\W_]{3,}", text.lower()):
         out.add(w)
         if w.endswith("ies") and len(w) > 4:
             out.add(w[:-3] + "y")
