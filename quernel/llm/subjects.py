@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ GROUP_DOCUMENTS = 25
 LEAST_TELLING = 0.02
 #: Documents whose rows of V are held at a time.
 AT_ONCE = 500
+#: Sentences whose terms a worker keeps, and their greatest length.
+CACHED, SHORT = 50_000, 400
 #: A subject belongs to a document if at least this share of its sentences is about it.
 SHARE = 0.2
 #: Least evidence, in terms, and least lead for a sentence to be about a subject.
@@ -60,17 +63,25 @@ def sentences(text: str) -> list[str]:
     return [s for p in _SENTENCE.split(plain) if (s := p.strip()) and not s.startswith("#") and _TERM.search(s)]
 
 
-def terms(text: str) -> list[str]:
-    """Words in lower case, and pairs of neighbouring words."""
+def _terms(text: str) -> tuple[str, ...]:
     words = [w.casefold() for w in _TERM.findall(text)]
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    return (*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+
+
+_kept_terms = lru_cache(maxsize=CACHED)(_terms)
+
+
+def terms(text: str) -> tuple[str, ...]:
+    """Words in lower case, and pairs of neighbouring words; kept for short texts, as sentences repeat."""
+    return _kept_terms(text) if len(text) <= SHORT else _terms(text)
 
 
 def document_terms(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
+    get = out.get
     for part in (*sentences(text), *_FENCE.findall(text)):
         for t in terms(part):
-            out[t] = out.get(t, 0) + 1
+            out[t] = get(t, 0) + 1
     return out
 
 
@@ -147,10 +158,22 @@ class Topics:
         self.h, self.telling = h[:, keep], telling[keep]
         self.spread = (h[:k, keep] + 1e-9) / np.maximum(h[:k, keep].max(axis=0, initial=0) if keep.size else 1, 1e-12)
         self.index = {vocab[i]: n for n, i in enumerate(keep)}
+        self._seen: dict[str, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": {}}
 
     def _ids(self, text: str) -> list[int]:
+        known = self._seen.get(text)
+        if known is not None:
+            return known
         at = self.index
-        return [i for t in terms(text) if (i := at.get(t)) is not None]
+        ids = [i for t in _terms(text) if (i := at.get(t)) is not None]
+        if len(text) <= SHORT:
+            if len(self._seen) >= CACHED:
+                self._seen.clear()
+            self._seen[text] = ids
+        return ids
 
     def sentence_subjects(self, text: str) -> list[int | None]:
         """The subject of each sentence; None for one about no subject."""
