@@ -37,6 +37,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results not yet written are lost with them."""
+    app = spark.sparkContext.applicationId
+    if app in _roots:
+        _remove(spark, app)
+
+
 def _remove(spark: SparkSession, app: str) -> None:
     root = _roots.pop(app, None)
     try:
