@@ -3,8 +3,8 @@
 Texts are parsed once into Spark's VARIANT, on the JVM. Each *place* (a field
 that holds a list) is exploded into a child table carrying the parent's key,
 the element's path and its ordinal; typed columns come from the schema merged
-over all elements (``schema_of_variant_agg``), and a field whose merged type is
-itself a list becomes a child table of its own, and so on down.
+over all elements (``schema_of_variant_agg``), and every list below, at
+whatever depth of objects, becomes a child table of its own, and so on down.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_ENCODINGS = 4
 
@@ -78,8 +77,13 @@ def elements(v: Column) -> Column:
 
 def place(v: Column, field: str) -> Column:
     """What stands at one field of a variant object, read through if encoded."""
-    name = field.replace("'", "\\'")
-    return F.try_variant_get(v, f"$['{name}']", "variant")
+    return _typed(v, field, "variant")
+
+
+def _typed(v: Column, field: str, kind: str) -> Column:
+    if re.search(r"['?\\]", field) or not field:  # no path can name it
+        return F.try_variant_get(_as_object(v)[field], "$", kind)
+    return F.try_variant_get(v, f"$['{field}']", kind)
 
 
 def element_paths(v: Column, prefix: str | Column) -> Column:
@@ -138,58 +142,135 @@ def object_fields(schema: str) -> dict[str, str]:
 _SCALARS = {"BIGINT": "bigint", "DOUBLE": "double", "STRING": "string", "BOOLEAN": "boolean"}
 
 
+def row_id(key: Column, path: Column) -> Column:
+    """The surrogate key of the row at a path of a record, the same in every run."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), F.lit("\n"), path).cast("binary"))
+
+
 def flatten(
     df: DataFrame, key: str, v: Column, path: str, name: str, declared: dict[str, str] | None = None
 ) -> dict[str, DataFrame]:
     """All flat tables below a place, keyed by their dotted name.
 
-    Each table has parent_id (the record), parent_path (the element above, or
-    the column), path, ordinal and a typed column for each scalar or object
-    field of the merged schema, as ``f_<field>``; objects and mixed types stay
-    variants. Fields that hold lists become tables ``name.field``, recursively.
-    ``declared`` names fields to be read as lists where shapes are mixed.
-    Scalar elements stand in ``value_text``. No elements: a table without
-    ``f_`` columns and without rows.
+    Each table has row_id (its key), parent_row_id (the key of the element
+    above, or of the column), parent_id (the record), parent_path, path,
+    ordinal and a typed column for each field of the merged schema, as
+    ``f_<field>``; objects and mixed types stay variants there. Every list
+    below becomes a table of its own, also below objects (``name.object.field``),
+    in fields of mixed shapes and directly in lists (``name[]``), recursively.
+    ``declared`` names places to be read as lists in whatever shape.
+    Elements that are no objects stand in ``value_text``. No elements: a table
+    without ``f_`` columns and without rows.
     """
     base = child_table(df, key, v, path).withColumn("parent_path", F.lit(path))
     return _tables(base, name, declared or {})
 
 
+def flatten_record(
+    df: DataFrame, key: str, v: Column, name: str, declared: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """As ``flatten``, of columns that hold one object for each record: ``name`` is the table of these objects."""
+    base = df.select(
+        F.col(key).alias("parent_id"),
+        F.lit(name).alias("path"),
+        F.lit(0).alias("ordinal"),
+        v.alias("value"),
+        F.lit(None).cast("string").alias("parent_path"),
+    )
+    return _tables(base.where(~_is_null(F.col("value"))), name, declared or {})
+
+
+def _standing(at: tuple[str, ...], mixed: set[tuple[str, ...]]) -> Column:
+    """What stands at a place within an element; where shapes are mixed, texts that hold JSON are read through."""
+    if not at:
+        return F.col("value")
+    v = place(_standing(at[:-1], mixed), at[-1])
+    return unwrapped(v) if at in mixed else v
+
+
+def _shape(base: DataFrame, name: str, declared: dict[str, str]) -> tuple[dict[str, str], dict[tuple[str, ...], bool], set[tuple[str, ...]]]:
+    """Of all elements: merged types by field, the places of lists (whether declared), and the places of mixed shapes.
+
+    A merged type tells nothing of what is below mixed shapes; the objects that
+    stand there are merged again on their own, level by level.
+    """
+    fields: dict[str, str] = {}
+    lists: dict[tuple[str, ...], bool] = {}
+    mixed: set[tuple[str, ...]] = set()
+    todo: list[tuple[str, ...]] = []
+
+    def walk(at: tuple[str, ...], kind: str) -> None:
+        if at and declared.get(".".join([name, *at])) == "list":
+            lists[at] = True
+            mixed.add(at)
+        elif kind.startswith("ARRAY<"):
+            lists[at] = False
+        elif kind.startswith("OBJECT<"):
+            for f, k in object_fields(kind).items():
+                if not at:
+                    fields[f] = k
+                walk((*at, f), k)
+        elif kind == "VARIANT":
+            mixed.add(at)
+            todo.append(at)
+
+    walk((), merged_schema(base))
+    while todo:
+        now = [*todo]
+        todo.clear()
+        held = base.select(*(_standing(at, mixed).alias(f"v{i}") for i, at in enumerate(now)))
+        found = held.agg(
+            *(F.schema_of_variant_agg(F.when(_as_object(F.col(f"v{i}")).isNotNull(), F.col(f"v{i}"))).alias(f"s{i}") for i in range(len(now))),
+            *(F.max(F.try_variant_get(f"v{i}", "$[0]", "variant").isNotNull()).alias(f"a{i}") for i in range(len(now))),
+        ).head()
+        for i, at in enumerate(now):
+            if found[f"a{i}"]:
+                lists[at] = False
+            walk(at, found[f"s{i}"] or "VOID")
+    return fields, lists, mixed
+
+
+def _column_names(fields: list[str]) -> list[str]:
+    """``f_<field>``, numbered where fields differ in letter case only."""
+    out: list[str] = []
+    seen: set[str] = set()
+    for f in fields:
+        n, k = f"f_{f}", 1
+        while n.lower() in seen:
+            k += 1
+            n = f"f_{f}_{k}"
+        seen.add(n.lower())
+        out.append(n)
+    return out
+
+
 def _tables(base: DataFrame, name: str, declared: dict[str, str]) -> dict[str, DataFrame]:
-    fields = object_fields(merged_schema(base))
-    lists = [f for f, kind in fields.items() if kind.startswith("ARRAY<") or declared.get(f"{name}.{f}") == "list"]
+    fields, lists, mixed = _shape(base, name, declared)
+    kept = [f for f in fields if (f,) not in lists or ((f,) in mixed and not lists[(f,)])]
     columns = [
-        F.try_variant_get("value", "$['" + f.replace("'", "\\'") + "']", _SCALARS.get(kind, "decimal(38,9)" if kind.startswith("DECIMAL") else "variant")).alias(f"f_{f}")
-        for f, kind in fields.items()
-        if f not in lists
+        _typed(F.col("value"), f, _SCALARS.get(fields[f], fields[f].lower() if fields[f].startswith("DECIMAL") else "variant")).alias(n)
+        for f, n in zip(kept, _column_names(kept), strict=True)
     ]
-    text = F.try_variant_get("value", "$", "string") if not fields else F.lit(None).cast("string")
-    out = {name: base.select("parent_id", "parent_path", "path", "ordinal", text.alias("value_text"), *columns)}
-    for f in lists:
-        below = base.select("parent_id", F.col("path").alias("above"), unwrapped(place(F.col("value"), f)).alias("v"))
+    text = F.try_variant_get("value", "$", "string")
+    if fields:
+        text = F.when(_as_object(F.col("value")).isNull(), text) if () in mixed else F.lit(None).cast("string")
+    above = row_id(F.col("parent_id"), F.col("parent_path")).alias("parent_row_id")
+    head = [row_id(F.col("parent_id"), F.col("path")).alias("row_id"), above, "parent_id", "parent_path", "path", "ordinal"]
+    out = {name: base.select(*head, text.alias("value_text"), *columns)}
+    for at, told in lists.items():
+        below = base.select("parent_id", F.col("path").alias("above"), _standing(at, mixed).alias("v"))
+        found = elements(F.col("v"))
+        if not told and at in mixed:  # objects at this place are no lists: what is below them has its own tables
+            found = F.when(F.try_variant_get("v", "$[0]", "variant").isNotNull(), found)
         nested = (
-            below.select("parent_id", "above", F.posexplode(elements(F.col("v"))).alias("at", "e"))
+            below.select("parent_id", "above", F.posexplode(found).alias("at", "e"))
             .select(
                 "parent_id",
-                F.concat("above", F.lit(f"/{f}/"), "e.key").alias("path"),
+                F.concat("above", F.lit("".join(f"/{f}" for f in at) + "/"), "e.key").alias("path"),
                 F.coalesce(F.expr("try_cast(e.key as int)"), F.col("at")).alias("ordinal"),
                 F.col("e.value").alias("value"),
                 F.col("above").alias("parent_path"),
             )
         )
-        out |= _tables(nested, f"{name}.{f}", declared)
+        out |= _tables(nested, ".".join([name, *at]) if at else f"{name}[]", declared)
     return out
-
-
-PATHS = T.ArrayType(T.StringType())
-
-
-def explode_once(df: DataFrame, table: str) -> DataFrame:
-    """parent_table, parent_id, path of records that may have arrived repeatedly.
-
-    ``df`` has id and paths (array<string>), derived before any shuffle, so
-    that what is moved to drop repeated records is the paths and not the text.
-    Rows with one id are one record, also those with a null id.
-    """
-    once = df.groupBy("id").agg(F.max("paths").alias("paths"))
-    return once.select(F.lit(table).alias("parent_table"), F.col("id").alias("parent_id"), F.explode("paths").alias("path"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.hierarchy import descendants, hierarchy
-from quernel.operators.nested import child_table, decoded, element_paths, elements, explode_once, flatten, place, unwrapped
+from quernel.operators.nested import child_table, decoded, flatten, flatten_record, place, unwrapped
 from quernel.operators.sessions import micros, sessionize
 from quernel.sources import read_table
+from quernel.workspace import materialise
 
 # -- 1: hierarchies -----------------------------------------------------------
 
@@ -73,34 +76,46 @@ SELECT ids[i] AS run_id, run_id AS later_run_id, CAST(depth - i + 1 AS INTEGER)
 # -- 2: nested records --------------------------------------------------------
 
 
+#: Places that hold lists in whatever shape, by column.
+_LISTS = {
+    "trace": ("trace.stages", "trace.events", "trace.stages.metadata.missing_relationships"),
+    "model_detail": ("model_detail.missing_relationships", "model_detail.interpretations"),
+    "cards": ("cards.rows",),
+}
+
+
+def _records(spark: SparkSession, base: str, table: str, key: str, *columns: str) -> DataFrame:
+    """Each record once: id and decoded columns, kept so that texts are parsed once."""
+    rows = read_table(spark, base, table).groupBy(F.col(key).alias("id")).agg(*(F.max(c).alias(c) for c in columns))
+    return materialise(rows.select("id", *(decoded(F.col(c)).alias(c) for c in columns)), f"records-{table}")
+
+
+def _flat(records: DataFrame, column: str) -> dict[str, DataFrame]:
+    """All flat tables of a column, by name."""
+    declared = dict.fromkeys(_LISTS[column], "list")
+    if column == "cards":
+        return flatten(records, "id", F.col(column), column, column, declared)
+    return flatten_record(records, "id", F.col(column), column, declared)
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    """Every element of the nested columns, by table, record and path."""
-    runs = read_table(spark, base, "audit_runs").select("run_id", decoded(F.col("trace")).alias("t"), decoded(F.col("model_detail")).alias("d"))
-    places = [("t", "trace", "stages"), ("t", "trace", "events"), ("d", "model_detail", "missing_relationships"), ("d", "model_detail", "interpretations")]
-    held = runs.select("run_id", *(unwrapped(place(F.col(c), f)).alias(f) for c, _, f in places))
-    runs = held.select(F.col("run_id").alias("id"), F.concat(*(element_paths(F.col(f), f"{c}/{f}") for _, c, f in places)).alias("paths"))
-    reports = read_table(spark, base, "reports").select("id", element_paths(decoded(F.col("cards")), "cards").alias("paths"))
-    snaps = read_table(spark, base, "report_snapshots").select("id", elements(decoded(F.col("cards"))).alias("cards"))
-    with_rows = F.transform(
-        "cards",
-        lambda e: F.concat(
-            F.array(F.concat(F.lit("cards/"), e["key"])),
-            element_paths(unwrapped(place(unwrapped(e["value"]), "rows")), F.concat(F.lit("cards/"), e["key"], F.lit("/rows"))),
-        ),
-    )
-    snaps = snaps.select("id", F.flatten(with_rows).alias("paths"))
-    return explode_once(runs, "audit_runs").unionByName(explode_once(reports, "reports")).unionByName(explode_once(snaps, "report_snapshots"))
-
-
-def _records(spark: SparkSession, base: str, table: str, key: str, column: str) -> DataFrame:
-    """Each record once: key and decoded column."""
-    rows = read_table(spark, base, table).select(F.col(key).alias("id"), F.col(column).alias("text"))
-    return rows.groupBy("id").agg(F.max("text").alias("text")).select("id", decoded(F.col("text")).alias("v"))
+    """Every element of the nested columns, by table, record and path, from the flat tables."""
+    runs = _records(spark, base, "audit_runs", "run_id", "trace", "model_detail")
+    reports = _records(spark, base, "reports", "id", "cards")
+    snaps = _records(spark, base, "report_snapshots", "id", "cards")
+    places = [
+        ("audit_runs", _flat(runs, "trace"), ("trace.stages", "trace.events")),
+        ("audit_runs", _flat(runs, "model_detail"), ("model_detail.missing_relationships", "model_detail.interpretations")),
+        ("reports", _flat(reports, "cards"), ("cards",)),
+        ("report_snapshots", _flat(snaps, "cards"), ("cards", "cards.rows")),
+    ]
+    parts = [tables[n].select(F.lit(t).alias("parent_table"), "parent_id", "path") for t, tables, names in places for n in names if n in tables]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def p2_stages(spark: SparkSession, base: str) -> DataFrame:
     """The flat table of trace stages."""
-    runs = _records(spark, base, "audit_runs", "run_id", "trace")
+    runs = _records(spark, base, "audit_runs", "run_id", "trace").select("id", F.col("trace").alias("v"))
     stages = child_table(runs, "id", unwrapped(place(F.col("v"), "stages")), "trace/stages")
     name = F.when(F.expr("try_cast(regexp_extract(path, '[^/]*$', 0) as int)").isNull(), F.regexp_extract("path", "[^/]*$", 0))
     field = lambda f, kind: F.try_variant_get("value", f"$.{f}", kind)
@@ -115,8 +130,7 @@ def p2_stages(spark: SparkSession, base: str) -> DataFrame:
 
 def p2_snapshot_tables(spark: SparkSession, base: str) -> DataFrame:
     """Row counts of all flat tables below report_snapshots.cards, found from the merged schema."""
-    snaps = _records(spark, base, "report_snapshots", "id", "cards")
-    tables = flatten(snaps, "id", F.col("v"), "cards", "cards", {"cards.rows": "list"})
+    tables = _flat(_records(spark, base, "report_snapshots", "id", "cards"), "cards")
     parts = [t.groupBy().agg(F.lit(n).alias("flat_table"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("parent_id").alias("n_records")) for n, t in sorted(tables.items())]
     out = parts[0]
     for p in parts[1:]:

@@ -117,3 +117,19 @@ def test_flatten_of_nothing(spark):
 def test_object_fields():
     assert object_fields("OBJECT<a: BIGINT, b: ARRAY<OBJECT<c: STRING, d: DECIMAL(3,1)>>>") == {"a": "BIGINT", "b": "ARRAY<OBJECT<c: STRING, d: DECIMAL(3,1)>>"}
     assert object_fields("VARIANT") == {}
+
+
+def test_found_comes_from_the_flat_tables(spark, sf, monkeypatch):
+    """p2_found's rows are rows of tables made by the operator, each with its surrogate key."""
+    from quernel.queries import corpus
+
+    made = {}
+    flat = corpus._flat
+    monkeypatch.setattr(corpus, "_flat", lambda records, column: made.setdefault((column, len(made)), flat(records, column)))
+    got = {tuple(r) for r in p2_found(spark, sf).collect()}
+    assert [c for c, _ in made] == ["trace", "model_detail", "cards", "cards"]
+    tables = list(made.values())
+    rows = tables[3]["cards.rows"].select("row_id", "parent_row_id", "parent_id", "path").collect()
+    assert rows and {("report_snapshots", r["parent_id"], r["path"]) for r in rows} <= got
+    assert len({r["row_id"] for r in rows}) == len(rows)
+    assert {r["parent_row_id"] for r in rows} <= {r["row_id"] for r in tables[3]["cards"].select("row_id").collect()}
