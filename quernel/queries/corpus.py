@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.hierarchy import descendants, hierarchy
-from quernel.operators.nested import child_table, decoded, flatten, flatten_record, place, unwrapped
+from quernel.operators.nested import decoded, flatten, flatten_record
 from quernel.operators.sessions import micros, sessionize
 from quernel.sources import read_table
 from quernel.workspace import materialise
@@ -113,21 +113,89 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+#: Table, key and columns of the records with nested values.
+_NESTED = [("audit_runs", "run_id", ("trace", "model_detail")), ("reports", "id", ("cards",)), ("report_snapshots", "id", ("cards",))]
+_NO_ROWS = "row_id string, parent_row_id string, parent_id string, parent_path string, path string, ordinal int, value_text string"
+
+
+def _flat_table(spark: SparkSession, base: str, table: str, column: str, name: str) -> DataFrame:
+    """One flat table with all its columns; without rows and typed columns where nothing stands there."""
+    key = {t: k for t, k, _ in _NESTED}[table]
+    found = _flat(_records(spark, base, table, key, column), column).get(name)
+    return spark.createDataFrame([], _NO_ROWS) if found is None else found
+
+
 def p2_stages(spark: SparkSession, base: str) -> DataFrame:
-    """The flat table of trace stages."""
-    runs = _records(spark, base, "audit_runs", "run_id", "trace").select("id", F.col("trace").alias("v"))
-    stages = child_table(runs, "id", unwrapped(place(F.col("v"), "stages")), "trace/stages")
-    name = F.when(F.expr("try_cast(regexp_extract(path, '[^/]*$', 0) as int)").isNull(), F.regexp_extract("path", "[^/]*$", 0))
-    field = lambda f, kind: F.try_variant_get("value", f"$.{f}", kind)
-    return stages.select(
-        F.col("parent_id").alias("run_id"), "path", "ordinal",
-        F.coalesce(field("name", "string"), name).alias("name"),
+    """The flat table of trace stages; a stage that stands by key without a name has the key as its name."""
+    stages = _flat_table(spark, base, "audit_runs", "trace", "trace.stages")
+    kinds = dict(stages.dtypes)
+    last = F.regexp_extract("path", "[^/]*$", 0)
+
+    def field(f: str, kind: str) -> Column:
+        c = f"f_{f}"
+        if c not in kinds:
+            return F.lit(None).cast(kind)
+        return F.try_variant_get(c, "$", kind) if kinds[c] == "variant" else F.col(c).try_cast(kind)
+
+    return stages.withColumnRenamed("parent_id", "run_id").select(
+        "run_id", "path", "ordinal",
+        F.coalesce(field("name", "string"), F.when(last.try_cast("int").isNull(), last)).alias("name"),
         field("status", "string").alias("status"),
         field("duration_ms", "double").alias("duration_ms"),
         field("reason", "string").alias("reason"),
+        "row_id", "parent_row_id", "parent_path", "value_text",
+        *(F.col("`" + c.replace("`", "``") + "`") for c in stages.columns if c.startswith("f_")),
     )
 
 
+def p2_events(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of trace events."""
+    return _flat_table(spark, base, "audit_runs", "trace", "trace.events")
+
+
+def p2_stage_missing_relationships(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of the missing relationships that stages name, below their stage."""
+    return _flat_table(spark, base, "audit_runs", "trace", "trace.stages.metadata.missing_relationships")
+
+
+def p2_missing_relationships(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of missing relationships."""
+    return _flat_table(spark, base, "audit_runs", "model_detail", "model_detail.missing_relationships")
+
+
+def p2_interpretations(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of interpretations."""
+    return _flat_table(spark, base, "audit_runs", "model_detail", "model_detail.interpretations")
+
+
+def p2_report_cards(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of report cards."""
+    return _flat_table(spark, base, "reports", "cards", "cards")
+
+
+def p2_snapshot_cards(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of snapshot cards."""
+    return _flat_table(spark, base, "report_snapshots", "cards", "cards")
+
+
+def p2_snapshot_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The flat table of the rows of snapshot cards."""
+    return _flat_table(spark, base, "report_snapshots", "cards", "cards.rows")
+
+
+def p2_flat(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of all flat tables of all four columns, typed columns as one JSON object without nulls."""
+    parts = []
+    for table, key, columns in _NESTED:
+        records = _records(spark, base, table, key, *columns)
+        for column in columns:
+            for name, t in _flat(records, column).items():
+                typed = [c for c in t.columns if c.startswith("f_")]
+                fields = F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in typed))) if typed else F.lit("{}")
+                parts.append(t.select(F.lit(table).alias("parent_table"), F.lit(name).alias("flat_table"), *_NO_ROWS.replace(",", "").split()[::2], fields.alias("fields")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def p2_snapshot_tables(spark: SparkSession, base: str) -> DataFrame:
     """Row counts of all flat tables below report_snapshots.cards, found from the merged schema."""
     tables = _flat(_records(spark, base, "report_snapshots", "id", "cards"), "cards")
@@ -207,5 +275,13 @@ CAST(count(*) AS BIGINT) AS n_runs FROM numbered GROUP BY actor, s""",
 round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6, 3) AS duration_s, CAST(count(*) AS BIGINT) AS n_runs FROM numbered GROUP BY actor, s""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_stages, p2_snapshot_tables, p7_found, p7_sessions)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_paths, p1_descendants,
+        p2_found, p2_stages, p2_events, p2_stage_missing_relationships, p2_missing_relationships, p2_interpretations,
+        p2_report_cards, p2_snapshot_cards, p2_snapshot_rows, p2_flat, p2_snapshot_tables,
+        p7_found, p7_sessions,
+    )
+}
 SQL = P1_SQL | {"p2_found": _sql_p2()} | P7_SQL

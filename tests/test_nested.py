@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quernel.operators.nested import child_table, decoded, element_paths, flatten, object_fields, place, unwrapped
+from quernel.operators.nested import child_table, decoded, element_paths, flatten, flatten_record, object_fields, place, unwrapped
 from quernel.queries.corpus import p2_found
 
 
@@ -133,3 +133,77 @@ def test_found_comes_from_the_flat_tables(spark, sf, monkeypatch):
     assert rows and {("report_snapshots", r["parent_id"], r["path"]) for r in rows} <= got
     assert len({r["row_id"] for r in rows}) == len(rows)
     assert {r["parent_row_id"] for r in rows} <= {r["row_id"] for r in tables[3]["cards"].select("row_id").collect()}
+
+
+DEEP = [
+    {"s": [{"m": {"rel": ["a", None, {"x": 1.25}]}, "it's": [1]}, "word"], "o": {"p": {"q": [[1, 2], [3]]}}},
+    {"s": [{"m": {"rel": []}, "k": [7]}, {"k": {"deep": [8]}}, {"k": json.dumps([9])}, {"k": 5}], "o": [{"z": 1}]},
+    {"s": None},
+]
+
+
+def lists(v, path):
+    """Paths of the elements of all lists below; texts that hold a list are read through."""
+    v = through(v)
+    if isinstance(v, list):
+        return [q for i, x in enumerate(v) if x is not None for q in (f"{path}/{i}", *lists(x, f"{path}/{i}"))]
+    if isinstance(v, dict):
+        return [q for k, x in v.items() for q in lists(x, f"{path}/{k}")]
+    return []
+
+
+def test_every_list_below_objects_and_mixed_shapes(spark):
+    df = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(DEEP)], "id string, text string")
+    tables = flatten_record(df, "id", decoded(F.col("text")), "c")
+    got = sorted((r["parent_id"], r["path"]) for n, t in tables.items() if n != "c" for r in t.collect())
+    assert got == sorted((str(i), p) for i, d in enumerate(DEEP) for p in lists(d, "c"))
+    assert {"c.s", "c.s.m.rel", "c.s.k", "c.s.k.deep", "c.s.it's", "c.o", "c.o.p.q", "c.o.p.q[]"} <= set(tables)
+    rel = {r["path"]: r for r in tables["c.s.m.rel"].collect()}
+    assert rel["c/s/0/m/rel/0"]["value_text"] == "a" and rel["c/s/0/m/rel/2"]["value_text"] is None
+    assert float(rel["c/s/0/m/rel/2"]["f_x"]) == 1.25 and rel["c/s/0/m/rel/2"]["parent_path"] == "c/s/0"
+    every = {r["row_id"] for t in tables.values() for r in t.select("row_id").collect()}
+    above = {r["parent_row_id"] for n, t in tables.items() if n != "c" for r in t.select("parent_row_id").collect()}
+    assert above <= every
+
+
+def test_table_queries_hold_the_values(spark, sf):
+    from quernel.queries.corpus import QUERIES
+
+    runs = spark.read.parquet(f"{sf}/audit_runs.parquet").collect()
+    for query, column, field in (("p2_stages", "trace", "stages"), ("p2_events", "trace", "events"), ("p2_missing_relationships", "model_detail", "missing_relationships"), ("p2_interpretations", "model_detail", "interpretations")):
+        want = {}
+        for r in runs:
+            v = load(r[column])
+            if isinstance(v, dict):
+                want |= {(r["run_id"], p): x for p, x in parts(through(v.get(field)), f"{column}/{field}")}
+        df = QUERIES[query](spark, sf)
+        variants = [c for c, kind in df.dtypes if kind == "variant"]
+        rows = df.withColumns({c: F.to_json(c) for c in variants}).collect()
+        key = "run_id" if query == "p2_stages" else "parent_id"
+        assert len(rows) == len(want)
+        for r in rows:
+            x = want[r[key], r["path"]]
+            if isinstance(x, dict):
+                for f, y in x.items():
+                    z = r[f"f_{f}"]
+                    if y is None:
+                        assert z in (None, "null")
+                    else:
+                        assert (json.loads(z) if f"f_{f}" in variants else float(z) if isinstance(y, float) else z) == y
+            else:
+                assert r["value_text"] == str(x)
+
+
+def test_flat_holds_every_list(spark, sf):
+    from quernel.queries.corpus import QUERIES
+
+    got = {(r["parent_table"], r["flat_table"], r["parent_id"], r["path"]) for r in QUERIES["p2_flat"](spark, sf).collect()}
+    stages = set()
+    for r in spark.read.parquet(f"{sf}/audit_runs.parquet").collect():
+        v = load(r["trace"])
+        for p, x in parts(through(v.get("stages")), "trace/stages") if isinstance(v, dict) else []:
+            m = x.get("metadata") if isinstance(x, dict) else None
+            if isinstance(m, dict):
+                stages |= {(r["run_id"], q) for q, _ in parts(m.get("missing_relationships"), f"{p}/metadata/missing_relationships")}
+    assert stages and {g[2:] for g in got if g[1] == "trace.stages.metadata.missing_relationships"} == stages
+    assert {(t, i, p) for t, n, i, p in got if n in ("trace.stages", "trace.events", "model_detail.missing_relationships", "model_detail.interpretations", "cards", "cards.rows")} == brute(spark, sf)
