@@ -254,7 +254,55 @@ def hierarchy(
 def descendants(placed: DataFrame) -> DataFrame:
     """ancestor_id, node, distance: every node below every other, from ``path``.
 
-    Nodes on or below loops have no path and give no rows.
+    Nodes on or below loops have no path and give no rows; ``loop_descendants``
+    has theirs.
     """
     below = placed.where(F.size("path") > 1).select("node", "depth", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor_id"))
     return below.select("ancestor_id", "node", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+
+
+def cut_loops(placed: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """The nodes on or below loops: node, root_id, path, ring, entry.
+
+    Each loop is cut above its smallest id, which leaves a tree below that id:
+    ``path`` lists the ids from it to the node, ``ring`` those of the loop in
+    the same order, and ``entry`` says how many ids of ``path`` are on the loop.
+    """
+    looped = placed.where("in_loop").select("node", "parent_id", "root_id")
+    ends = looped.where(F.col("node") == F.col("root_id")).select("root_id", F.col("parent_id").alias("last"))
+    links = materialise(
+        looped.where(F.col("node") != F.col("root_id")).select(
+            "node",
+            F.col("parent_id").alias("parent"),
+            F.lit(1).cast("long").alias("w"),
+            F.col("node").alias("lo"),
+            F.array("node").alias("seg"),
+            F.xxhash64("root_id").alias("near"),  # a loop and what is below it lie together
+        ),
+        "cut",
+    )
+    solved = solve(links, links.count(), True, per_task).select("node", F.col("top").alias("root_id"), F.concat(F.array("top"), "seg").alias("path"))
+    tops = ends.select(F.col("root_id").alias("node"), "root_id", F.array("root_id").alias("path"))
+    trees = materialise(solved.unionByName(tops), "trees")
+    rings = trees.join(ends.withColumnRenamed("last", "node"), ["node", "root_id"]).select("root_id", F.col("path").alias("ring"))
+    return trees.join(rings, "root_id").select("node", "root_id", "path", "ring", F.size(F.array_intersect("path", "ring")).alias("entry"))
+
+
+def loop_descendants(cut: DataFrame) -> DataFrame:
+    """ancestor_id, node, distance, on_loop: every node from which a way down leads to a node on or below a loop.
+
+    Each pair comes once, with the fewest steps, and no node is its own
+    ancestor; ``on_loop`` says that the ancestor is on the loop. The way up
+    goes along the path and on, from the loop's smallest id, around the loop
+    until just before where the path left it.
+    """
+    steps = F.size("path") - 1
+    along = F.transform(
+        F.slice("path", F.lit(1), steps),
+        lambda a, i: F.struct(a.alias("ancestor_id"), (steps - i).alias("distance"), (i < F.col("entry")).alias("on_loop")),
+    )
+    around = F.transform(
+        F.slice("ring", F.col("entry") + 1, F.size("ring")),
+        lambda a, i: F.struct(a.alias("ancestor_id"), (steps + F.size("ring") - F.col("entry") - i).alias("distance"), F.lit(True).alias("on_loop")),
+    )
+    return cut.select("node", F.explode(F.concat(along, around)).alias("a")).select("a.ancestor_id", "node", F.col("a.distance").cast("int").alias("distance"), "a.on_loop")

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.hierarchy import descendants, hierarchy
+from quernel.operators.hierarchy import cut_loops, descendants, hierarchy, loop_descendants
 from quernel.operators.nested import decoded, flatten, flatten_record
 from quernel.operators.sessions import micros, sessionize
 from quernel.sources import read_table
@@ -34,11 +34,28 @@ def p1_paths(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, base: str) -> DataFrame:
-    """All later runs of every run, with the number of steps."""
+    """All later runs of every run in trees without loops, with the number of steps; p1_later_runs has all."""
     below = descendants(_runs_placed(spark, base, True))
     return below.select(F.col("ancestor_id").alias("run_id"), F.col("node").alias("later_run_id"), "distance")
 
 
+def p1_loop_paths(spark: SparkSession, base: str) -> DataFrame:
+    """Every run on or below a loop, with its path from the loop's smallest id, at which the loop is cut."""
+    cut = cut_loops(_runs_placed(spark, base, False))
+    return cut.select(
+        F.col("node").alias("run_id"), "root_id", (F.size("path") - 1).alias("steps"),
+        (F.size("path") == F.col("entry")).alias("on_loop"), F.array_join("path", "/").alias("path"), F.array_join("ring", "/").alias("loop"),
+    )
+
+
+def p1_later_runs(spark: SparkSession, base: str) -> DataFrame:
+    """All later runs of every run, also on and below loops, with the fewest steps and whether the earlier run is on a loop."""
+    placed = materialise(_runs_placed(spark, base, True), "placed")
+    free = descendants(placed).withColumn("on_loop", F.lit(False))
+    below = free.unionByName(loop_descendants(cut_loops(placed)))
+    return below.select(F.col("ancestor_id").alias("run_id"), F.col("node").alias("later_run_id"), "distance", "on_loop")
+
+
 _SQL_WALK = r"""
 WITH RECURSIVE bare AS (
   SELECT nullif(lower(regexp_replace(run_id, '^\s+|\s+$', '', 'g')), '') AS node,
@@ -278,7 +295,7 @@ round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6, 3) AS durat
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_paths, p1_descendants,
+        p1_found, p1_paths, p1_descendants, p1_loop_paths, p1_later_runs,
         p2_found, p2_stages, p2_events, p2_stage_missing_relationships, p2_missing_relationships, p2_interpretations,
         p2_report_cards, p2_snapshot_cards, p2_snapshot_rows, p2_flat, p2_snapshot_tables,
         p7_found, p7_sessions,

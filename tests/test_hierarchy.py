@@ -65,3 +65,50 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "x")], "id string, up string")
     got = H.descendants(H.hierarchy(df, "id", ["up"], with_paths=True))
     assert sorted(map(tuple, got.collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+def chased(links):
+    """(ancestor, node, distance) of every node, up until the way repeats."""
+    out = set()
+    for n in links:
+        x, steps, seen = links[n], 1, {n}
+        while x is not None and x in links and x not in seen:
+            out.add((x, n, steps))
+            seen.add(x)
+            x, steps = links[x], steps + 1
+    return out
+
+
+def on_loop(links, n):
+    x = links[n]
+    for _ in range(len(links)):
+        if x == n:
+            return True
+        if x is None:
+            return False
+        x = links[x]
+    return False
+
+
+@pytest.mark.parametrize(("seed", "span", "per_task", "shrink"), [(1, 3, 50, 0.7), (3, 5, 60, 0.0), (4, 2, 10_000, 0.7)])
+def test_later_nodes_on_and_below_loops(spark, monkeypatch, seed, span, per_task, shrink):
+    monkeypatch.setattr(H, "SHRINK", shrink)
+    links = graph(seed, 400, span)
+    df = spark.createDataFrame([(k, v) for k, v in links.items()], "id string, up string")
+    placed = H.hierarchy(df, "id", ["up"], F.substring("id", 2, 9).cast("long"), True, per_task)
+    looped = H.loop_descendants(H.cut_loops(placed, per_task)).collect()
+    got = [(r["ancestor_id"], r["node"], r["distance"]) for r in looped] + [tuple(r) for r in H.descendants(placed).collect()]
+    assert len(got) == len(set(got)) and set(got) == chased(links)
+    assert any(not r["on_loop"] for r in looped)
+    assert all(r["on_loop"] == on_loop(links, r["ancestor_id"]) for r in looped)
+
+
+def test_later_runs_query(spark, sf):
+    from quernel.queries.corpus import p1_descendants, p1_found, p1_later_runs, p1_loop_paths, p1_paths
+
+    links = {r["run_id"]: r["parent_id"] for r in p1_paths(spark, sf).collect()}
+    got = {(r["run_id"], r["later_run_id"], r["distance"]) for r in p1_later_runs(spark, sf).collect()}
+    assert got == chased(links) and got > {tuple(r) for r in p1_descendants(spark, sf).collect()}
+    cut = {r["run_id"]: r for r in p1_loop_paths(spark, sf).collect()}
+    assert set(cut) == {r["run_id"] for r in p1_found(spark, sf).where("depth = -1").collect()}
+    assert all(r["path"].split("/")[0] == r["root_id"] and r["path"].split("/")[-1] == n for n, r in cut.items())
