@@ -207,11 +207,11 @@ class Topics:
         return best if score[best] >= EVIDENCE else None
 
     def document_subjects(self, text: str | None, share: float = SHARE) -> list[str]:
-        """The subjects that at least ``share`` of a text's sentences are about; none for a text without words."""
+        """The subjects that at least ``share`` of all of a text's sentences are about; none for a text without words."""
         if not text:
             return []
-        some = [s for s in self.sentence_subjects(text) if s is not None]
-        return [self.subjects[s] for s in sorted(set(some)) if some.count(s) >= share * len(some)]
+        each = self.sentence_subjects(text)
+        return [self.subjects[s] for s in sorted({s for s in each if s is not None}) if each.count(s) >= share * len(each)]
 
 
 def _indexed(counted: DataFrame, vocab: list[str], labels: DataFrame, subjects: list[str]) -> DataFrame:

@@ -83,3 +83,11 @@ def test_table_and_empty(spark, topics):
     none = S.fit(df.where("false"), "doc_id", "text", labels, areas)
     assert none.document_subjects("any text here") == []
     assert S.fit(df, "doc_id", "text", labels, areas.where("false")).document_subjects("any text") == []
+
+
+def test_share_is_of_all_sentences(topics):
+    plain = "Nobody could say why. " * 17
+    few = "The result has many court and some verdict in it. " * 2 + "The result has many bread and some soup in it. "
+    assert [topics.subjects[s] for s in topics.sentence_subjects(plain + few) if s is not None] == ["law", "law", "food"]
+    assert topics.document_subjects(plain + few) == []
+    assert topics.document_subjects("Nobody could say why. " * 4 + few) == ["law"]
