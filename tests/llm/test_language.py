@@ -64,3 +64,9 @@ def test_unbroken_text(profiles):
     assert len(profiles.stretches("x" * 300_000)) <= 1
     assert profiles.stretches("1" * 300_000) == []
     assert [s[0] for s in profiles.stretches("a=" * 100_000 + " " + TEXTS["de"][2])] == ["de"]
+
+
+def test_sample_is_not_thinned_further():
+    from quernel.llm import language
+
+    assert language.SAMPLE_ROWS >= 20_000
