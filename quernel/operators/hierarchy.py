@@ -10,9 +10,13 @@ closes on itself, at whatever level that happens, and are named by their
 smallest id. Paths are materialised the same way: each forest walks its own
 parent index, and the pieces are put together on the way down.
 
-No task ever holds more than ``LINKS_PER_TASK`` links. Where links have no
-locality, so that contracting them doesn't shrink them, pointer doubling takes
-over (joins only), which needs no locality.
+Parts hold about ``LINKS_PER_TASK`` links at most (range bounds are sampled), and
+all cores get some where there are enough. Where links have no locality, so
+that their ranges don't shrink them, later levels place them by coins instead:
+each node throws one, and a link from a node with tails to one with heads lies
+with its parent's own link. Leaves vanish at every level and a quarter of the
+nodes with one child do, whatever the order of ids, so the levels are few and the
+method stays the same.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from quernel.workspace import materialise
 
 LINKS_PER_TASK = 100_000
-#: A contraction that leaves more than this share of the links has no locality to use.
+#: A task of fewer links isn't worth its start.
+LEAST_LINKS = 2_000
+#: Ranges that leave more than this share of the links have no locality to use.
 SHRINK = 0.7
 BATCH_IDS = 200_000
 
@@ -100,11 +106,28 @@ def _above(solved: DataFrame) -> DataFrame:
     return solved.select(F.col("node").alias("top"), *(F.col(c).alias(f"{c}2") for c in ("top", "steps", "lo", "loop", "seg")))
 
 
-def solve(links: DataFrame, n: int, with_paths: bool, per_task: int = LINKS_PER_TASK) -> DataFrame:
+def _placed(links: DataFrame, parts: int, per_task: int, level: int, by_coins: bool) -> DataFrame:
+    """The links in ``parts`` partitions: by ranges of ``near``, or by coins that differ from level to level.
+
+    A parent with so many children that they would fill a good part of a task
+    counts as tails, so its children stay spread; there are few such parents.
+    """
+    if parts == 1:
+        return links.coalesce(1)
+    if not by_coins:
+        return links.repartitionByRange(parts, "near", "node")
+    heads = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 1
+    hot = links.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, per_task // 4)).select("parent", F.lit(True).alias("hot"))
+    joined = links.join(hot, "parent", "left")
+    key = F.when(heads("parent") & ~heads("node") & F.col("hot").isNull(), F.col("parent")).otherwise(F.col("node"))
+    return joined.drop("hot").repartition(parts, key)
+
+
+def solve(links: DataFrame, n: int, with_paths: bool, per_task: int = LINKS_PER_TASK, level: int = 0, by_coins: bool = False) -> DataFrame:
     """FOREST rows, fully resolved, of the ``n`` links (node, parent, w, lo, seg, near)."""
-    parts = max(1, math.ceil(n / per_task))
-    placed = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "near", "node")
-    local = placed.mapInPandas(lambda it: forest(it, with_paths), FOREST)
+    cores = links.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(n / per_task), min(cores, n // LEAST_LINKS))
+    local = _placed(links, parts, per_task, level, by_coins).mapInPandas(lambda it: forest(it, with_paths), FOREST)
     if parts == 1:
         return local
     local = materialise(local, "forest")
@@ -124,7 +147,7 @@ def solve(links: DataFrame, n: int, with_paths: bool, per_task: int = LINKS_PER_
     m = contracted.count()
     if m == 0:
         return local
-    higher = double(contracted, with_paths) if m > SHRINK * n else solve(contracted, m, with_paths, per_task)
+    higher = materialise(solve(contracted, m, with_paths, per_task, level + 1, by_coins or m > SHRINK * n), "higher")
     far = F.col("top2").isNotNull() & ~F.col("loop")
     closed = far & F.col("loop2")
     return local.join(_above(higher), "top", "left").select(
@@ -138,59 +161,6 @@ def solve(links: DataFrame, n: int, with_paths: bool, per_task: int = LINKS_PER_
     )
 
 
-def _hops(links: DataFrame, with_paths: bool) -> tuple[DataFrame, int]:
-    """Doubles all pointers until only loops, if any, are pending; the nodes and how many are pending.
-
-    As tree depths have no gaps, a round that resolves nothing more shows that
-    all pending nodes are on or below loops; a loop's smallest id is known
-    when the reach covers it.
-    """
-    seg = F.col("seg") if with_paths else F.lit(None).cast("array<string>")
-    at = links.select("node", F.col("parent").alias("top"), F.col("w").alias("steps"), "lo", seg.alias("seg"), "near")
-    before, reach = -1, 1
-    while True:
-        hop = at.select(F.col("node").alias("top"), *(F.col(c).alias(f"{c}2") for c in ("top", "steps", "lo", "seg")))
-        more = F.col("top2").isNotNull()
-        at = materialise(
-            at.join(hop, "top", "left").select(
-                "node",
-                F.coalesce("top2", "top").alias("top"),
-                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-                F.when(more, F.least("lo", "lo2")).otherwise(F.col("lo")).alias("lo"),
-                F.when(more, F.concat("seg2", "seg")).otherwise(F.col("seg")).alias("seg"),
-                "near",
-                more.alias("pending"),
-            ),
-            "doubled",
-        )
-        pending, reach = at.where("pending").count(), reach * 2
-        if pending == 0 or (pending == before and reach >= pending):
-            return at, pending
-        before = pending
-        at = at.drop("pending")
-
-
-def double(links: DataFrame, with_paths: bool) -> DataFrame:
-    """FOREST rows by pointer doubling, for links without locality."""
-    at, pending = _hops(links, False)
-    name = at.where("pending").select(F.col("node").alias("top"), F.col("lo").alias("name"))
-    solved = at.join(name, "top", "left").select(
-        "node",
-        F.when(F.col("pending"), F.col("name")).otherwise(F.col("top")).alias("top"),
-        F.when(F.col("pending"), F.lit(-1)).otherwise(F.col("steps")).cast("long").alias("steps"),
-        "lo",
-        F.col("pending").alias("loop"),
-        "seg",
-        "near",
-    )
-    if not with_paths:
-        return solved
-    solved = materialise(solved.drop("seg"), "solved")
-    free = solved.where(~F.col("loop")).select("node")
-    segs = _hops(links.join(free, "node", "left_semi"), True)[0].select("node", "seg")
-    return solved.join(segs, "node", "left").select(*_COLUMNS)
-
-
 def normal_id(c: Column) -> Column:
     """An id without padding and letter case; null if blank."""
     bare = F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))

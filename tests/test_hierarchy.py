@@ -34,7 +34,7 @@ def graph(seed, n, span):
     return links
 
 
-@pytest.mark.parametrize(("seed", "span", "per_task", "shrink"), [(1, 3, 50, 0.7), (2, 400, 40, 0.7), (3, 5, 60, 0.0), (4, 2, 10_000, 0.7)])
+@pytest.mark.parametrize(("seed", "span", "per_task", "shrink"), [(1, 3, 50, 0.7), (2, 400, 40, 0.7), (3, 5, 60, 0.0), (4, 2, 10_000, 0.7), (5, 1, 90, 0.0)])
 def test_equals_pointer_chasing(spark, monkeypatch, seed, span, per_task, shrink):
     monkeypatch.setattr(H, "SHRINK", shrink)
     links = graph(seed, 400, span)
@@ -43,6 +43,29 @@ def test_equals_pointer_chasing(spark, monkeypatch, seed, span, per_task, shrink
     assert {r["node"]: (r["root_id"], r["depth"], r["in_loop"], r["path"]) for r in got.collect()} == brute(links)
 
 
+def test_one_chain_in_random_order_and_a_star(spark):
+    """Without locality every level still shrinks, and a parent of most nodes doesn't gather its children."""
+    rnd = random.Random(7)
+    ids = [f"x{i:04d}" for i in rnd.sample(range(600), 600)]
+    links = dict(zip(ids[1:], ids, strict=False)) | {ids[0]: None}
+    for i in range(300):
+        links |= {f"s{i}": ids[40], f"t{i}": f"s{i}"}
+    df = spark.createDataFrame(list(links.items()), "id string, up string")
+    got = H.hierarchy(df, "id", ["up"], None, False, 100)
+    assert {r["node"]: (r["root_id"], r["depth"]) for r in got.collect()} == {k: v[:2] for k, v in brute(links).items()}
+
+
+def test_all_cores_take_part_and_levels_merge(spark, monkeypatch):
+    """Some thousands of links are cut into several parts, by the same way as billions."""
+    seen = []
+    placed = H._placed
+    monkeypatch.setattr(H, "_placed", lambda links, parts, *a: seen.append(parts) or placed(links, parts, *a))
+    n = 9_000
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 2, F.floor(F.col("id") * 0.7)).cast("string").alias("up"))
+    got = H.hierarchy(df, "id", ["up"], F.col("id").cast("long")).groupBy("root_id").count().count()
+    assert seen[0] > 1 and len(seen) > 1 and got == 3
+
+
 def test_dirty_pointers(spark):
     rows = [
         ("A ", None, None, 1), ("a", None, None, 1), ("b", " A\n", None, 1), ("c", " ", "B", 1), ("d", "", None, 1),
