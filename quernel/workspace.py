@@ -2,7 +2,8 @@
 
 A written table survives the loss of executors and, unlike a cached plan, is
 never computed twice. The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+``spark.checkpoint.dir``; only where that is unset and the master is local
+(tests) a folder of this machine is made.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="quernel-")
+            base = current.get() if current.isDefined() else None
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="quernel-")
         _roots[app] = f"{base.rstrip('/')}/quernel-{app}"
         atexit.register(_remove, spark, app)
     return _roots[app]
@@ -54,12 +60,20 @@ def _remove(spark: SparkSession, app: str) -> None:
         pass
 
 
+#: Bytes of input, as files or as the optimizer estimates them, that one part of costly work holds at most.
+SPREAD_BYTES = 16 << 20
+#: More parts than this cost the driver more than they help; the estimate is useless where it is that large.
+MOST_PARTS = 200_000
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hash-partitioned by keys (or evenly) into enough parts for work that costs far more than its bytes.
 
-    The number is explicit, so that adaptive execution doesn't join small parts
-    again; grouping by the keys afterwards needs no further shuffle.
+    As many as the bytes need, and three for each core at least. The number is
+    explicit, so that adaptive execution doesn't join small parts again;
+    grouping by the keys afterwards needs no further shuffle.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, min(size // SPREAD_BYTES, MOST_PARTS))
     return df.repartition(n, *keys)
