@@ -14,7 +14,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENCODINGS = 4
+from quernel.workspace import materialise
+
+#: Repeated records up to this number are broadcast to drop them; beyond it they are joined by shuffle.
+BROADCAST_REPEATS = 200_000
 
 
 def _one_value(text: Column) -> Column:
@@ -27,15 +30,45 @@ def _one_value(text: Column) -> Column:
     return F.when(F.try_variant_get(held, "$[1]", "variant").isNull(), F.try_variant_get(held, "$[0]", "variant"))
 
 
+def _plain(text: Column) -> Column:
+    """A text that is a JSON string, read through to the text that isn't one.
+
+    Encoding a text again at least doubles its quotes and backslashes, so one of
+    n characters is encoded fewer than log2(n) + 2 times.
+    """
+    encoded = F.ltrim(text).startswith('"')
+    most = F.ceil(F.log2(F.length(text))).cast("int") + 2
+    inner = lambda t: F.when(F.ltrim(t).startswith('"'), F.try_variant_get(_one_value(t), "$", "string")).otherwise(t)
+    return F.when(encoded, F.reduce(F.sequence(F.lit(1), most), text, lambda t, _: inner(t))).otherwise(text)
+
+
 def decoded(text: Column) -> Column:
-    """The variant of a JSON text; texts encoded several times are read through.
+    """The variant of a JSON text; a text encoded several times is read through.
 
     Null for a null text and for text that is not one complete JSON value.
     """
-    for _ in range(MAX_ENCODINGS - 1):
-        inner = F.try_variant_get(_one_value(text), "$", "string")
-        text = F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
-    return _one_value(text)
+    return _one_value(_plain(text))
+
+
+def records(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each record once: id, rec and the decoded columns, kept so that texts are parsed once.
+
+    Rows with one id and equal texts are one record that arrived repeatedly;
+    with unlike texts they are records of their own, as are all rows without an
+    id. ``rec`` tells records apart: the same in every run, but for those
+    without an id. Only ids and hashes are shuffled.
+    """
+    at = F.monotonically_increasing_id()
+    texts = F.md5(F.concat(*(F.coalesce(F.concat(F.length(F.col(f"`{c}`")).cast("string"), F.lit(":"), F.col(f"`{c}`")), F.lit("-")) for c in columns)).cast("binary"))
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("id"), at.alias("at"), texts.alias("texts"), *(decoded(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
+    rec = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("id")), F.concat(F.lit("#"), F.col("at").cast("string"))), F.lit("\n"), F.col("texts")).cast("binary"))
+    rows = materialise(rows.select("id", "at", rec.alias("rec"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns))), "records")
+    again = rows.select("rec", "at").groupBy(F.col("rec").alias("again")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = materialise(again, "repeats")
+    if again.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
+        again = F.broadcast(again)
+    kept = rows.join(again, F.col("rec") == F.col("again"), "left").where(F.col("first").isNull() | (F.col("at") == F.col("first")))
+    return kept.select("id", "rec", *(f"`{c}`" for c in columns))
 
 
 def _as_object(v: Column) -> Column:
@@ -48,7 +81,7 @@ def _is_null(v: Column) -> Column:
 
 def unwrapped(v: Column) -> Column:
     """A variant that is itself a string holding JSON is read through."""
-    inner = _one_value(F.try_variant_get(v, "$", "string"))
+    inner = decoded(F.try_variant_get(v, "$", "string"))
     is_text = _as_object(v).isNull() & F.try_variant_get(v, "$", "array<variant>").isNull()
     return F.when(is_text, F.coalesce(inner, v)).otherwise(v)
 
@@ -92,17 +125,18 @@ def element_paths(v: Column, prefix: str | Column) -> Column:
     return F.transform(elements(v), lambda e: F.concat(head, F.lit("/"), e["key"]))
 
 
-def child_table(df: DataFrame, key: str, v: Column, path: str | Column) -> DataFrame:
-    """One row for each element at a place: key, path, ordinal, value.
+def child_table(df: DataFrame, key: str, v: Column, path: str | Column, rec: str | None = None) -> DataFrame:
+    """One row for each element at a place: parent_id, rec, path, ordinal, value.
 
-    ``ordinal`` is the element's position among the non-null elements where it
+    ``rec`` names the column that tells records apart, as a rule the key. ``ordinal`` is the element's position among the non-null elements where it
     stands by key, else its position in the array.
     """
     head = F.lit(path) if isinstance(path, str) else path
     return (
-        df.select(F.col(key).alias("parent_id"), head.alias("head"), F.posexplode(elements(v)).alias("at", "e"))
+        df.select(F.col(key).alias("parent_id"), _rec(key, rec), head.alias("head"), F.posexplode(elements(v)).alias("at", "e"))
         .select(
             "parent_id",
+            "rec",
             F.concat("head", F.lit("/"), "e.key").alias("path"),
             F.coalesce(F.expr("try_cast(e.key as int)"), F.col("at")).alias("ordinal"),
             F.col("e.value").alias("value"),
@@ -142,15 +176,19 @@ def object_fields(schema: str) -> dict[str, str]:
 _SCALARS = {"BIGINT": "bigint", "DOUBLE": "double", "STRING": "string", "BOOLEAN": "boolean"}
 
 
-def row_id(key: Column, path: Column) -> Column:
-    """The surrogate key of the row at a path of a record, the same in every run."""
-    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")), F.lit("\n"), path).cast("binary"))
+def _rec(key: str, rec: str | None) -> Column:
+    return (F.col(rec) if rec else F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).alias("rec")
+
+
+def row_id(path: Column) -> Column:
+    """The surrogate key of the row at a path of a record."""
+    return F.md5(F.concat(F.col("rec"), F.lit("\n"), path).cast("binary"))
 
 
 def flatten(
-    df: DataFrame, key: str, v: Column, path: str, name: str, declared: dict[str, str] | None = None
+    df: DataFrame, key: str, v: Column, path: str, name: str, declared: dict[str, str] | None = None, rec: str | None = None
 ) -> dict[str, DataFrame]:
-    """All flat tables below a place, keyed by their dotted name.
+    """All flat tables below a place, keyed by their dotted name; each is written once and read from there.
 
     Each table has row_id (its key), parent_row_id (the key of the element
     above, or of the column), parent_id (the record), parent_path, path,
@@ -158,20 +196,22 @@ def flatten(
     ``f_<field>``; objects and mixed types stay variants there. Every list
     below becomes a table of its own, also below objects (``name.object.field``),
     in fields of mixed shapes and directly in lists (``name[]``), recursively.
-    ``declared`` names places to be read as lists in whatever shape.
+    ``declared`` names places to be read as lists in whatever shape. ``rec``
+    names a column that tells records apart where keys don't (see ``records``).
     Elements that are no objects stand in ``value_text``. No elements: a table
     without ``f_`` columns and without rows.
     """
-    base = child_table(df, key, v, path).withColumn("parent_path", F.lit(path))
-    return _tables(base, name, declared or {})
+    base = child_table(df, key, v, path, rec).withColumn("parent_path", F.lit(path))
+    return _tables(materialise(base, "elements"), name, declared or {})
 
 
 def flatten_record(
-    df: DataFrame, key: str, v: Column, name: str, declared: dict[str, str] | None = None
+    df: DataFrame, key: str, v: Column, name: str, declared: dict[str, str] | None = None, rec: str | None = None
 ) -> dict[str, DataFrame]:
     """As ``flatten``, of columns that hold one object for each record: ``name`` is the table of these objects."""
     base = df.select(
         F.col(key).alias("parent_id"),
+        _rec(key, rec),
         F.lit(name).alias("path"),
         F.lit(0).alias("ordinal"),
         v.alias("value"),
@@ -254,23 +294,23 @@ def _tables(base: DataFrame, name: str, declared: dict[str, str]) -> dict[str, D
     text = F.try_variant_get("value", "$", "string")
     if fields:
         text = F.when(_as_object(F.col("value")).isNull(), text) if () in mixed else F.lit(None).cast("string")
-    above = row_id(F.col("parent_id"), F.col("parent_path")).alias("parent_row_id")
-    head = [row_id(F.col("parent_id"), F.col("path")).alias("row_id"), above, "parent_id", "parent_path", "path", "ordinal"]
+    head = [row_id(F.col("path")).alias("row_id"), row_id(F.col("parent_path")).alias("parent_row_id"), "parent_id", "parent_path", "path", "ordinal"]
     out = {name: base.select(*head, text.alias("value_text"), *columns)}
     for at, told in lists.items():
-        below = base.select("parent_id", F.col("path").alias("above"), _standing(at, mixed).alias("v"))
+        below = base.select("parent_id", "rec", F.col("path").alias("above"), _standing(at, mixed).alias("v"))
         found = elements(F.col("v"))
         if not told and at in mixed:  # objects at this place are no lists: what is below them has its own tables
             found = F.when(F.try_variant_get("v", "$[0]", "variant").isNotNull(), found)
         nested = (
-            below.select("parent_id", "above", F.posexplode(found).alias("at", "e"))
+            below.select("parent_id", "rec", "above", F.posexplode(found).alias("at", "e"))
             .select(
                 "parent_id",
+                "rec",
                 F.concat("above", F.lit("".join(f"/{f}" for f in at) + "/"), "e.key").alias("path"),
                 F.coalesce(F.expr("try_cast(e.key as int)"), F.col("at")).alias("ordinal"),
                 F.col("e.value").alias("value"),
                 F.col("above").alias("parent_path"),
             )
         )
-        out |= _tables(nested, ".".join([name, *at]) if at else f"{name}[]", declared)
+        out |= _tables(materialise(nested, "elements"), ".".join([name, *at]) if at else f"{name}[]", declared)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.hierarchy import cut_loops, descendants, hierarchy, loop_descendants
-from quernel.operators.nested import decoded, flatten, flatten_record
+from quernel.operators.nested import flatten, flatten_record, records
 from quernel.operators.sessions import micros, sessionize
 from quernel.sources import read_table
 from quernel.workspace import materialise
@@ -85,6 +85,14 @@ P1_SQL = {
     "p1_paths": _SQL_WALK
     + """SELECT run_id, parent_id, root_id, CAST(depth AS INTEGER) AS depth, in_loop, array_to_string(ids, '/') AS path FROM placed
 UNION ALL SELECT node, NULL, node, 0, FALSE, node FROM nodes WHERE node NOT IN (SELECT node FROM links)""",
+    "p1_loop_paths": _SQL_WALK
+    + """, tops AS (SELECT e.node AS top, list_concat([e.node], list_reverse(e.trail[2:])) AS ring FROM ended e JOIN placed p ON p.run_id = e.node WHERE e.in_loop AND p.root_id = e.node),
+cut AS (SELECT e.node, p.root_id, list_reverse(e.trail[:list_position(e.trail, p.root_id)]) AS ids FROM ended e JOIN placed p ON p.run_id = e.node WHERE e.in_loop)
+SELECT c.node AS run_id, c.root_id, CAST(len(c.ids) - 1 AS INTEGER) AS steps, list_contains(t.ring, c.node) AS on_loop, array_to_string(c.ids, '/') AS path, array_to_string(t.ring, '/') AS loop
+FROM cut c JOIN tops t ON t.top = c.root_id""",
+    "p1_later_runs": _SQL_WALK
+    + """, ringed AS (SELECT DISTINCT unnest(trail[list_position(trail, here):]) AS node FROM ended WHERE in_loop)
+SELECT here AS run_id, node AS later_run_id, CAST(len(trail) AS INTEGER) AS distance, here IN (SELECT node FROM ringed) AS on_loop FROM walk WHERE NOT list_contains(trail, here)""",
     "p1_descendants": _SQL_WALK
     + """, pairs AS (SELECT run_id, depth, ids, unnest(range(1, depth + 1)) AS i FROM placed WHERE NOT in_loop)
 SELECT ids[i] AS run_id, run_id AS later_run_id, CAST(depth - i + 1 AS INTEGER) AS distance FROM pairs""",
@@ -102,17 +110,15 @@ _LISTS = {
 
 
 def _records(spark: SparkSession, base: str, table: str, key: str, *columns: str) -> DataFrame:
-    """Each record once: id and decoded columns, kept so that texts are parsed once."""
-    rows = read_table(spark, base, table).groupBy(F.col(key).alias("id")).agg(*(F.max(c).alias(c) for c in columns))
-    return materialise(rows.select("id", *(decoded(F.col(c)).alias(c) for c in columns)), f"records-{table}")
+    return records(read_table(spark, base, table), key, list(columns))
 
 
-def _flat(records: DataFrame, column: str) -> dict[str, DataFrame]:
+def _flat(found: DataFrame, column: str) -> dict[str, DataFrame]:
     """All flat tables of a column, by name."""
     declared = dict.fromkeys(_LISTS[column], "list")
     if column == "cards":
-        return flatten(records, "id", F.col(column), column, column, declared)
-    return flatten_record(records, "id", F.col(column), column, declared)
+        return flatten(found, "id", F.col(column), column, column, declared, "rec")
+    return flatten_record(found, "id", F.col(column), column, declared, "rec")
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -136,10 +142,21 @@ _NO_ROWS = "row_id string, parent_row_id string, parent_id string, parent_path s
 
 
 def _flat_table(spark: SparkSession, base: str, table: str, column: str, name: str) -> DataFrame:
-    """One flat table with all its columns; without rows and typed columns where nothing stands there."""
+    """One flat table with all its columns; without rows and typed columns where nothing stands there.
+
+    Decimals come out as doubles, so that types don't change with the digits
+    stored, and what has no one type as JSON text.
+    """
     key = {t: k for t, k, _ in _NESTED}[table]
     found = _flat(_records(spark, base, table, key, column), column).get(name)
-    return spark.createDataFrame([], _NO_ROWS) if found is None else found
+    if found is None:
+        return spark.createDataFrame([], _NO_ROWS)
+
+    def settled(c: str, kind: str) -> Column:
+        v = F.col("`" + c.replace("`", "``") + "`")
+        return (F.to_json(v) if kind == "variant" else v.cast("double") if kind.startswith("decimal") else v).alias(c)
+
+    return found.select(*(settled(c, kind) for c, kind in found.dtypes))
 
 
 def p2_stages(spark: SparkSession, base: str) -> DataFrame:
@@ -152,7 +169,7 @@ def p2_stages(spark: SparkSession, base: str) -> DataFrame:
         c = f"f_{f}"
         if c not in kinds:
             return F.lit(None).cast(kind)
-        return F.try_variant_get(c, "$", kind) if kinds[c] == "variant" else F.col(c).try_cast(kind)
+        return F.col(c).try_cast(kind)
 
     return stages.withColumnRenamed("parent_id", "run_id").select(
         "run_id", "path", "ordinal",
@@ -204,9 +221,9 @@ def p2_flat(spark: SparkSession, base: str) -> DataFrame:
     """The rows of all flat tables of all four columns, typed columns as one JSON object without nulls."""
     parts = []
     for table, key, columns in _NESTED:
-        records = _records(spark, base, table, key, *columns)
+        found = _records(spark, base, table, key, *columns)
         for column in columns:
-            for name, t in _flat(records, column).items():
+            for name, t in _flat(found, column).items():
                 typed = [c for c in t.columns if c.startswith("f_")]
                 fields = F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in typed))) if typed else F.lit("{}")
                 parts.append(t.select(F.lit(table).alias("parent_table"), F.lit(name).alias("flat_table"), *_NO_ROWS.replace(",", "").split()[::2], fields.alias("fields")))
@@ -243,21 +260,62 @@ def _sql_decoded(text: str) -> str:
     return out
 
 
+def _sql_once(table: str, key: str, column: str) -> str:
+    """DuckDB: each record once: id, its surrogate rec, the decoded column d."""
+    texts = f"md5(coalesce(CAST(length({column}) AS VARCHAR) || ':' || {column}, '-'))"
+    return f"SELECT id, md5('=' || id || chr(10) || {texts}) AS rec, {_sql_decoded(column)} AS d FROM (SELECT DISTINCT {key} AS id, {column} FROM {table}) r"
+
+
 def _sql_p2() -> str:
     parts = []
     for column, fields in (("trace", ("stages", "events")), ("model_detail", ("missing_relationships", "interpretations"))):
-        once = f"SELECT run_id AS id, {_sql_decoded('txt')} AS d FROM (SELECT run_id, max({column}) AS txt FROM audit_runs GROUP BY run_id) r"
         for f in fields:
-            parts.append(f"SELECT 'audit_runs' AS parent_table, id AS parent_id, '{column}/{f}/' || unnest({_sql_keys('p')}) AS path FROM (SELECT id, json_extract(d, '$.{f}') AS p FROM ({once}) a) b")
-    once = "SELECT id, {} AS d FROM (SELECT id, max(cards) AS txt FROM {} GROUP BY id) r"
-    parts.append(f"SELECT 'reports', id, 'cards/' || unnest({_sql_keys('d')}) FROM ({once.format(_sql_decoded('txt'), 'reports')}) a")
-    cards = f"SELECT id, d, unnest({_sql_keys('d')}) AS k FROM ({once.format(_sql_decoded('txt'), 'report_snapshots')}) a"
-    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k FROM ({cards}) c")
-    value = "CASE WHEN json_type(d) = 'ARRAY' THEN json_extract(d, '$[' || k || ']') WHEN json_type(json_extract(d, '$.\"' || k || '\"')) = 'OBJECT' THEN json_extract(d, '$.\"' || k || '\"') ELSE d END"
-    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k || '/rows/' || unnest({_sql_keys('p')}) FROM (SELECT id, k, json_extract({value}, '$.rows') AS p FROM ({cards}) c) e")
+            parts.append(f"SELECT 'audit_runs' AS parent_table, id AS parent_id, '{column}/{f}/' || unnest({_sql_keys('p')}) AS path FROM (SELECT id, json_extract(d, '$.{f}') AS p FROM ({_sql_once('audit_runs', 'run_id', column)}) a) b")
+    parts.append(f"SELECT 'reports', id, 'cards/' || unnest({_sql_keys('d')}) FROM ({_sql_once('reports', 'id', 'cards')}) a")
+    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k FROM ({_SQL_CARDS}) c")
+    parts.append(f"SELECT 'report_snapshots', id, 'cards/' || k || '/rows/' || unnest({_sql_keys('p')}) FROM (SELECT id, k, json_extract(v, '$.rows') AS p FROM ({_SQL_CARDS}) c) e")
     return " UNION ALL ".join(parts)
 
 
+def _sql_at(p: str, k: str) -> str:
+    """DuckDB: the element with a key at a place."""
+    return f"CASE WHEN json_type({p}) = 'ARRAY' THEN json_extract({p}, '$[' || {k} || ']') WHEN json_type(json_extract({p}, '$.\"' || {k} || '\"')) = 'OBJECT' THEN json_extract({p}, '$.\"' || {k} || '\"') ELSE {p} END"
+
+
+_SQL_CARDS = f"SELECT id, k, {_sql_at('d', 'k')} AS v FROM (SELECT id, d, unnest({_sql_keys('d')}) AS k FROM ({_sql_once('report_snapshots', 'id', 'cards')}) a) b"
+
+
+def _sql_elements(records_sql: str, place: str, above: str) -> str:
+    """DuckDB: id, rec, above, k, o (ordinal), v of the elements at a place, an expression over d; ``above`` is the parent's path."""
+    keys = f"SELECT *, list_sort(ks) AS sorted FROM (SELECT *, {_sql_keys('p')} AS ks FROM (SELECT *, {place} AS p FROM ({records_sql}) a) b) c"
+    return f"SELECT id, rec, {above} AS above, k, coalesce(TRY_CAST(k AS INTEGER), CAST(list_position(sorted, k) - 1 AS INTEGER)) AS o, {_sql_at('p', 'k')} AS v FROM (SELECT *, unnest(ks) AS k FROM ({keys}) d) e"
+
+
+def _sql_flat(elements_sql: str, field: str, fields: list[str], mixed: bool) -> str:
+    """DuckDB: the flat table of elements, typed columns being texts."""
+    path = f"above || '/{field}/' || k"
+    text = "CASE WHEN json_type(v) <> 'OBJECT' THEN v->>'$' END" if mixed else "CAST(NULL AS VARCHAR)"
+    typed = "".join(f", CASE WHEN json_type(v) = 'OBJECT' THEN json_extract_string(v, '$.{f}') END AS f_{f}" for f in fields)
+    return f"SELECT md5(rec || chr(10) || {path}) AS row_id, md5(rec || chr(10) || above) AS parent_row_id, id AS parent_id, above AS parent_path, {path} AS path, o AS ordinal, {text} AS value_text{typed} FROM ({elements_sql}) x"
+
+
+_SQL_TRACE, _SQL_DETAIL = _sql_once("audit_runs", "run_id", "trace"), _sql_once("audit_runs", "run_id", "model_detail")
+_SQL_STAGES = _sql_elements(_SQL_TRACE, "json_extract(d, '$.stages')", "'trace'")
+P2_SQL = {
+    "p2_found": _sql_p2(),
+    "p2_events": _sql_flat(_sql_elements(_SQL_TRACE, "json_extract(d, '$.events')", "'trace'"), "events", ["at", "event_id", "event_type", "message", "stage"], False),
+    "p2_stage_missing_relationships": _sql_flat(
+        _sql_elements(f"SELECT id, rec, 'trace/stages/' || k AS stage, v AS d FROM ({_SQL_STAGES}) s", "json_extract(d, '$.metadata.missing_relationships')", "stage"), "metadata/missing_relationships", [], True
+    ),
+    "p2_missing_relationships": _sql_flat(_sql_elements(_SQL_DETAIL, "json_extract(d, '$.missing_relationships')", "'model_detail'"), "missing_relationships", ["from_table", "to_table"], True),
+    "p2_interpretations": _sql_flat(_sql_elements(_SQL_DETAIL, "json_extract(d, '$.interpretations')", "'model_detail'"), "interpretations", [], True),
+    "p2_snapshot_tables": f"""WITH cards AS ({_SQL_CARDS}), listed AS (SELECT id, json_extract(v, '$.rows') AS r, json_extract(v, '$.columns') AS c FROM cards)
+SELECT 'cards' AS flat_table, COUNT(*) AS n_rows, COUNT(DISTINCT id) AS n_records FROM cards
+UNION ALL SELECT 'cards.rows', CAST(SUM(n) AS BIGINT), COUNT(DISTINCT id) FILTER (WHERE n > 0) FROM (SELECT id, len({_sql_keys("r")}) AS n FROM listed) a
+UNION ALL SELECT 'cards.columns', CAST(SUM(n) AS BIGINT), COUNT(DISTINCT id) FILTER (WHERE n > 0) FROM (SELECT id, len({_sql_keys("c")}) AS n FROM listed) a""",
+}
+
+
 # -- 7: sessions --------------------------------------------------------------
 
 
@@ -301,4 +359,4 @@ QUERIES = {
         p7_found, p7_sessions,
     )
 }
-SQL = P1_SQL | {"p2_found": _sql_p2()} | P7_SQL
+SQL = P1_SQL | P2_SQL | P7_SQL
