@@ -69,11 +69,14 @@ MOST_PARTS = 200_000
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hash-partitioned by keys (or evenly) into enough parts for work that costs far more than its bytes.
 
-    As many as the bytes need, and three for each core at least. The number is
+    As many as the bytes need, and three for each core at least; without keys,
+    a frame that has two for each core as it is read isn't moved. The number is
     explicit, so that adaptive execution doesn't join small parts again;
     grouping by the keys afterwards needs no further shuffle.
     """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, min(size // SPREAD_BYTES, MOST_PARTS))
+    if not keys and df.rdd.getNumPartitions() >= max(2 * spark.sparkContext.defaultParallelism, size // (8 * SPREAD_BYTES)):
+        return df
     return df.repartition(n, *keys)
