@@ -4,15 +4,16 @@ Each partition packs its items online by best fit, with a fixed number of open
 bins. A bitset holds a bit for each amount of free space that some open bin
 has, so the best bin is the lowest set bit from the item's size on; when no bin
 fits and all places are taken, the fullest closes. Bins still open at a
-partition's end are packed once more, together with those of other partitions,
-so that partitions cost no space.
+partition's end are packed again as items, in the same way and with as many open
+bins, by fewer and fewer tasks until one is left, so that partitions cost no
+space.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,11 @@ OPEN_BINS = 256
 #: Items of size 0 that wait for a closed bin to go into, at most.
 WAITING = 10_000
 #: Bins left open that one task packs again.
-BINS_PER_TASK = 200_000
+BINS_PER_TASK = 16_384
 PACKED = "container long, item long, piece int, start long, size long, open boolean"
+_OUT = pa.schema([("container", pa.int64()), ("item", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("size", pa.int64()), ("open", pa.bool_())])
+#: Containers are numbered by level of packing, partition and bin.
+_LEVEL, _PART = 60, 40
 
 
 class BestFit:
@@ -81,15 +85,15 @@ class BestFit:
         return {b for bins in self.free.values() for b in bins}
 
 
-def _pack(capacity: int, open_bins: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(capacity: int, open_bins: int, level: int = 0):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer = BestFit(capacity, open_bins)
         held: list[tuple] = []  # rows of bins that may still be open
-        waiting: list[int] = []  # items of size 0
-        for pdf in batches:
+        waiting: list[int | None] = []  # items of size 0
+        for b in batches:
             out: list[tuple] = []
-            for item, size in zip(pdf["item"].tolist(), pdf["size"].tolist(), strict=True):
+            for item, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if size == 0:
                     waiting.append(item)
                     continue
@@ -113,10 +117,13 @@ def _pack(capacity: int, open_bins: int):
         yield _frame([r for r in held if r[0] not in still], part, False)
         yield _frame([r for r in held if r[0] in still], part, True)
 
-    def _frame(rows: list[tuple], part: int, is_open: bool) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["container", "item", "piece", "start", "size"])
-        frame["container"] += part << 40
-        return frame.assign(open=is_open)
+    def _frame(rows: list[tuple], part: int, is_open: bool) -> pa.RecordBatch:
+        first = (level << _LEVEL) + (part << _PART)
+        container, item, piece, start, size = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array([first + c for c in container], pa.int64()), pa.array(item, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array([is_open] * len(rows), pa.bool_())],
+            schema=_OUT,
+        )
 
     return run
 
@@ -134,17 +141,30 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, open_bins: int = OP
     rows = df.select(F.col(f"`{item}`").cast("long").alias("item"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"))
     rows = materialise(rows, "sizes")
     placed = rows.repartitionByRange("item", "size").sortWithinPartitions("item", "size")
-    packed = materialise(placed.mapInPandas(_pack(capacity, open_bins), PACKED), "packed")
-    left = packed.where("open").groupBy("container").agg(F.sum("size").alias("size")).withColumnRenamed("container", "item")
-    left = materialise(left, "open")
-    tasks = max(1, -(-left.count() // BINS_PER_TASK))
-    # The larger half first: bins filled online pack best in falling order.
-    again = left.repartition(tasks, F.col("item")).sortWithinPartitions(F.desc("size"), "item")
-    moved = again.mapInPandas(_pack(capacity, 1 << 30), PACKED).select(F.col("item").alias("container"), (F.col("container") + F.lit(1 << 62)).alias("joint"))
-    rest = packed.where("open").join(moved, "container").select(F.col("joint").alias("container"), "item", "piece", "start", "size")
+    packed = materialise(placed.mapInArrow(_pack(capacity, open_bins), PACKED), "packed")
+    joint = _joined(packed.where("open"), capacity, open_bins, 1)
+    rest = packed.where("open").join(joint, "container").select(F.col("joint").alias("container"), "item", "piece", "start", "size")
     return packed.where(~F.col("open")).select("container", "item", "piece", "start", "size").unionByName(rest)
 
 
+def _joined(left: DataFrame, capacity: int, open_bins: int, level: int) -> DataFrame:
+    """container, joint: the container into which each bin left open goes, as an item of the size of its content.
+
+    A task takes many times the bins that it leaves open, so the next level has
+    far fewer; the last has one task.
+    """
+    bins = materialise(left.groupBy("container").agg(F.sum("size").alias("size")), "open")
+    tasks = max(1, -(-bins.count() // max(BINS_PER_TASK, 2 * open_bins)))
+    again = bins.select(F.col("container").alias("item"), "size").repartition(tasks, "item").sortWithinPartitions("item")
+    moved = again.mapInArrow(_pack(capacity, open_bins, level), PACKED)
+    if tasks == 1:
+        return moved.select(F.col("item").alias("container"), F.col("container").alias("joint"))
+    moved = materialise(moved, "moved")
+    higher = _joined(moved.where("open"), capacity, open_bins, level + 1).withColumnRenamed("container", "at").withColumnRenamed("joint", "top")
+    joined = moved.join(higher, F.col("container") == F.col("at"), "left")
+    return joined.select(F.col("item").alias("container"), F.coalesce("top", F.col("container")).alias("joint"))
+
+
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
     """n_containers, n_tokens, least (containers that no packing can do without), filled (share of space used)."""
     bins = packed.groupBy("container").agg(F.sum("size").alias("size"))

@@ -54,3 +54,30 @@ def test_many_empty_items(spark):
         assert rows.count() == n_items and rows.where("container is null").count() == 0
         f = fill(rows, 10).head()
         assert f["n_tokens"] == total and f["n_containers"] <= 50 + 64
+
+
+def test_ids_come_back_as_they_are(spark):
+    some = [2**60 + 1, None, 2**60 + 3, -5]
+    df = spark.createDataFrame([(i, 4) for i in some], "doc long, n int").coalesce(1)
+    rows = pack(df, "doc", "n", 10).collect()
+    assert sorted((r["item"] for r in rows), key=str) == sorted(some, key=str)
+    assert rows[0]["container"] is not None and len({r["container"] for r in rows}) == 2
+
+
+def test_bins_left_open_are_packed_by_levels(spark, monkeypatch):
+    """Several tasks pack what partitions left open, with as many open bins as the first level, until one is left."""
+    from quernel.llm import packing
+
+    seen, run = [], packing._pack
+    monkeypatch.setattr(packing, "BINS_PER_TASK", 8)
+    monkeypatch.setattr(packing, "_pack", lambda c, o, level=0: (seen.append((level, o)), run(c, o, level))[1])
+    rnd = random.Random(4)
+    sizes = [rnd.randint(1, 70) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc long, n int").repartition(8)
+    rows = pack(df, "doc", "n", 100, 16).collect()
+    load = {}
+    for r in rows:
+        load[r["container"]] = load.get(r["container"], 0) + r["size"]
+    assert sorted(r["item"] for r in rows) == list(range(4000)) and max(load.values()) <= 100 and sum(load.values()) == sum(sizes)
+    assert {o for _, o in seen} == {16} and max(level for level, _ in seen) > 1
+    assert sum(sizes) / (100 * len(load)) > 0.95
