@@ -5,17 +5,19 @@ tails (the arcsine size function); digests merge by clustering their centroids
 again. Each partition digests its own values by (group, day), so what is moved
 is centroids; daily digests are kept and combine to any longer time. A second,
 counting pass over the values measures the rank error of every percentile; a
-group beyond the stated bound is digested again with more centroids, up to all
-its values, which is exact.
+group beyond the stated bound is digested again with eight times the centroids,
+twice at most, and what is still beyond it is read off the values in order,
+sorted by ranges, so that no task ever holds all values of a group.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.workspace import materialise
@@ -25,6 +27,8 @@ RANK_ERROR = 0.005
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Digests that one task merges at most, where partitions are more.
 FAN_IN = 256
+#: How often a group is digested again with eight times the centroids.
+AGAIN = 2
 #: Groups up to this number are broadcast in the counting pass; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -83,16 +87,35 @@ def partial_digests(df: DataFrame, keys: list[str], value: str, compression: int
 def merge_digests(digests: DataFrame, keys: list[str], compression: int) -> DataFrame:
     """One digest for each combination of keys; the input may itself be merged digests.
 
-    A task holds the digests of one key: as many as there are days, or see ``digests``.
+    A task goes through its digests in order of keys and holds those of one key:
+    as many as there are days, or see ``digests``. The number of tasks is that
+    of shuffle partitions, whatever the bytes, as the work isn't in the bytes.
     """
     schema = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys) + ", " + DIGEST
+    names = [*keys, "means", "weights", "low", "high", "n"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = _row(np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list()), pdf["low"].min(), pdf["high"].max(), pdf["n"].sum(), compression)
-        key = [None if pd.isna(x) else x for x in pdf[keys].iloc[0]]
-        return pd.DataFrame([(*key, *row)], columns=[*keys, "means", "weights", "low", "high", "n"])
+    def merged(key: tuple, some: list[tuple]) -> tuple:
+        means, weights, low, high, n = zip(*some, strict=True)
+        return (*key, *_row(np.concatenate(means), np.concatenate(weights), min(low), max(high), sum(n), compression))
 
-    return digests.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for pdf in batches:
+            out = []
+            cells = [[None if pd.isna(x) else x for x in pdf[k]] for k in keys]
+            for row in zip(zip(*cells, strict=True), pdf["means"], pdf["weights"], pdf["low"], pdf["high"], pdf["n"], strict=True):
+                if held and row[0] != key:
+                    out.append(merged(key, held))
+                    held = []
+                key = row[0]
+                held.append(row[1:])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([merged(key, held)], columns=names)
+
+    n = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return digests.select(*names).repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def digests(values: DataFrame, keys: list[str], value: str, compression: int = COMPRESSION) -> DataFrame:
@@ -124,11 +147,12 @@ def certify(values: DataFrame, keys: list[str], value: str, estimates: DataFrame
     e = materialise(estimates, "estimates")
     small = e.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     right = e.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", "estimates")
-    same = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        same = c if same is None else same & c
+    same = _same(keys)
     joined = values.select(*keys, F.col(value).alias("__v")).join(F.broadcast(right) if small else right, same)
+    return _certificate(joined, keys, percentiles)
+
+
+def _certificate(joined: DataFrame, keys: list[str], percentiles: tuple[float, ...]) -> DataFrame:
     counts = []
     for i in range(len(percentiles)):
         at = F.col("estimates")[i]
@@ -159,7 +183,7 @@ def percentiles(
     """
     values = materialise(df.select(*keys, day, value), "values")
     out, todo = None, values
-    while True:
+    for last in [False] * AGAIN + [True]:
         daily = digests(todo, [*keys, day], value, compression)
         whole = merge_digests(daily, keys, compression)
         done = materialise(certify(todo, keys, value, read_percentiles(whole, keys, quantiles), quantiles), "certified")
@@ -167,16 +191,43 @@ def percentiles(
         if bad.isEmpty():
             return done if out is None else out.unionByName(done)
         marks = bad.select(*(F.col(k).alias(f"__{k}") for k in keys))
-        same = None
-        for k in keys:
-            c = F.col(k).eqNullSafe(F.col(f"__{k}"))
-            same = c if same is None else same & c
+        same = _same(keys)
         good = done.join(marks, same, "left_anti")
         out = good if out is None else out.unionByName(good)
-        todo, compression = todo.join(marks, same, "left_semi"), compression * 8
+        todo = todo.join(marks, same, "left_semi")
+        if last:
+            return out.unionByName(exact(todo, keys, value, quantiles))
+        compression *= 8
+
+
+def _same(keys: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
 
 
-def possible_values(df: DataFrame, value: str) -> DataFrame:
-    """Rows whose value can have been measured: neither null, NaN, infinite, negative nor exactly zero."""
+def exact(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """As ``percentiles``, with the stored value at rank ceil(q n): counted values in order, by ranges.
+
+    Values are counted first, so equal ones are one row, and lie in ranges of
+    (keys, value); a group may span many. What goes round between the ranges is
+    one count for each group in each.
+    """
+    rows = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ordered = materialise(materialise(rows, "counted").repartitionByRange(*keys, "v").withColumn("part", F.spark_partition_id()), "ordered")
+    own = ordered.groupBy(*keys, "part").agg(F.sum("c").alias("s"))
+    w = Window.partitionBy(*keys).orderBy("part")
+    whole = Window.partitionBy(*keys)
+    sums = own.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("part").alias("at"), (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("n"))
+    inside = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ordered.withColumn("upto", F.sum("c").over(inside)).join(sums, _same(keys) & (F.col("part") == F.col("at")))
+    below, upto = F.col("before") + F.col("upto") - F.col("c"), F.col("before") + F.col("upto")
+    each = F.filter(F.array(*(F.struct(F.lit(float(q)).alias("percentile"), F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)).alias("rank")) for q in quantiles)), lambda x: (x["rank"] > below) & (x["rank"] <= upto))
+    return placed.select(*keys, "n", F.explode(each).alias("x"), F.col("v").alias("estimate"), below.alias("n_below"), F.col("c").alias("n_equal")).select(
+        *keys, "n", F.col("x.percentile").alias("percentile"), F.col("estimate").cast("double").alias("estimate"), "n_below", "n_equal", F.lit(0.0).alias("rank_error")
+    )
+
+
+def possible_values(df: DataFrame, value: str, above: float | None = None) -> DataFrame:
+    """Rows whose value can have been measured: neither null, NaN nor infinite and, if ``above`` is given, larger than that."""
     v = F.col(value)
-    return df.where(v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf")))
+    found = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return found if above is None else found.where(v > above)

@@ -63,6 +63,27 @@ def test_many_partitions(spark, monkeypatch):
 def test_impossible_values_and_empty(spark):
     rows = [(None,), (float("nan"),), (float("inf"),), (-1.0,), (0.0,), (2.0,)]
     df = spark.createDataFrame(rows, "v double")
-    assert [r[0] for r in D.possible_values(df, "v").collect()] == [2.0]
+    assert [r[0] for r in D.possible_values(df, "v", above=0.0).collect()] == [2.0]
+    assert [r[0] for r in D.possible_values(df, "v").collect()] == [-1.0, 0.0, 2.0]
     empty = spark.createDataFrame([], "k string, day int, v double")
     assert D.percentiles(empty, ["k"], "v", "day").count() == 0
+
+
+def test_what_digests_cannot_bound_is_read_off_in_order(spark, monkeypatch):
+    """A few atoms far apart: an interpolated value has no rank there; a group with ties and nulls as key."""
+    seen, run = [], D.exact
+    monkeypatch.setattr(D, "AGAIN", 0)
+    monkeypatch.setattr(D, "exact", lambda *a: (seen.append(1), run(*a))[1])
+    rng = np.random.default_rng(5)
+    rows = [("a", 1, float(x)) for x in rng.integers(0, 4, 5000) ** 9] + [(None, 1, float(x)) for x in rng.lognormal(1, 4, 3000)] + [("b", 2, 3.0)]
+    df = spark.createDataFrame(rows, "k string, day int, v double").repartition(6)
+    got = D.percentiles(df, ["k"], "v", "day", compression=2).collect()
+    assert seen and len(got) == 3 * len(D.PERCENTILES)
+    by = {}
+    for k, _, x in rows:
+        by.setdefault(k, []).append(x)
+    for r in got + run(df, ["k"], "v").collect():
+        v = np.sort(by[r["k"]])
+        assert r["n"] == len(v) and r["n_below"] == (v < r["estimate"]).sum() and r["n_equal"] == (v == r["estimate"]).sum()
+        off = max(r["n_below"] - r["percentile"] * len(v), r["percentile"] * len(v) - r["n_below"] - r["n_equal"], 0) / len(v)
+        assert off <= max(D.RANK_ERROR, 1 / len(v))
