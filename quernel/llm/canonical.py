@@ -102,14 +102,27 @@ _ENDS_CONDITION = _ENDS_LIST | {"join", "inner", "left", "right", "full", "cross
 _OPENS_CONDITION = {"where", "having", "on", "qualify"}
 
 
+# Words after which a name in brackets can stand.
+_BEFORE_NAME = _ENDS_CONDITION | {"select", "distinct", "all", "as", "by", "and", "or", "not", "in", "like", "is", "between", "update", "delete", "insert", "table", "set", "asc", "desc", "case"}
+_SET_WORDS = {"union", "intersect", "except"}
+_COMPARES = {"in", "=", "<>", "!=", "<", ">", "<=", ">=", "any", "all", "some"}
+
+
 def _tokens(sql: str) -> list[str]:
-    out = []
+    """Words, signs, numbers and literals; ``[i]`` right after a name or a closing bracket is a subscript and keeps its brackets."""
+    out: list[str] = []
+    operand = False  # whether the token before, if it touches, can have a subscript
     for m in _TOKEN.finditer(sql.translate(_INVISIBLE)):
         kind = m.lastgroup
         if kind is None:
+            operand = False
             continue
-        t = m[kind]
-        out.append(t if kind == "text" else t.casefold())
+        t = m[kind] if kind == "text" else m[kind].casefold()
+        if kind == "q3" and operand:
+            out += ["[", t, "]"]
+        else:
+            out.append(t)
+        operand = kind in ("q1", "q2", "q3") or kind == "word" and t not in _BEFORE_NAME or t in (")", "]")
     return out
 
 
@@ -162,8 +175,33 @@ def _condition(items: list) -> str:
     return " or ".join(alternatives)
 
 
-def _render(items: list) -> str:
+def _ordinals(items: list) -> bool:
+    """Whether ORDER BY or GROUP BY name a column by its number."""
+    for i, x in enumerate(items):
+        if x == "by" and i and items[i - 1] in ("order", "group"):
+            rest = items[i + 1 :]
+            stop = next((k for k, y in enumerate(rest) if isinstance(y, str) and y in _ENDS_LIST), len(rest))
+            if any(p and isinstance(p[0], str) and p[0].isdigit() for p in _split(rest[:stop], ",")):
+                return True
+    return False
+
+
+def _names_follow(items: list, i: int) -> bool:
+    """Whether what stands at ``i`` gives its columns, in order, to something else: a list of names, the values compared to it, or a table."""
+    listed = lambda k: 0 <= k < len(items) and isinstance(items[k], list) and items[k][0] == "("
+    k = i + 1 + (i + 1 < len(items) and items[i + 1] == "as")
+    if k < len(items) and isinstance(items[k], str) and items[k].isidentifier() and items[k] not in _BEFORE_NAME and listed(k + 1):
+        return True  # (select ..) as t (a, b)
+    if items[i - 1 : i] == ["as"] and listed(i - 2):
+        return True  # with t (a, b) as (select ..)
+    return i > 0 and isinstance(items[i - 1], str) and items[i - 1] in _COMPARES
+
+
+def _render(items: list, fixed: bool = False) -> str:
+    """The text of items; the order of a select list stays if something depends on it (``fixed``, set operations, ordinals)."""
     out: list[str] = []
+    united = any(isinstance(x, str) and x in _SET_WORDS for x in items)
+    fixed = fixed or united or _ordinals(items) or items[:1] in (["insert"], ["create"])
     i = 0
     while i < len(items):
         x = items[i]
@@ -172,7 +210,7 @@ def _render(items: list) -> str:
             if x[0] == "(" and not (inner and inner[0] in ("select", "with")) and ("and" in inner or "or" in inner):
                 out.append("( " + _condition(inner) + " )")
             else:
-                out.append(f"{x[0]} {_render(inner)} {x[-1]}")
+                out.append(f"{x[0]} {_render(inner, united or _names_follow(items, i))} {x[-1]}")
             i += 1
             continue
         out.append(x)
@@ -187,7 +225,8 @@ def _render(items: list) -> str:
             j = i
             while j < len(items) and not (isinstance(items[j], str) and items[j] in _ENDS_LIST):
                 j += 1
-            out.append(" , ".join(sorted(_render(p) for p in _split(items[i:j], ","))))
+            parts = [_render(p) for p in _split(items[i:j], ",")]
+            out.append(" , ".join(parts if fixed else sorted(parts)))
             i = j
         elif x in _OPENS_CONDITION or x == "when":
             j = i
@@ -203,8 +242,10 @@ def statement_key(sql: str | None) -> str | None:
 
     Besides whitespace, letter case, comments and the closing semicolon, the
     order of select-list items and of AND-ed conditions and the quotes around
-    identifiers are levelled. String literals count as written; all other order
-    stays. Null stays null; an empty or blank text has the key ''.
+    identifiers are levelled. The order of select-list items stays where something
+    depends on it: set operations, ORDER BY or GROUP BY by number, lists of column
+    names, comparisons with rows, inserts. String literals count as written; all
+    other order stays. Null stays null; an empty or blank text has the key ''.
     """
     if sql is None:
         return None

@@ -66,6 +66,10 @@ SQL_SAME = [
     ("select a from (select b, c from u) t", "select a from (select c, b from u) t"),
     ("select case when p and q then 1 end from t", "select case when q and p then 1 end from t"),
     ("select distinct a, b from t", "select distinct b, a from t"),
+    ("select [a], t.[b] from [t] order by a", "select t.b, a from t order by a"),
+    ("select a from t where exists (select b, c from u) and (p = 1)", "select a from t where exists (select c, b from u) and (p = 1)"),
+    ("with x as (select a, b from t) select a from x order by a limit 1", "with x as (select b, a from t) select a from x order by a limit 1"),
+    ("select a from (select b, c from u) t join (select d, e from w) v on t.b = v.d", "select a from (select c, b from u) t join (select e, d from w) v on t.b = v.d"),
 ]
 SQL_OTHER = [
     ("select a from t where x = 'Open'", "select a from t where x = 'open'"),
@@ -79,6 +83,17 @@ SQL_OTHER = [
     ("select f(a, b) from t", "select f(b, a) from t"),
     ("select a from t order by a", "select a from t order by a desc"),
     ("select count(a) from t", "select count(distinct a) from t"),
+    ("select x[i] from t", "select x i from t"),
+    ("select f(x)[i] from t", "select f(x) i from t"),
+    ("select a, b from t order by 1", "select b, a from t order by 1"),
+    ("select a, b from t order by a, 2 desc", "select b, a from t order by a, 2 desc"),
+    ("select a, b from t group by 1", "select b, a from t group by 1"),
+    ("select a, b from t union select c, d from u", "select b, a from t union select c, d from u"),
+    ("(select a, b from t) except (select c, d from u)", "(select b, a from t) except (select c, d from u)"),
+    ("select x from (select a, b from t) as v (x, y)", "select x from (select b, a from t) as v (x, y)"),
+    ("with v (x, y) as (select a, b from t) select x from v", "with v (x, y) as (select b, a from t) select x from v"),
+    ("select p from t where (a, b) in (select c, d from u)", "select p from t where (a, b) in (select d, c from u)"),
+    ("insert into v select a, b from t", "insert into v select b, a from t"),
 ]
 
 
