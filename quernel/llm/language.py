@@ -33,6 +33,8 @@ SAMPLE_ROWS = 20_000
 PROFILE_SIZE = 3000
 GRAMS = (1, 2, 3, 4, 5)
 ROUNDS = 3
+#: Texts that another language than those of NAMES must be the label of, where languages aren't given.
+LEAST_TEXTS = 20
 #: Price of changing the language between two words: within a clause, after a comma, after a clause.
 CHANGE = (2.5, 1.6, 0.55)
 #: A stretch less sure than this, or of fewer words, is no stretch of its own (names, codes): it belongs to its neighbour.
@@ -206,9 +208,9 @@ class Profiles:
 
 
 def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROUNDS) -> Profiles:
-    """Profiles from (text, language) pairs, some of them wrong or mixed."""
+    """Profiles of all languages of (text, language) pairs, some of them wrong or mixed."""
     def of(pick) -> Profiles:
-        counts: dict[str, Counter] = {lang: Counter() for lang in NAMES}
+        counts: dict[str, Counter] = {lang: Counter() for _, lang in rows}
         for text, lang in rows:
             for w in pick(text, lang):
                 counts[lang].update(grams(w))
@@ -226,11 +228,17 @@ def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROU
     return profiles
 
 
-def fit_on(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Profiles:
-    """Profiles fitted on at most ``sample_rows`` distinct labelled texts, in the order of their hash."""
+def fit_on(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS, languages: set[str] | None = None) -> Profiles:
+    """Profiles fitted on at most ``sample_rows`` distinct labelled texts, in the order of their hash.
+
+    Of ``languages``; without it, of those of ``NAMES`` and of every other that
+    at least ``LEAST_TEXTS`` texts of the sample are labelled with.
+    """
     pairs = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label")).where("text is not null and label is not null")
-    sample = bounded_sample(pairs, sample_rows)
-    return fit([(r["text"], lang) for r in sample if (lang := read_label(r["label"])) in NAMES])
+    rows = [(r["text"], lang) for r in bounded_sample(pairs, sample_rows) if (lang := read_label(r["label"])) is not None]
+    if languages is None:
+        languages = {lang for lang, n in Counter(lang for _, lang in rows).items() if lang in NAMES or n >= LEAST_TEXTS}
+    return fit([(t, lang) for t, lang in rows if lang in languages])
 
 
 SEGMENTS = "array<struct<lang string, confidence double, start int, stop int, n_words int>>"

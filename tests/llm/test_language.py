@@ -70,3 +70,15 @@ def test_sample_is_not_thinned_further():
     from quernel.llm import language
 
     assert language.SAMPLE_ROWS >= 20_000
+
+
+def test_other_languages_that_are_labelled(spark):
+    """Whatever is labelled often enough has a profile, and no other text is forced into the seven."""
+    sv = ["vilka kunder har köpt mest", "hur många order kom in igår", "visa intäkterna per region och månad", "varför är rabatten så hög"]
+    en = ["which customers bought the most", "how many orders came in yesterday", "show revenue by region and month", "why is the discount so high"]
+    rows = [(f"{a} {b} {i}", lang) for lang, some in (("sv", sv), ("en", en)) for a in some for b in some for i in range(3)] + [("x y", "rare"), (None, "sv"), ("q", None)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    p = L.fit_on(df, "t", "l")
+    assert p.langs == ["en", "sv"]
+    assert [s[0] for s in p.stretches("hur många kunder kom in igår")] == ["sv"]
+    assert L.fit_on(df, "t", "l", languages={"en"}).langs == ["en"]
