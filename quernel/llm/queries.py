@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, digest, duplicates, language, packing, pii, subjects
+from quernel.llm.once import once
 from quernel.sources import read_table
 from quernel.workspace import materialise, spread
 
@@ -31,8 +32,9 @@ def p3_representatives(spark: SparkSession, base: str) -> DataFrame:
 
 def _languages(spark: SparkSession, base: str) -> DataFrame:
     runs = read_table(spark, base, "audit_runs").select("run_id", "question", "question_lang")
-    profiles = language.fit_on(runs, "question", "question_lang")
-    return language.detect(spread(runs, "run_id").dropDuplicates(["run_id"]), "question", profiles)
+    profiles = language.fit_on(runs, "question", "question_lang", languages=set(language.NAMES))
+    found = language.detect(spread(runs), "question", profiles)
+    return once(found.select("run_id", "question_lang", "stretches"), "run_id")
 
 
 def p4_languages(spark: SparkSession, base: str) -> DataFrame:
@@ -57,7 +59,7 @@ OUTCOME = ["model", "runtime_outcome"]
 
 def _durations(spark: SparkSession, base: str) -> DataFrame:
     runs = read_table(spark, base, "audit_runs").select("run_id", *OUTCOME, F.to_date("created_at").alias("day"), "duration_ms")
-    return digest.possible_values(runs.dropDuplicates(["run_id"]), "duration_ms")
+    return digest.possible_values(once(runs, "run_id"), "duration_ms", above=0.0)
 
 
 def p5_percentiles(spark: SparkSession, base: str) -> DataFrame:
@@ -79,7 +81,7 @@ def p5_certificates(spark: SparkSession, base: str) -> DataFrame:
 
 P5_SQL = {
     "p5_certificates": """
-WITH runs AS (SELECT run_id, any_value(model) AS model, any_value(runtime_outcome) AS runtime_outcome, any_value(duration_ms) AS v FROM audit_runs GROUP BY run_id)
+WITH runs AS (SELECT run_id, min(model) AS model, min(runtime_outcome) AS runtime_outcome, min(duration_ms) AS v FROM audit_runs GROUP BY run_id)
 SELECT model, runtime_outcome, CAST(count(*) AS BIGINT) AS n, percentile, TRUE AS within
 FROM runs, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS percentile)
 WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v > 0 GROUP BY model, runtime_outcome, percentile"""
@@ -89,10 +91,10 @@ WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v > 0 GROUP BY model,
 
 
 def _texts(spark: SparkSession, base: str) -> DataFrame:
-    """record_table, record_id, text of every question and description, each record once."""
+    """record_table, record_id, text of every question and description, as they arrived."""
     runs = read_table(spark, base, "audit_runs").select(F.lit("audit_runs").alias("record_table"), F.col("run_id").alias("record_id"), F.col("question").alias("text"))
     reports = read_table(spark, base, "reports").select(F.lit("reports").alias("record_table"), F.col("id").alias("record_id"), F.col("description").alias("text"))
-    return spread(runs.unionByName(reports), "record_table", "record_id").dropDuplicates(["record_table", "record_id"])
+    return spread(runs.unionByName(reports))
 
 
 def _field(spark: SparkSession, base: str) -> pii.Field:
@@ -108,7 +110,7 @@ def _numbered(kind: str) -> Column:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Each occurrence of personal information, numbered by record and kind."""
-    rows = pii.find(_texts(spark, base), "text", _field(spark, base))
+    rows = once(pii.find(_texts(spark, base), "text", _field(spark, base)).drop("text"), "record_table", "record_id")
     numbered = [_numbered(kind) for kind in pii.KINDS]
     return rows.select("record_table", "record_id", F.explode(F.concat(*numbered)).alias("x")).select("record_table", "record_id", "x.kind", "x.n")
 
@@ -116,7 +118,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 def p6_redacted(spark: SparkSession, base: str) -> DataFrame:
     """Every question and description with typed placeholders."""
     rows = pii.redact(_texts(spark, base), "text", _field(spark, base))
-    return rows.select("record_table", "record_id", F.col("redacted").alias("text"))
+    return once(rows.select("record_table", "record_id", F.col("redacted").alias("text")), "record_table", "record_id")
 
 
 # -- 8: token ids -------------------------------------------------------------
@@ -153,8 +155,7 @@ def p9_fill(spark: SparkSession, base: str) -> DataFrame:
 def _subjects(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents").select("doc_id", "text", "lang")
     labels, areas = read_table(spark, base, "subject_labels"), read_table(spark, base, "subject_areas")
-    topics = subjects.fit(docs, "doc_id", "text", labels, areas, language.label_language("lang"))
-    return subjects.assign(spread(docs), "text", topics)
+    return subjects.subjects_by_document(spread(docs), "doc_id", "text", labels, areas, language.label_language("lang"))[0]
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
