@@ -59,6 +59,7 @@ class GovernedSql:
         self.tickets = Tickets()
         self.trace = Trace()
         self._counts: dict[str, float] = {}
+        self._values: dict[tuple[str, str], float] = {}
 
     def row_counts(self, tables: list[str]) -> dict[str, float]:
         """Rows of each table; Parquet footers tell, no column is read."""
@@ -67,6 +68,21 @@ class GovernedSql:
                 self._counts[t] = self.spark.table(t).count()
         return self._counts
 
+    def distinct_values(self, table: str, column: str) -> float | None:
+        """How many values a column has: its key's rows, its known values, those of the key it points at; else counted once, approximately."""
+        t = self.catalog.table(table)
+        c = t.column(column) if t else None
+        if c is None or t.key == {c.name}:
+            return None
+        if c.values_complete:
+            return float(len(c.values))
+        link = next((r for r in t.relationships if r.column.lower() == column.lower()), None)
+        if link and (target := self.catalog.table(link.target)) and target.key == {link.target_column}:
+            return self.row_counts([target.name])[target.name]
+        if (table, column) not in self._values:
+            self._values[table, column] = float(self.spark.table(table).agg(F.approx_count_distinct(column)).head()[0])
+        return self._values[table, column]
+
     def plan(self, sql: str, envelope: set[str] | None = None, from_model: bool = False) -> QueryPlan | Refusal:
         """The admitted plan, or the first gate's refusal."""
         began, stage = time.monotonic(), "sql_parse"
@@ -101,7 +117,7 @@ class GovernedSql:
                 checked = policy.check(self.spark, self.catalog, text)
                 policy.authority_gate(checked.tables, envelope, from_model)
             stage, began = "cost_gate", time.monotonic()
-            e = cost.estimate(checked.df._jdf.queryExecution().analyzed(), self.row_counts(checked.tables))
+            e = cost.estimate(checked.df._jdf.queryExecution().analyzed(), self.row_counts(checked.tables), self.distinct_values)
             cost.cost_gate(e, self.max_plan_rows, self.max_plan_cost)
             self.trace.add(stage, "PASS", began)
             plan = QueryPlan(uuid.uuid4().hex, checked.sql, checked.df, checked.tables, checked.columns, checked.functions, changes, values.unmatched, e)
@@ -142,5 +158,5 @@ def spellings(df: DataFrame, column: str, value: str, most: int = 2) -> DataFram
     """At most ``most`` stored values with the key of a value; built-in functions only, so it runs in the scan's stage."""
     c = F.col(column)
     key = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    key = F.when(key.rlike(r"^\d+$"), F.coalesce(F.nullif(F.ltrim(key, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(key)
+    key = F.when(key.rlike(r"^\p{Nd}+$"), F.coalesce(F.nullif(F.ltrim(key, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(key)
     return df.where(key == F.lit(rewrite.value_key(value))).select(c.alias("value")).distinct().orderBy("value").limit(most)
