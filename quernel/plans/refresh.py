@@ -1,4 +1,4 @@
-"""Saved cards: what their query relies on, running them again under filters, and whose rows may be shown."""
+"""Saved cards: what their query relies on, and running them again under filters."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from quernel.catalog import PUBLIC, Catalog, changed_tables, fingerprint
+from quernel.catalog import changed_tables, fingerprint
 from quernel.operators.report import MOST_SNAPSHOT_ROWS
 from quernel.plans.decide import Answer, replay
-from quernel.plans.policy import Checked
 from quernel.plans.rewrite import filter_table
 from quernel.plans.service import GovernedSql, QueryPlan
 
@@ -58,16 +57,6 @@ def refresh(service: GovernedSql, card: Card, filters: tuple[Filter, ...] = ())
     return Refreshed(out, changed_tables(card.basis, service.catalog), unfiltered, rows[:MOST_SNAPSHOT_ROWS], len(rows) > MOST_SNAPSHOT_ROWS or bool(out.result and out.result.truncated))
 
 
-def rows_shareable(checked: Checked, catalog: Catalog, shared: set[tuple[str, str]]) -> bool:
-    """Whether a probe's rows may be shown: every column read is public and shared; COUNT(*) alone reads none."""
-    for table, name in checked.columns:
-        t = catalog.table(table)
-        c = t.column(name) if t else None
-        if c is None or c.sensitivity != PUBLIC or (table, name) not in shared:
-            return False
-    return True
-
-
 @dataclass
 class StatisticsCache:
     """Column statistics kept for a while; where they can't be computed the last ones, or none, are given."""

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 # Keys that no event may hold.
 PROHIBITED = {"rows", "result_rows", "password", "api_key", "secret", "token", "authorization"}
 
+#: The log's fields: what was asked, what was decided and run, and how it went; lists and objects as JSON.
 AUDIT = T.StructType(
-    [T.StructField(n, T.StringType()) for n in "run_id actor connection_id question outcome reason proposed_sql executed_sql sql_changes follow_up_of edited_from columns trace".split()]
+    [T.StructField(n, T.StringType()) for n in "run_id actor connection_id question preset_id proposal_source model_decision model_reason_code model_detail runtime_outcome runtime_reason provider model proposed_sql executed_sql sql_changes follow_up_of edited_from columns model_context_hash trace".split()]
     + [T.StructField("row_count", T.IntegerType()), T.StructField("truncated", T.BooleanType()), T.StructField("duration_ms", T.DoubleType()), T.StructField("created_at", T.TimestampType())]
 )
 
@@ -25,7 +26,7 @@ def append_run(spark: SparkSession, path: str, run: dict[str, Any]) -> None:
     if bad:
         raise ValueError(f"fields {sorted(bad)} don't belong in the log")
     row = {n: run.get(n) for n in AUDIT.names} | {"created_at": run.get("created_at") or datetime.now(timezone.utc).replace(tzinfo=None)}
-    for n in ("sql_changes", "columns", "trace"):
+    for n in ("sql_changes", "columns", "trace", "model_detail"):
         if row[n] is not None and not isinstance(row[n], str):
             row[n] = json.dumps(row[n])
     spark.createDataFrame([row], AUDIT).coalesce(1).write.mode("append").parquet(path)

@@ -46,7 +46,7 @@ def test_not_repairable_and_blocked(service):
 def test_explore_and_budget(service):
     probe = Decision("EXPLORE", probes=("SELECT COUNT(*) AS n FROM orders",))
     s = Scripted([probe, OK])
-    assert answer(service, s, "q").outcome == "EXECUTED" and s.seen[1] == ["PROBE 1 rows of n"]
+    assert answer(service, s, "q").outcome == "EXECUTED" and s.seen[1][0].startswith("PROBE 1 rows; n 1 distinct 0 null\n")
     assert answer(service, Scripted([probe]), "q").outcome == "BUDGET_EXHAUSTED"
     clock = iter([0.0, 0.0, 500.0])
     assert answer(service, Scripted([probe]), "q", Budget(clock=lambda: next(clock, 500.0))).outcome == "BUDGET_EXHAUSTED"

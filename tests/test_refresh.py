@@ -2,8 +2,9 @@ import pytest
 
 from quernel.catalog import STAR
 from quernel.plans import policy
-from quernel.plans.refresh import Card, Filter, StatisticsCache, pin, refresh, rows_shareable
+from quernel.plans.refresh import Card, Filter, StatisticsCache, pin, refresh
 from quernel.plans.service import GovernedSql
+from quernel.plans.sharing import rows_shareable
 from quernel.queries.relational import TABLES
 from quernel.sources import register_tables
 
@@ -27,7 +28,7 @@ def test_refresh(spark, service):
 
 
 def test_sharing(spark, service):
-    check = lambda q: policy.check(spark, STAR, q)
+    check = lambda q: policy.check(spark, STAR, q).columns
     shared = {("orders", "o_orderkey")}
     assert rows_shareable(check("SELECT o_orderkey FROM orders"), STAR, shared)
     assert rows_shareable(check("SELECT COUNT(*) FROM orders"), STAR, shared)
