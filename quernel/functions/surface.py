@@ -23,7 +23,7 @@ SPELLINGS = {
     "age": "timestampdiff", "char_length": "char_length", "json_agg": "to_json(collect_list(..))", "jsonb_agg": "to_json(collect_list(..))",
     "json_build_object": "to_json(named_struct(..))", "json_extract_path_text": "get_json_object", "json_object_agg": "to_json(map_from_entries(collect_list(struct(..))))",
     "log": "log10", "logical_and": "bool_and", "logical_or": "bool_or", "row_to_json": "to_json(struct(..))", "starts_with": "startswith",
-    "statement_timestamp": "current_timestamp", "str_position": "position", "string_to_array": "split", "strpos": "instr", "time_to_str": "date_format",
+    "localtime": "current_time", "statement_timestamp": "current_timestamp", "str_position": "position", "string_to_array": "split", "strpos": "instr", "time_to_str": "date_format",
     "transaction_timestamp": "current_timestamp", "unnest": "explode", "array_to_string": "array_join",
 }
 

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 MOST_VALUES, LONGEST_VALUE, LEAST_COVERAGE, MOST_COUNTED = 30, 60, 0.99, 200
 LEAST_SHARE, LEAST_SEPARATED, LONGEST_LIST = 0.01, 0.1, 60
 SEPARATORS = (",", ";", "|")
-PERSONAL = re.compile(r"name|mail|phone|fax|street|address|city|postal|zip|birth|passport|iban|ssn|tax_?id|contact|comment|note", re.I)
+#: Codes and dates stored as text.
+FORMAT = r"^[0-9][0-9:/\-. T+]*$"
+# Words of a column's name that say its values are personal or secret; "name" does only after one of the second list.
+PERSONAL = "mail email phone mobile address street zip postal ssn passport password passwd secret token iban birth dob surname firstname lastname fullname cardnumber cardnum accountnumber accountnum socialsecurity".split()
+WHOSE = "first last full".split()
 
 
 def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,10 +30,11 @@ def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def shares(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, null_share, blank_share (two decimals; of all rows)."""
+    """column, n, null_share, blank_share (two decimals; of all rows; less than ``LEAST_SHARE`` counts as none)."""
     cells = stacked(df, columns)
     n = F.count(F.lit(1))
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 2)
+    of = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    share = lambda c: F.when(of(c) >= LEAST_SHARE, F.round(of(c), 2)).otherwise(0.0)
     return cells.groupBy("column").agg(
         n.alias("n"), share(F.col("value").isNull()).alias("null_share"), share(F.coalesce(F.trim("value") == "", F.lit(False))).alias("blank_share")
     )
@@ -62,6 +67,27 @@ def domains(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select("column", F.col("n_values").cast("long").alias("n_values"), complete.alias("complete"), F.when(complete, F.array_join("values", "|")).alias("values"))
 
 
+def format_examples(df: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
+    """column, examples: the first, middle and last value of columns of codes and dates, whose values are too many to list.
+
+    All values of such a column start with a digit and hold digits and ``:/-. T+``
+    only. The values between are found by their rank among distinct values.
+    """
+    cells = stacked(df, columns).where(F.col("value").isNotNull())
+    coded = cells.groupBy("column").agg(F.min(F.col("value").rlike(FORMAT)).alias("coded")).where("coded").select("column")
+    distinct = cells.join(F.broadcast(coded), "column").distinct()  # as many rows as columns
+    n = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_VALUES)
+    parts = distinct.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id())
+    sums = parts.groupBy("column", "part").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("column", "part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("column", "part").orderBy("value")
+    ranked = parts.join(before, ["column", "part"]).join(F.broadcast(n), "column").withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
+    wanted = F.array(*(F.round(F.lit(i) * (F.col("n") - 1) / F.lit(most - 1)).cast("long") for i in range(most)))
+    picked = ranked.where(F.array_contains(wanted, F.col("rank")))
+    return picked.groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("examples"))
+
+
 def patterns(df: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
     """column, pattern, n: the most frequent shapes of values that hold digits, digits as 9."""
     shaped = stacked(df, columns).where(F.col("value").rlike("[0-9]")).select("column", F.regexp_replace("value", "[0-9]", "9").alias("pattern"))
@@ -81,7 +107,13 @@ def separators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def eligible(df: DataFrame, keys: set[str]) -> list[str]:
     """Text columns that are neither keys nor, by their name, personal."""
-    return [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name not in keys and not PERSONAL.search(f.name.split("_", 1)[-1])]
+    return [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name not in keys and not personal(f.name)]
+
+
+def personal(name: str) -> bool:
+    """Whether a column's name says that its values are personal or secret."""
+    bare = re.sub(r"[\W_]+", "", name.lower())
+    return any(w in bare for w in PERSONAL) or any(f"{w}name" in bare for w in WHOSE)
 
 
 def unique_columns(df: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernel.catalog import Catalog, Relationship, Table, compatible
 from quernel.operators.profile import has_duplicates, match_rate
@@ -51,13 +53,15 @@ def candidates(catalog: Catalog, unique: dict[str, set[str]], most: int = MOST_C
 
 
 def verified(spark: SparkSession, some: list[Candidate], least: float = LEAST_RATE) -> list[Candidate]:
-    """Candidates whose values the target mostly stores, with the share; a query for each, on pruned columns."""
-    out = []
-    for c in some:
-        rate = match_rate(spark.table(c.table).select(c.column), c.column, spark.table(c.target).select(c.target_column), c.target_column).head()["rate"]
-        if rate is not None and rate >= least:
-            out.append(replace(c, rate=rate))
-    return out
+    """Candidates whose values the target mostly stores, with the share: one job over all, on pruned columns."""
+    if not some:
+        return []
+    each = [
+        match_rate(spark.table(c.table).select(c.column), c.column, spark.table(c.target).select(c.target_column), c.target_column).select(F.lit(i).alias("i"), "rate")
+        for i, c in enumerate(some)
+    ]
+    rates = {r["i"]: r["rate"] for r in reduce(DataFrame.unionByName, each).collect()}  # MOST_CANDIDATES rows at most
+    return [replace(c, rate=rates[i]) for i, c in enumerate(some) if rates[i] is not None and rates[i] >= least]
 
 
 def check_declaration(spark: SparkSession, catalog: Catalog, table: str, r: Relationship) -> str | None:
@@ -71,13 +75,18 @@ def check_declaration(spark: SparkSession, catalog: Catalog, table: str, r: Rela
         return "INCOMPATIBLE_TYPES"
     if any(x.column == r.column and x.target == r.target for x in t.relationships):
         return "DUPLICATE"
-    if any(x.column == r.column for x in t.relationships):
+    if any(x.column == r.column for x in t.relationships) or _meets(catalog, t.name, target.name):
         return "OTHER_PATH"
     if target.key != {r.target_column} and has_duplicates(spark.table(target.name).select(r.target_column), r.target_column):
         return "TARGET_NOT_UNIQUE"
     return None
 
 
+def _meets(catalog: Catalog, a: str, b: str) -> bool:
+    """Whether two tables are linked already, by columns of their own that point at each other or at one key."""
+    return any({t for t, _ in edge} == {a, b} for edge in catalog.edges)
+
+
 def merge_declared(catalog: Catalog, declared: dict[str, list[Relationship]]) -> tuple[Catalog, list[tuple[str, Relationship]]]:
     """The catalog with declared links, and those dropped because a table or column is gone."""
     stale: list[tuple[str, Relationship]] = []

@@ -26,8 +26,10 @@ def with_rest(df: DataFrame, category: str, series: str, measure: str, most: int
 
 
 def pivot(df: DataFrame, category: str, series: str, measure: str, most: int = MOST_SERIES) -> DataFrame:
-    """A row for each category and a column for each shown series."""
+    """A row for each category, the first ``MOST_CATEGORIES`` in natural order, and a column for each shown series."""
     long = with_rest(df, category, series, measure, most)
+    shown = long.select("category").distinct().orderBy(*natural("category")).limit(MOST_CATEGORIES)
+    long = long.join(F.broadcast(shown), long["category"].eqNullSafe(shown["category"]), "left_semi")
     names = [r[0] for r in long.select("series").distinct().orderBy("series").limit(most + 1).collect()]
     return long.groupBy("category").pivot("series", names).sum("total")
 
@@ -45,9 +47,16 @@ def points(df: DataFrame, x: str, y: str, most: int = MOST_POINTS) -> DataFrame:
     return df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").orderBy("x", "y").limit(most)
 
 
+def natural(label: str) -> list[Column]:
+    """The order of labels as people read them: numbers inside by their value, letter case last."""
+    c = F.col(label).cast("string")
+    padded = F.regexp_replace(F.regexp_replace(F.lower(c), r"(\d+)", "000000000000000000$1"), r"0*(\d{18})(?!\d)", "$1")
+    return [padded.asc_nulls_last(), c.asc_nulls_last()]
+
+
 def arranged(df: DataFrame, label: str, measure: str, how: str = "value_desc", most: int | None = None) -> DataFrame:
     """Rows in a chart's order, up to a limit."""
-    orders = {"value_desc": [F.desc_nulls_last(measure), F.asc(label)], "value_asc": [F.asc_nulls_last(measure), F.asc(label)], "label": [F.asc(label)]}
+    orders = {"value_desc": [F.desc_nulls_last(measure), *natural(label)], "value_asc": [F.asc_nulls_last(measure), *natural(label)], "label": natural(label)}
     out = df.orderBy(*orders[how])
     return out.limit(most) if most else out
 

@@ -59,12 +59,7 @@ def probe_report(df: DataFrame) -> DataFrame:
     return one.select(cells.alias("x")).select("x.*")
 
 
-def out_of_order(df: DataFrame, order: str, measure: str) -> DataFrame:
-    """n: rows whose measure is larger than that of the row before, by ``order``; 0 if falling.
-
-    For bounded results: the order is total, so one task handles all rows.
-    """
-    from pyspark.sql import Window
-
-    before = F.lag(measure).over(Window.orderBy(order))
-    return df.select(F.when(F.col(measure) > before, 1).otherwise(0).alias("up")).agg(F.sum("up").alias("n"))
+def out_of_order(rows: list[dict[str, Any]], measure: str) -> int:
+    """How many of a bounded result's rows have a larger measure than the row before; 0 if it is in falling order."""
+    values = [r[measure] for r in rows if r[measure] is not None]
+    return sum(b > a for a, b in zip(values, values[1:], strict=False))

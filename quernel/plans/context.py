@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import deque
 from dataclasses import dataclass
 
 from quernel.catalog import Catalog, Table
@@ -33,10 +32,9 @@ def words(text: str) -> set[str]:
 
 
 def score(table: Table, asked: set[str]) -> int:
-    """How well a table answers to the words of a question."""
-    hit = lambda text: len(words(text) & asked) > 0
-    columns = sum(any(p in asked for p in words(c.name.split("_", 1)[-1])) for c in table.columns)
-    return WEIGHTS["name"] * hit(table.name) + WEIGHTS["alias"] * any(hit(a) for a in table.aliases) + WEIGHTS["description"] * hit(table.description) + WEIGHTS["column"] * columns
+    """How well a table answers to the words of a question: each word counts once where it stands."""
+    texts = {"name": table.name, "alias": " ".join(table.aliases), "description": table.description, "column": " ".join(f"{c.name} {c.description}" for c in table.columns)}
+    return sum(WEIGHTS[place] * len(words(text) & asked) for place, text in texts.items())
 
 
 def neighbours(catalog: Catalog) -> dict[str, set[str]]:
@@ -50,19 +48,20 @@ def neighbours(catalog: Catalog) -> dict[str, set[str]]:
 
 
 def shortest_path(links: dict[str, set[str]], start: str, end: str, depth: int = DEPTH) -> list[str] | None:
-    """A shortest path of at most ``depth`` links; the first in order of names."""
-    queue = deque([[start]])
-    seen = {start}
-    while queue:
-        path = queue.popleft()
-        if path[-1] == end:
-            return path
-        if len(path) <= depth:
-            for n in sorted(links.get(path[-1], ())):
-                if n not in seen:
-                    seen.add(n)
-                    queue.append([*path, n])
-    return None
+    """A shortest path of at most ``depth`` links, going out from the start ring by ring; of several the first in order of names."""
+    before: dict[str, str] = {start: ""}
+    ring = [start]
+    for _ in range(depth):
+        if end in before:
+            break
+        ring = [n for a in ring for n in sorted(links.get(a, ())) if before.setdefault(n, a) == a and n != start]
+        ring = list(dict.fromkeys(ring))
+    if end not in before:
+        return None
+    path = [end]
+    while path[0] != start:
+        path.insert(0, before[path[0]])
+    return path
 
 
 @dataclass(frozen=True)

@@ -6,12 +6,14 @@ import threading
 import time
 import uuid
 from dataclasses import dataclass, field
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 1000
 TIMEOUT_S = 5.0
+CANCEL_EVERY_S = 0.2
 
 # Spark's error conditions (and words of its messages) by error class.
 CLASSES = {
@@ -34,16 +36,17 @@ CLASSES = {
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Output names made unique: a repeated name gets _2, _3 and so on, never one that is taken."""
-    taken = {n.lower() for n in names}
-    seen: set[str] = set()
-    out = []
-    for n in names:
-        new, k = n, 2
-        while new.lower() in seen or (new is not n and new.lower() in taken):
-            new, k = f"{n}_{k}", k + 1
-        seen.add(new.lower())
-        out.append(new)
+    """Output names that Spark's resolver, which knows no letter case, tells apart.
+
+    Every name stays with the first column that has it; a later one gets the
+    first number from 2 on that makes it another than all names given or made.
+    """
+    owner = {n.lower(): i for i, n in reversed(list(enumerate(names)))}
+    out = list(names)
+    for i, n in enumerate(names):
+        if owner[n.lower()] != i:
+            out[i] = next(c for k in count(2) if (c := f"{n}_{k}").lower() not in owner)
+            owner[out[i].lower()] = i
     return out
 
 
@@ -98,16 +101,24 @@ def run_bounded(spark: SparkSession, df: DataFrame, max_rows: int = MAX_ROWS, ti
     tag = f"quernel-{uuid.uuid4().hex}"
     sc = spark.sparkContext
     began = time.monotonic()
-    timer = threading.Timer(timeout_s, sc.cancelJobsWithTag, [tag])
+    ended = threading.Event()
+
+    def watch() -> None:
+        """Cancels what runs after the limit, again and again: a query is several jobs, one after the other."""
+        wait = timeout_s
+        while not ended.wait(wait):
+            sc.cancelJobsWithTag(tag)
+            wait = CANCEL_EVERY_S
+
     sc.addJobTag(tag)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         rows = df.limit(max_rows + 1).collect()
     except Exception as e:  # noqa: BLE001
         late = time.monotonic() - began >= timeout_s
         raise ExecutionError("STATEMENT_TIMEOUT" if late else error_class(e), str(e).split("\n")[0]) from e
     finally:
-        timer.cancel()
+        ended.set()
         sc.removeJobTag(tag)
     kept = [dict(zip(names, r, strict=True)) for r in rows[:max_rows]]
     return Result(names, kept, len(rows) > max_rows, (time.monotonic() - began) * 1000, len(kept), spark.conf.get("spark.sql.session.timeZone"))

@@ -80,27 +80,54 @@ class ConnectionProblem:
     field: str | None
 
 
-# What an error's text says, in the order in which it is tried; kind and the field to look at.
-PROBLEMS = (
-    (r"PATH_NOT_FOUND|does not exist|no such file", "not_found", "path"),
-    (r"permission denied|AccessControl|403 forbidden", "forbidden", None),
-    (r"could not translate host|unknown host|name or service not known|nodename nor servname", "unknown_host", "host"),
-    (r"connection refused|no route to host", "refused", "port"),
-    (r"timed? ?out", "timeout", "host"),
-    (r"password authentication failed|access denied for user|login failed|incorrect username or password|authentication", "bad_credentials", "password"),
-    (r"database .* does not exist|unknown database|cannot open database", "unknown_database", "database"),
-    (r"ssl|certificate|tls", "tls", "ssl"),
-    (r"CANNOT_READ_FILE|is not a parquet file|corrupt", "unreadable", "path"),
-    (r"ClassNotFound|no suitable driver|DATA_SOURCE_NOT_FOUND", "driver_missing", None),
-)
+# SQLSTATE classes and states of JDBC errors, exceptions of the JVM, Spark's conditions, and words that
+# drivers use where they give neither; with the kind of problem and the field to look at.
+STATES = {"28": ("bad_credentials", "password"), "3D": ("unknown_database", "database"), "08": ("refused", "port"), "HYT": ("timeout", "host"), "42501": ("forbidden", None), "3F": ("not_found", "schema")}
+EXCEPTIONS = {
+    "UnknownHostException": ("unknown_host", "host"), "NoRouteToHostException": ("refused", "host"), "ConnectException": ("refused", "port"), "SocketTimeoutException": ("timeout", "host"),
+    "SSLException": ("tls", "ssl"), "SSLHandshakeException": ("tls", "ssl"), "CertificateException": ("tls", "ssl"), "ClassNotFoundException": ("driver_missing", None), "AccessControlException": ("forbidden", None),
+    "FileNotFoundException": ("not_found", "path"),
+}
+CONDITIONS = {"PATH_NOT_FOUND": ("not_found", "path"), "FAILED_READ_FILE": ("unreadable", "path"), "CANNOT_READ_FILE_FOOTER": ("unreadable", "path"), "DATA_SOURCE_NOT_FOUND": ("driver_missing", None)}
+WORDS = (
+    ({"suitable", "driver"}, ("driver_missing", None)), ({"parquet", "not"}, ("unreadable", "path")), ({"certificate"}, ("tls", "ssl")), ({"ssl"}, ("tls", "ssl")),
+    ({"database", "exist"}, ("unknown_database", "database")), ({"unknown", "database"}, ("unknown_database", "database")), ({"unknown", "host"}, ("unknown_host", "host")),
+    ({"authentication"}, ("bad_credentials", "password")), ({"password"}, ("bad_credentials", "password")), ({"login"}, ("bad_credentials", "password")),
+    ({"refused"}, ("refused", "port")), ({"timed", "out"}, ("timeout", "host")), ({"timeout"}, ("timeout", "host")), ({"permission", "denied"}, ("forbidden", None)), ({"exist"}, ("not_found", "path")),
+)
+
+
+def _is_a(java: Any, name: str) -> bool:
+    c = java.getClass()
+    while c is not None and c.getName() != name:
+        c = c.getSuperclass()
+    return c is not None
+
+
+def _told(error: BaseException | str) -> tuple[str, list[str], list[str]]:
+    """The text of an error and its causes, the names of their classes, and their SQLSTATEs."""
+    texts, names, states = [str(error)], [type(error).__name__], []
+    java = getattr(error, "java_exception", None)
+    while java is not None:
+        texts.append(str(java.toString()))
+        names.append(java.getClass().getSimpleName())
+        if _is_a(java, "java.sql.SQLException") and java.getSQLState():
+            states.append(str(java.getSQLState()))
+        java = java.getCause()
+    text = " ".join(texts)
+    return text, names + re.findall(r"\b\w+Exception\b", text), states + re.findall(r"SQLSTATE\W{1,3}(\w{5})", text)
 
 
 def classify_error(error: BaseException | str) -> ConnectionProblem:
-    """Kind of a connection error, and the field that is likely wrong."""
-    text = str(error)
-    condition = getattr(error, "getCondition", lambda: None)()
-    text = f"{condition or ''} {text}"
-    return next((ConnectionProblem(k, f) for p, k, f in PROBLEMS if re.search(p, text, re.I)), ConnectionProblem("other", None))
+    """Kind of a connection error, and the field that is likely wrong: by Spark's condition, SQLSTATE, exception, or words."""
+    condition = getattr(error, "getCondition", lambda: None)() or ""
+    text, names, states = _told(error)
+    said = set(re.findall(r"[a-z]+", text.lower()))
+    found = [v for k, v in CONDITIONS.items() if condition.startswith(k)]
+    found += [v for s in states for k, v in STATES.items() if s.startswith(k)]
+    found += [EXCEPTIONS[n] for n in names if n in EXCEPTIONS]
+    found += [v for some, v in WORDS if some <= said]
+    return ConnectionProblem(*(found or [("other", None)])[0])
 
 
 def jdbc_reader(options: dict[str, Any]) -> Callable[[SparkSession, str], Any]:
