@@ -28,6 +28,14 @@ SPELLINGS = {
 }
 
 
+# Functions that Spark has under another name with the same arguments; and words that stand for a call.
+RENAMED = {
+    "array_to_string": "array_join", "logical_and": "bool_and", "logical_or": "bool_or", "starts_with": "startswith", "statement_timestamp": "current_timestamp",
+    "strpos": "instr", "transaction_timestamp": "current_timestamp",
+}
+BARE = {"localtime": "current_time()", "localtimestamp": "localtimestamp()"}
+
+
 def admitted(name: str) -> bool:
     low = name.lower()
     return low in ALLOWED and low not in REFUSED

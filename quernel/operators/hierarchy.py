@@ -231,6 +231,18 @@ def descendants(placed: DataFrame) -> DataFrame:
     return below.select("ancestor_id", "node", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
 
 
+def threads(pairs: DataFrame, placed: DataFrame, most: int) -> DataFrame:
+    """node, thread: each node with the nodes that lead to it, earliest first, ``most`` of them at the most.
+
+    ``pairs`` has ancestor_id, node, distance (see ``descendants`` and
+    ``loop_descendants``); a way that comes back to itself ends there. No group
+    holds more than ``most`` ids.
+    """
+    near = pairs.where(F.col("distance") < most).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor_id")), asc=False).alias("above"))
+    ids = F.concat(F.coalesce(F.transform("above", lambda x: x["ancestor_id"]), F.array().cast("array<string>")), F.array("node"))
+    return placed.select("node").join(near, "node", "left").select("node", ids.alias("thread"))
+
+
 def cut_loops(placed: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
     """The nodes on or below loops: node, root_id, path, ring, entry.
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quernel.catalog import changed_tables, fingerprint
 from quernel.operators.report import MOST_SNAPSHOT_ROWS
 from quernel.plans.decide import Answer, replay
@@ -57,6 +59,13 @@ def refresh(service: GovernedSql, card: Card, filters: tuple[Filter, ...] = ())
     return Refreshed(out, changed_tables(card.basis, service.catalog), unfiltered, rows[:MOST_SNAPSHOT_ROWS], len(rows) > MOST_SNAPSHOT_ROWS or bool(out.result and out.result.truncated))
 
 
+def rows_of(spark: SparkSession, out: Answer) -> DataFrame:
+    """The admitted query of an answer, whole."""
+    if out.plan is None:
+        raise ValueError(f"{out.outcome}: {out.reason}")
+    return out.plan.df
+
+
 @dataclass
 class StatisticsCache:
     """Column statistics kept for a while; where they can't be computed the last ones, or none, are given."""

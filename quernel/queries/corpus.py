@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.hierarchy import cut_loops, descendants, hierarchy, loop_descendants
+from quernel.operators.hierarchy import cut_loops, descendants, hierarchy, loop_descendants, threads
 from quernel.operators.nested import flatten, flatten_record, records
 from quernel.operators.sessions import micros, sessionize
 from quernel.sources import read_table
@@ -56,6 +56,13 @@ def p1_later_runs(spark: SparkSession, base: str) -> DataFrame:
     return below.select(F.col("ancestor_id").alias("run_id"), F.col("node").alias("later_run_id"), "distance", "on_loop")
 
 
+def conversation_threads(spark: SparkSession, base: str) -> DataFrame:
+    """Each run with the up to nine runs before it in its conversation, earliest first."""
+    placed = materialise(_runs_placed(spark, base, True), "placed")
+    pairs = descendants(placed).unionByName(loop_descendants(cut_loops(placed)).drop("on_loop"))
+    return threads(pairs, placed, 10).select(F.col("node").alias("run_id"), F.array_join("thread", "/").alias("thread"))
+
+
 _SQL_WALK = r"""
 WITH RECURSIVE bare AS (
   SELECT nullif(lower(regexp_replace(run_id, '^\s+|\s+$', '', 'g')), '') AS node,
@@ -93,6 +100,9 @@ FROM cut c JOIN tops t ON t.top = c.root_id""",
     "p1_later_runs": _SQL_WALK
     + """, ringed AS (SELECT DISTINCT unnest(trail[list_position(trail, here):]) AS node FROM ended WHERE in_loop)
 SELECT here AS run_id, node AS later_run_id, CAST(len(trail) AS INTEGER) AS distance, here IN (SELECT node FROM ringed) AS on_loop FROM walk WHERE NOT list_contains(trail, here)""",
+    "conversation_threads": _SQL_WALK
+    + """SELECT node AS run_id, array_to_string(list_reverse((CASE WHEN in_loop THEN trail ELSE list_append(trail, here) END)[:10]), '/') AS thread FROM ended
+UNION ALL SELECT node, node FROM nodes WHERE node NOT IN (SELECT node FROM links)""",
     "p1_descendants": _SQL_WALK
     + """, pairs AS (SELECT run_id, depth, ids, unnest(range(1, depth + 1)) AS i FROM placed WHERE NOT in_loop)
 SELECT ids[i] AS run_id, run_id AS later_run_id, CAST(depth - i + 1 AS INTEGER) AS distance FROM pairs""",
@@ -353,7 +363,7 @@ round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6, 3) AS durat
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_paths, p1_descendants, p1_loop_paths, p1_later_runs,
+        p1_found, p1_paths, p1_descendants, p1_loop_paths, p1_later_runs, conversation_threads,
         p2_found, p2_stages, p2_events, p2_stage_missing_relationships, p2_missing_relationships, p2_interpretations,
         p2_report_cards, p2_snapshot_cards, p2_snapshot_rows, p2_flat, p2_snapshot_tables,
         p7_found, p7_sessions,

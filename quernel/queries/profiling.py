@@ -13,6 +13,8 @@ from quernel.queries.relational import TABLES, run_sql
 from quernel.sources import read_table, register_tables
 
 RUN_COLUMNS = ["actor", "connection_id", "question_lang", "preset_id", "proposal_source", "model_decision", "model_reason_code", "runtime_outcome", "runtime_reason", "provider", "model"]
+#: Tables and their keys.
+ELIGIBLE_IN = {"customer": {"c_custkey"}, "orders": {"o_orderkey"}, "part": {"p_partkey"}, "nation": {"n_nationkey"}, "region": {"r_regionkey"}, "connections": {"id"}, "audit_runs": {"run_id"}, "reports": {"id"}}
 STACK = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM audit_runs" for c in RUN_COLUMNS)
 
 
@@ -41,10 +43,15 @@ def profile_separators(spark: SparkSession, base: str) -> DataFrame:
 
 
 def eligible_columns(spark: SparkSession, base: str) -> DataFrame:
-    some = [(t, c) for t, k in (("customer", {"c_custkey"}), ("orders", {"o_orderkey"}), ("part", {"p_partkey"})) for c in profile.eligible(read_table(spark, base, t), k)]
+    some = [(t, c) for t, k in ELIGIBLE_IN.items() for c in profile.eligible(read_table(spark, base, t), k)]
     return spark.createDataFrame(some, "table string, column string")
 
 
+def format_examples(spark: SparkSession, base: str) -> DataFrame:
+    dates = read_table(spark, base, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("code"), "o_orderpriority")
+    return profile.format_examples(dates, ["day", "code", "o_orderpriority"])
+
+
 def unique_keys(spark: SparkSession, base: str) -> DataFrame:
     out = None
     for t in ("region", "nation", "customer", "orders"):
@@ -138,7 +145,7 @@ def snapshot_retention(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        profile_null_blank, profile_value_counts, profile_domains, value_patterns, profile_separators, eligible_columns, unique_keys, duplicate_keys, match_rates,
+        profile_null_blank, profile_value_counts, profile_domains, value_patterns, profile_separators, eligible_columns, format_examples, unique_keys, duplicate_keys, match_rates,
         relationship_candidates, percent_out_of_range, readings_compare, probe_report, filter_options, chart_with_rest, chart_pivot, pie_top_rest, scatter_points,
         number_compare, labels_collapse, csv_guard, snapshot_retention,
     )
@@ -154,7 +161,7 @@ def _counted(columns: list[str]) -> str:
 
 
 SQL = {
-    "profile_null_blank": f'SELECT "column", COUNT(*) AS n, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 2) AS null_share, round(avg(CASE WHEN trim(value) = \'\' THEN 1.0 ELSE 0.0 END), 2) AS blank_share FROM ({STACK}) s GROUP BY "column"',
+    "profile_null_blank": f'SELECT "column", COUNT(*) AS n, CASE WHEN avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) >= 0.01 THEN round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 2) ELSE 0.0 END AS null_share, CASE WHEN avg(CASE WHEN trim(value) = \'\' THEN 1.0 ELSE 0.0 END) >= 0.01 THEN round(avg(CASE WHEN trim(value) = \'\' THEN 1.0 ELSE 0.0 END), 2) ELSE 0.0 END AS blank_share FROM ({STACK}) s GROUP BY "column"',
     "profile_value_counts": f'SELECT "column", value, n FROM (SELECT "column", value, COUNT(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY COUNT(*) DESC, value NULLS LAST) AS rn FROM ({_counted(["runtime_outcome", "model", "question_lang", "provider"])}) s GROUP BY "column", value) x WHERE rn <= 200',
     "profile_domains": f"""WITH counted AS (SELECT "column", value, COUNT(*) AS n FROM ({STACK}) s GROUP BY 1, 2),
 tot AS (SELECT "column", SUM(n) AS total, coalesce(SUM(n) FILTER (WHERE value IS NULL), 0) AS nulls FROM counted GROUP BY 1),
@@ -165,7 +172,14 @@ FROM agg a JOIN tot t ON a."column" = t."column\"""",
     "value_patterns": f'SELECT "column", pattern, n FROM (SELECT "column", regexp_replace(value, \'[0-9]\', \'9\', \'g\') AS pattern, COUNT(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY COUNT(*) DESC, regexp_replace(value, \'[0-9]\', \'9\', \'g\')) AS rn FROM ({_counted(["actor", "model"])}) s WHERE regexp_matches(value, \'[0-9]\') GROUP BY 1, 2) x WHERE rn <= 3',
     "profile_separators": f"""SELECT "column", separator, round(avg(CASE WHEN contains(value, separator) THEN 1.0 ELSE 0.0 END), 2) AS share FROM ({_counted(["result_columns", "model", "question"])}) s, (VALUES (','), (';'), ('|')) AS p(separator)
 WHERE value IS NOT NULL GROUP BY 1, 2 HAVING avg(CASE WHEN contains(value, separator) THEN 1.0 ELSE 0.0 END) >= 0.1 AND quantile_cont(length(value), 0.5) <= 60""",
-    "eligible_columns": "SELECT * FROM (VALUES ('customer', 'c_mktsegment'), ('orders', 'o_orderstatus'), ('orders', 'o_orderpriority'), ('part', 'p_brand'), ('part', 'p_type')) AS t(\"table\", \"column\")",
+    "eligible_columns": "SELECT table_name AS \"table\", column_name AS \"column\" FROM duckdb_columns() WHERE data_type = 'VARCHAR' AND table_name IN ("
+    + ", ".join(f"'{t}'" for t in ELIGIBLE_IN)
+    + ") AND (table_name, column_name) NOT IN ("
+    + ", ".join(f"('{t}', '{c}')" for t, k in ELIGIBLE_IN.items() for c in k)
+    + ") AND NOT regexp_matches(column_name, 'mail|phone|mobile|address|street|zip|postal|ssn|passport|password|secret|token|iban|birth|(first|last|full|sur)_?name')",
+    "format_examples": """WITH v AS (SELECT DISTINCT 'day' AS "column", strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders UNION SELECT 'code', lpad(CAST(o_custkey AS VARCHAR), 9, '0') FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS i, COUNT(*) OVER (PARTITION BY "column") AS n FROM v)
+SELECT "column", string_agg(value, '|' ORDER BY value) AS examples FROM r WHERE n > 30 AND i IN (0, CAST(round((n - 1) / 2.0) AS BIGINT), n - 1) GROUP BY 1""",
     "duplicate_keys": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", COUNT({c}) > COUNT(DISTINCT {c}) AS duplicates FROM {t}" for t, c in (("customer", "c_custkey"), ("lineitem", "l_orderkey"), ("customers", "id"), ("reports", "id"))),
     "match_rates": " UNION ALL ".join(_rates(*x) for x in (("orders", "o_custkey", "customer", "c_custkey"), ("events", "user_id", "customer", "c_custkey"), ("lineitem", "l_partkey", "supplier", "s_suppkey"), ("report_snapshots", "report_id", "reports", "id"))),
     "percent_out_of_range": "SELECT 'growth_pct' AS \"column\", COUNT(DISTINCT o_orderpriority) AS n_outside FROM orders",

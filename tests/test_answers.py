@@ -66,6 +66,56 @@ def test_readings_and_ties(service):
     assert ("TIES" in a.notes) == (a.result.row_count > 1)
 
 
+def test_probes_run_under_the_requests_authority(service):
+    probe = Decision("EXPLORE", probes=("SELECT COUNT(*) AS n FROM customer",))
+    s = Scripted([probe, OK])
+    assert answer(service, s, "q", allowed={"orders"}).outcome == "EXECUTED" and s.seen[1] == ["PROBE UNAUTHORIZED_RELATION"]
+
+
+def test_shared_rows_and_respelled_probes(service):
+    shared = frozenset({("orders", "o_orderpriority")})
+    s = Scripted([Decision("EXPLORE", probes=("SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority = '1 urgent'", "SELECT o_orderkey FROM orders LIMIT 1")), OK])
+    answer(service, s, "q", shared=shared)
+    assert s.seen[1][0] == "PROBE 1 rows; o_orderpriority 1 distinct 0 null\n1-URGENT; RESPELLED" and s.seen[1][1] == "PROBE 1 rows; o_orderkey 1 distinct 0 null"
+
+
+def test_look_first_once(service):
+    ask = Decision("NEEDS_CLARIFICATION", question="which?")
+    s = Scripted([ask, OK])
+    assert answer(service, s, "q").outcome == "EXECUTED" and s.seen[1][0].startswith("LOOK_FIRST: NEEDS_CLARIFICATION")
+    s = Scripted([ask])
+    assert answer(service, s, "q").question == "which?" and len(s.seen) == 2
+    s = Scripted([ask])
+    assert answer(service, s, "q", Budget(explore_rounds=0)).outcome == "NEEDS_CLARIFICATION" and len(s.seen) == 1
+
+
+def test_readings_of_a_clarification(service):
+    same = Decision("NEEDS_CLARIFICATION", question="which?", readings=(OK.sql, OK.sql.replace("COUNT(*)", "COUNT(o_orderkey)")))
+    assert "READINGS_AGREE" in answer(service, Scripted([same]), "q").notes
+    other = Decision("NEEDS_CLARIFICATION", question="which?", readings=(OK.sql, OK.sql.replace("COUNT(*)", "MAX(o_orderkey)")))
+    assert answer(service, Scripted([other]), "q").outcome == "NEEDS_CLARIFICATION"
+    a = answer(service, Scripted([other]), "q", mode="assume")
+    assert a.outcome == "EXECUTED" and "READING_ASSUMED" in a.notes and len(a.alternatives) == 1 and a.alternatives[0][1].row_count == 3
+    assert answer(service, Scripted([other]), "q", Budget(queries=1), mode="assume").outcome == "NEEDS_CLARIFICATION"
+
+
+def test_tokens_end_a_run(service):
+    spent = Decision("EXPLORE", probes=(OK.sql,), tokens=100)
+    assert answer(service, Scripted([spent]), "q", Budget(tokens=150)).reason == "BUDGET_TOKENS"
+    s = Scripted([Decision("EXPLORE", probes=(OK.sql, OK.sql)), OK])
+    answer(service, s, "q", Budget(queries=1))
+    assert s.seen[1][1] == "PROBE BUDGET_PROBE_QUERIES"
+
+
+def test_a_run_is_logged(service, tmp_path):
+    seen = []
+    answer(service, Scripted([OK]), "orders?", log=seen.append, about={"actor": "ann"})
+    assert seen[0]["actor"] == "ann" and seen[0]["model_decision"] == "ANSWER" and seen[0]["row_count"] == 3 and len(seen[0]["model_context_hash"]) == 64
+    assert "rows" not in seen[0] and seen[0]["trace"]["stages"][-1]["name"] == "execution"
+    append_run(service.spark, str(tmp_path / "log"), seen[0])
+    assert read_runs(service.spark, str(tmp_path / "log")).head()["runtime_outcome"] == "EXECUTED"
+
+
 def test_context_expansion(service, monkeypatch):
     monkeypatch.setattr(C, "WHOLE", 3)
     monkeypatch.setattr(C, "NEIGHBOURS", 0)

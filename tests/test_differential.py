@@ -11,7 +11,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-MODULES = [importlib.import_module(f"quernel.queries.{n}") for n in ("corpus", "relational", "governance", "profiling")]
+MODULES = [importlib.import_module(f"quernel.queries.{n}") for n in ("corpus", "relational", "governance", "profiling", "operations")]
 CASES = [(n, m) for m in MODULES for n in m.QUERIES if n in m.SQL and n not in ("gate_verdicts", "grain_verdicts", "surface_admitted")]
 
 

@@ -51,6 +51,9 @@ def test_normalized_equals_reference(spark, service):
     [
         "SELECT SUM(o.o_totalprice), SUM(l.l_quantity) FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey",
         "SELECT SUM(o.o_totalprice), SUM(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_tax > 0",
+        "SELECT SUM(o.o_totalprice), SUM(l.l_quantity), COUNT(*) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey",
+        "SELECT SUM(o.o_totalprice), AVG(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey",
+        "SELECT SUM(o.o_totalprice), SUM(l.l_quantity) FROM orders o FULL JOIN lineitem l ON l.l_orderkey = o.o_orderkey",
         "SELECT l.l_returnflag, SUM(o.o_totalprice), SUM(l.l_quantity) FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY l.l_returnflag",
     ],
 )
@@ -130,6 +133,33 @@ def test_error_classes(spark):
         assert e.value.kind == kind
 
 
+def test_ties_are_of_overall_extremes(spark, service):
+    ties = lambda q: rewrite.ties_possible(spark.sql(q))
+    assert ties("SELECT p_partkey FROM part WHERE p_size = (SELECT MAX(p_size) FROM part)")
+    assert ties("SELECT p_partkey FROM part WHERE (SELECT MIN(p_size) FROM part WHERE p_type = 'x') = p_size AND p_partkey > 1")
+    assert ties("SELECT p_partkey FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY p_size) AS r FROM part) x WHERE r <= 1")
+    assert not ties("SELECT p_partkey FROM part p WHERE p_size = (SELECT MAX(q.p_size) FROM part q WHERE q.p_brand = p.p_brand)")
+    assert not ties("SELECT p_partkey FROM part WHERE p_size = (SELECT MAX(p_size) - 5 FROM part)")
+    assert not ties("SELECT p_partkey FROM part WHERE p_size > (SELECT MIN(p_size) FROM part)")
+    assert not ties("SELECT p_partkey FROM (SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part) x WHERE r = 1")
+
+
+def test_many_to_many_joins_are_expensive(spark, service):
+    g = GovernedSql(spark, STAR, max_plan_rows=1e6, max_plan_cost=1e7)
+    lines = spark.table("lineitem").count()
+    assert code(g.plan("SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_returnflag = b.l_returnflag")) == "QUERY_TOO_EXPENSIVE"
+    assert code(g.plan("SELECT x.l_orderkey FROM (SELECT l_orderkey, l_returnflag AS f FROM lineitem) x JOIN lineitem b ON x.f = b.l_returnflag")) == "QUERY_TOO_EXPENSIVE"
+    plan = g.plan("SELECT o.o_orderkey FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey")
+    assert isinstance(plan, QueryPlan) and plan.estimate.rows == lines
+    assert code(g.plan("SELECT COUNT(*) FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey")) == "PLANNED"
+
+
+def test_names_of_another_dialect(spark, service):
+    plan = service.plan("SELECT strpos(n_name, 'A') AS at, LOCALTIME AS t FROM nation")
+    assert plan.sql == "SELECT instr(n_name, 'A') AS at, current_time() AS t FROM nation"
+    assert code(service.plan("SELECT md5(n_name) FROM nation")) == "FORBIDDEN_FUNCTION"
+
+
 def test_timeout(spark):
     slow = spark.sql("SELECT COUNT(*) FROM range(1000000) a CROSS JOIN range(1000000) b WHERE a.id * b.id = 7")
     with pytest.raises(ExecutionError) as e:
@@ -147,4 +177,5 @@ def test_names_splices_fingerprints(spark):
         parse(spark, "SELECT 1;; SELECT 2")
     saved = {t.name: fingerprint(t) for t in STAR.tables}
     assert changed_tables(saved, STAR) == [] and changed_tables(saved, STAR.without_links()) == ["customer", "lineitem", "nation", "orders", "supplier"]
+    assert compatible("date", "timestamp") and compatible("varchar(3)", "text") and not compatible("date", "text") and compatible("uuid", "UUID")
     assert compatible("int", "decimal(3,1)") and compatible("int", "bigint") and not compatible("int", "string")

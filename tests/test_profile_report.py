@@ -92,3 +92,29 @@ def test_snapshots(spark):
     got = {r["id"] for r in report.latest_snapshots(df, "report", "at", "id", 4).collect()}
     want = {x[2] for r in "rs" for x in sorted((x for x in rows if x[0] == r), key=lambda x: x[1])[-4:]}
     assert got == want
+
+
+def test_personal_columns_are_left_out(spark):
+    df = spark.createDataFrame([], "id string, n_name string, first_name string, LastName string, e_mail string, city string, note string, phone2 string, api_token string, size int")
+    assert profile.eligible(df, {"id"}) == ["n_name", "city", "note"]
+
+
+def test_small_shares_count_as_none(spark):
+    df = spark.range(400).select(F.when(F.col("id") > 1, "x").alias("a"), F.when(F.col("id") > 9, "x").otherwise(" ").alias("b"))
+    got = {r["column"]: (r["null_share"], r["blank_share"]) for r in profile.shares(df, ["a", "b"]).collect()}
+    assert got == {"a": (0.0, 0.0), "b": (0.0, 0.03)}
+
+
+def test_format_examples(spark):
+    df = spark.range(101).select(F.format_string("%03d-1", "id").alias("code"), F.format_string("a%d", "id").alias("word"), (F.col("id") % 3).cast("string").alias("few"), F.lit(None).cast("string").alias("none"))
+    got = {r["column"]: r["examples"] for r in profile.format_examples(df.unionByName(df), df.columns).collect()}
+    assert got == {"code": "000-1|050-1|100-1"}
+    assert profile.format_examples(df.where("false"), df.columns).count() == 0
+
+
+def test_natural_order_and_categories(spark):
+    df = spark.createDataFrame([(f"Brand#{i}", "s", 1.0) for i in (10, 9, 2, 100)] + [("brand#9", "s", 1.0), (None, "s", 1.0)], "l string, s string, v double")
+    assert [r[0] for r in report.arranged(df, "l", "v", "label").collect()] == ["Brand#2", "Brand#9", "brand#9", "Brand#10", "Brand#100", None]
+    many = spark.range(90).select(F.format_string("c%d", "id").alias("c"), F.lit("s").alias("s"), F.lit(1.0).alias("v"))
+    wide = report.pivot(many, "c", "s", "v").collect()
+    assert len(wide) == report.MOST_CATEGORIES and {r["category"] for r in wide} == {f"c{i}" for i in range(60)}
