@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernel.plans.parse import quiet
+
 MAX_ROWS = 1000
 TIMEOUT_S = 5.0
 CANCEL_EVERY_S = 0.2
@@ -113,7 +115,8 @@ def run_bounded(spark: SparkSession, df: DataFrame, max_rows: int = MAX_ROWS, ti
     sc.addJobTag(tag)
     threading.Thread(target=watch, daemon=True).start()
     try:
-        rows = df.limit(max_rows + 1).collect()
+        with quiet():
+            rows = df.limit(max_rows + 1).collect()
     except Exception as e:  # noqa: BLE001
         late = time.monotonic() - began >= timeout_s
         raise ExecutionError("STATEMENT_TIMEOUT" if late else error_class(e), str(e).split("\n")[0]) from e

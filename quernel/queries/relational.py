@@ -74,7 +74,7 @@ FULL OUTER JOIN (SELECT n.n_nationkey AS k, COUNT(s.s_suppkey) AS n FROM supplie
         "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part WHERE p_size = 1",
     ),
     "nested_cte": (
-        "WITH a AS (SELECT o_custkey AS k, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), b (k, t, d) AS (SELECT k, t, t / 1000 FROM a WHERE t > 500000), c AS (WITH inn AS (SELECT k, d FROM b) SELECT * FROM inn) SELECT k, ROUND(d, 4) AS d FROM c",
+        "WITH a AS (SELECT o_custkey AS k, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), b (k, t, d) AS (SELECT k, t, t / 1000 FROM a WHERE t > 500000), c AS (WITH inn AS (SELECT k, d FROM b) SELECT * FROM inn) SELECT k, ROUND(d, 6) AS d FROM c",
         None,
     ),
     "agg_basic": (
