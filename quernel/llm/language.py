@@ -16,6 +16,7 @@ label.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -123,10 +124,25 @@ class Profiles:
                     row = self.ranks[gram] = np.full(len(self.langs), float(size), np.float32)
                 row[i] = rank
         self.beyond = np.full(len(self.langs), float(size), np.float32)
+        # Numbers of the profiles' n-grams, in their order, and their ranks by number; the last row is that of all others.
+        self.numbers = {gram: i for i, gram in enumerate(sorted(self.ranks))}
+        self.table = np.array([*(self.ranks[g] for g in self.numbers), self.beyond], np.float32).reshape(len(self.numbers) + 1, len(self.langs))
         self._seen: dict[str, np.ndarray] = {}
+        self._grams: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_seen": {}}
+        return self.__dict__ | {"_seen": {}, "_grams": {}}
+
+    def gram_numbers(self, word: str) -> np.ndarray:
+        """Numbers of a word's n-grams; those of n-grams in no profile are beyond all others, by hash."""
+        found = self._grams.get(word)
+        if found is None:
+            k, at = len(self.numbers), self.numbers
+            found = np.array([at[g] if g in at else k + zlib.crc32(g.encode("utf-8", "replace")) for g in grams(word)], np.int64)
+            if len(self._grams) >= CACHED_WORDS:
+                self._grams.clear()
+            self._grams[word] = found
+        return found
 
     def word_cost(self, word: str) -> np.ndarray:
         """The out-of-place distance of a word for each language, from 0 to 1 for each n-gram."""
@@ -140,12 +156,13 @@ class Profiles:
         return cost
 
     def distance(self, some: list[str]) -> np.ndarray:
-        """The out-of-place distance of a text's words for each language, from 0 to 1."""
-        ordered = sorted(Counter(g for w in some for g in grams(w)).items(), key=lambda kv: (-kv[1], kv[0]))[: self.size]
-        if not ordered:
+        """The out-of-place distance of a text's words for each language, from 0 to 1; n-grams of one frequency rank in the order of their numbers."""
+        if not some:
             return np.ones(len(self.langs))
-        rows = np.array([self.ranks.get(g, self.beyond) for g, _ in ordered])
-        own = np.arange(len(ordered))[:, None]
+        found, counts = np.unique(np.concatenate([self.gram_numbers(w) for w in some]), return_counts=True)
+        ordered = found[np.argsort(-counts, kind="stable")][: self.size]
+        rows = self.table[np.minimum(ordered, len(self.numbers))]
+        own = np.arange(len(ordered), dtype=np.float32)[:, None]
         out = np.where(rows >= self.size, self.size, np.abs(rows - own))
         return out.mean(axis=0) / self.size
 
@@ -210,10 +227,14 @@ class Profiles:
 def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROUNDS) -> Profiles:
     """Profiles of all languages of (text, language) pairs, some of them wrong or mixed."""
     def of(pick) -> Profiles:
-        counts: dict[str, Counter] = {lang: Counter() for _, lang in rows}
+        spoken: dict[str, Counter] = {lang: Counter() for _, lang in rows}
         for text, lang in rows:
-            for w in pick(text, lang):
-                counts[lang].update(grams(w))
+            spoken[lang].update(pick(text, lang))
+        counts: dict[str, Counter] = {lang: Counter() for lang in spoken}
+        for lang, some in spoken.items():
+            for w, n in some.items():
+                for g in grams(w):
+                    counts[lang][g] += n
         return Profiles({k: c for k, c in counts.items() if c}, size)
 
     profiles = of(lambda text, lang: [w[0] for w in words(text.translate(_INVISIBLE))])
