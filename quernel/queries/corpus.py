@@ -301,18 +301,38 @@ def _sql_elements(records_sql: str, place: str, above: str) -> str:
     return f"SELECT id, rec, {above} AS above, k, coalesce(TRY_CAST(k AS INTEGER), CAST(list_position(sorted, k) - 1 AS INTEGER)) AS o, {_sql_at('p', 'k')} AS v FROM (SELECT *, unnest(ks) AS k FROM ({keys}) d) e"
 
 
+def _sql_typed(f: str) -> str:
+    """DuckDB: the column of a field, ``name`` or ``name:kind``; kind json is JSON text with its fields in order."""
+    f, _, kind = f.partition(":")
+    at = f"json_extract(v, '$.{f}')"
+    if kind == "json":
+        inside = f"list_transform(list_sort(json_keys({at})), lambda y: '\"' || y || '\":' || CAST(json_extract({at}, '$.\"' || y || '\"') AS VARCHAR))"
+        value = f"CASE json_type({at}) WHEN 'OBJECT' THEN '{{' || array_to_string({inside}, ',') || '}}' ELSE CAST({at} AS VARCHAR) END"
+    else:
+        value = f"json_extract_string(v, '$.{f}')" if not kind else f"CAST(json_extract_string(v, '$.{f}') AS {kind})"
+    return f", CASE WHEN json_type(v) = 'OBJECT' THEN {value} END AS f_{f}"
+
+
 def _sql_flat(elements_sql: str, field: str, fields: list[str], mixed: bool) -> str:
-    """DuckDB: the flat table of elements, typed columns being texts."""
-    path = f"above || '/{field}/' || k"
+    """DuckDB: the flat table of elements; ``field`` is where they stand below ``above``."""
+    path = f"above || '/{field}/' || k" if field else "above || '/' || k"
     text = "CASE WHEN json_type(v) <> 'OBJECT' THEN v->>'$' END" if mixed else "CAST(NULL AS VARCHAR)"
-    typed = "".join(f", CASE WHEN json_type(v) = 'OBJECT' THEN json_extract_string(v, '$.{f}') END AS f_{f}" for f in fields)
+    typed = "".join(map(_sql_typed, fields))
     return f"SELECT md5(rec || chr(10) || {path}) AS row_id, md5(rec || chr(10) || above) AS parent_row_id, id AS parent_id, above AS parent_path, {path} AS path, o AS ordinal, {text} AS value_text{typed} FROM ({elements_sql}) x"
 
 
 _SQL_TRACE, _SQL_DETAIL = _sql_once("audit_runs", "run_id", "trace"), _sql_once("audit_runs", "run_id", "model_detail")
 _SQL_STAGES = _sql_elements(_SQL_TRACE, "json_extract(d, '$.stages')", "'trace'")
+_REPORT_FIELDS = ["basis:json", "chart", "dimension:json", "display:json", "id", "kind", "layout:json", "note", "question", "run_id", "sql", "title"]
+_SNAPPED = _sql_elements(_sql_once("report_snapshots", "id", "cards"), "d", "'cards'")
 P2_SQL = {
     "p2_found": _sql_p2(),
+    "p2_stages": "SELECT parent_id AS run_id, path, ordinal, coalesce(f_name, CASE WHEN TRY_CAST(regexp_extract(path, '[^/]*$') AS INTEGER) IS NULL THEN regexp_extract(path, '[^/]*$') END) AS name, f_status AS status, f_duration_ms AS duration_ms, f_reason AS reason, row_id, parent_row_id, parent_path, value_text, f_duration_ms, f_label, f_metadata, f_name, f_reason, f_status FROM ("
+    + _sql_flat(_SQL_STAGES, "stages", ["duration_ms:DOUBLE", "label", "metadata:json", "name", "reason", "status"], False)
+    + ") s",
+    "p2_report_cards": _sql_flat(_sql_elements(_sql_once("reports", "id", "cards"), "d", "'cards'"), "", _REPORT_FIELDS, False),
+    "p2_snapshot_cards": _sql_flat(_SNAPPED, "", ["basis:json", "outcome", "reason", "row_count:BIGINT", "run_id"], False),
+    "p2_snapshot_rows": _sql_flat(_sql_elements(f"SELECT id, rec, 'cards/' || k AS card, v AS d FROM ({_SNAPPED}) s", "json_extract(d, '$.rows')", "card"), "rows", ["label", "value:DOUBLE"], False),
     "p2_events": _sql_flat(_sql_elements(_SQL_TRACE, "json_extract(d, '$.events')", "'trace'"), "events", ["at", "event_id", "event_type", "message", "stage"], False),
     "p2_stage_missing_relationships": _sql_flat(
         _sql_elements(f"SELECT id, rec, 'trace/stages/' || k AS stage, v AS d FROM ({_SQL_STAGES}) s", "json_extract(d, '$.metadata.missing_relationships')", "stage"), "metadata/missing_relationships", [], True
