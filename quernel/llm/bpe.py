@@ -13,6 +13,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +78,14 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder:
-    """Encodes texts; keeps the ids of pieces seen, up to CACHED_PIECES of them."""
+class Pieces(dict):
+    """Piece of a text to its ids; keeps those of short pieces, up to CACHED_PIECES of them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
-        self.ranks, self.pieces = ranks, regex.compile(pattern)
-        self.seen: dict[str, tuple[int, ...]] = {}
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "replace")
         whole = self.ranks.get(raw)
         if whole is not None:
@@ -92,20 +93,26 @@ class Encoder:
         else:
             ids = tuple((merge_short if len(raw) <= LONG else merge_long)(raw, self.ranks))
         if len(raw) <= LONG:
-            if len(self.seen) >= CACHED_PIECES:
-                self.seen.clear()
-            self.seen[piece] = ids
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
+
+class Encoder:
+    """Encodes texts."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
+        self.pattern = regex.compile(pattern)
+        self.pieces = Pieces(ranks)
+
     def encode(self, text: str | None) -> array:
         """Ids of a text without special tokens; none for an empty or null text."""
-        out = array("i")
-        if text:
-            seen = self.seen
-            for m in self.pieces.finditer(text):
-                p = m[0]
-                out.extend(seen.get(p) or self.piece(p))
-        return out
+        return array("i", chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text)))) if text else array("i")
+
+    def count(self, text: str | None) -> int:
+        """The number of a text's ids."""
+        return sum(map(len, map(self.pieces.__getitem__, self.pattern.findall(text)))) if text else 0
 
 
 def _ranks_everywhere(df: DataFrame, path: str):
@@ -124,8 +131,8 @@ def encode(df: DataFrame, key: str, text: str, path: str = DEFAULT_RANKS) -> Dat
             for start in range(0, b.num_rows, ROWS_OUT):
                 part = b.slice(start, ROWS_OUT)
                 flat, offsets = array("i"), [0]
-                for t in part.column(1):
-                    flat.extend(encoder.encode(t.as_py()))
+                for t in part.column(1).to_pylist():
+                    flat.extend(encoder.encode(t))
                     offsets.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.array([], np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
@@ -141,7 +148,7 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str = DEFAULT_RANKS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value)
         for b in batches:
-            n = np.fromiter((len(encoder.encode(t.as_py())) for t in b.column(1)), np.int64, b.num_rows)
+            n = np.fromiter(map(encoder.count, b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[key, "n_tokens"])
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{key}` {kind.simpleString()}, n_tokens long")
