@@ -10,16 +10,29 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _roots: dict[str, str] = {}
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables."""
     app = spark.sparkContext.applicationId
+    with _lock:
+        return _root(spark, app)
+
+
+def _root(spark: SparkSession, app: str) -> str:
     if app not in _roots:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
@@ -60,10 +73,20 @@ def _remove(spark: SparkSession, app: str) -> None:
         pass
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """What some jobs of one session give, run at the same time, so that the end of one doesn't leave cores idle.
+
+    The first error is raised once all have ended.
+    """
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(j)) for j in jobs]
+    return [r.result() for r in running]
+
+
 #: Bytes of input, as files or as the optimizer estimates them, that one part of costly work holds at most.
 SPREAD_BYTES = 16 << 20
-#: More parts than this cost the driver more than they help; the estimate is useless where it is that large.
-MOST_PARTS = 200_000
+#: From this estimate on the optimizer doesn't know (it multiplies the sides of joins, and takes rows from elsewhere for endless).
+UNKNOWN_BYTES = 1 << 50
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -76,7 +99,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, min(size // SPREAD_BYTES, MOST_PARTS))
+    size = size if size < UNKNOWN_BYTES else 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
     if not keys and df.rdd.getNumPartitions() >= max(2 * spark.sparkContext.defaultParallelism, size // (8 * SPREAD_BYTES)):
         return df
     return df.repartition(n, *keys)
