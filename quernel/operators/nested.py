@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.workspace import materialise
+from quernel.workspace import materialise, spread
 
 #: Repeated records up to this number are broadcast to drop them; beyond it they are joined by shuffle.
 BROADCAST_REPEATS = 200_000
@@ -56,11 +56,13 @@ def records(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Rows with one id and equal texts are one record that arrived repeatedly;
     with unlike texts they are records of their own, as are all rows without an
     id. ``rec`` tells records apart: the same in every run, but for those
-    without an id. Only ids and hashes are shuffled.
+    without an id. Only ids and hashes are shuffled, and a frame that comes in few
+    parts.
     """
     at = F.monotonically_increasing_id()
     texts = F.md5(F.concat(*(F.coalesce(F.concat(F.length(F.col(f"`{c}`")).cast("string"), F.lit(":"), F.col(f"`{c}`")), F.lit("-")) for c in columns)).cast("binary"))
-    rows = df.select(F.col(f"`{key}`").cast("string").alias("id"), at.alias("at"), texts.alias("texts"), *(decoded(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
+    few = spread(df.select(F.col(f"`{key}`"), *(F.col(f"`{c}`") for c in columns)))
+    rows = few.select(F.col(f"`{key}`").cast("string").alias("id"), at.alias("at"), texts.alias("texts"), *(decoded(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)))
     rec = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("id")), F.concat(F.lit("#"), F.col("at").cast("string"))), F.lit("\n"), F.col("texts")).cast("binary"))
     rows = materialise(rows.select("id", "at", rec.alias("rec"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns))), "records")
     again = rows.select("rec", "at").groupBy(F.col("rec").alias("again")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

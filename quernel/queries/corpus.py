@@ -131,17 +131,24 @@ def _flat(found: DataFrame, column: str) -> dict[str, DataFrame]:
     return flatten_record(found, "id", F.col(column), column, declared, "rec")
 
 
+def _all_flat(spark: SparkSession, base: str) -> list[tuple[str, str, dict[str, DataFrame]]]:
+    """(table, column, flat tables) of all four columns."""
+    out = []
+    for table, key, columns in _NESTED:
+        found = _records(spark, base, table, key, *columns)
+        out += [(table, c, _flat(found, c)) for c in columns]
+    return out
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     """Every element of the nested columns, by table, record and path, from the flat tables."""
-    runs = _records(spark, base, "audit_runs", "run_id", "trace", "model_detail")
-    reports = _records(spark, base, "reports", "id", "cards")
-    snaps = _records(spark, base, "report_snapshots", "id", "cards")
-    places = [
-        ("audit_runs", _flat(runs, "trace"), ("trace.stages", "trace.events")),
-        ("audit_runs", _flat(runs, "model_detail"), ("model_detail.missing_relationships", "model_detail.interpretations")),
-        ("reports", _flat(reports, "cards"), ("cards",)),
-        ("report_snapshots", _flat(snaps, "cards"), ("cards", "cards.rows")),
-    ]
+    wanted = {
+        ("audit_runs", "trace"): ("trace.stages", "trace.events"),
+        ("audit_runs", "model_detail"): ("model_detail.missing_relationships", "model_detail.interpretations"),
+        ("reports", "cards"): ("cards",),
+        ("report_snapshots", "cards"): ("cards", "cards.rows"),
+    }
+    places = [(t, tables, wanted[t, c]) for t, c, tables in _all_flat(spark, base)]
     parts = [tables[n].select(F.lit(t).alias("parent_table"), "parent_id", "path") for t, tables, names in places for n in names if n in tables]
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -230,13 +237,11 @@ def p2_snapshot_rows(spark: SparkSession, base: str) -> DataFrame:
 def p2_flat(spark: SparkSession, base: str) -> DataFrame:
     """The rows of all flat tables of all four columns, typed columns as one JSON object without nulls."""
     parts = []
-    for table, key, columns in _NESTED:
-        found = _records(spark, base, table, key, *columns)
-        for column in columns:
-            for name, t in _flat(found, column).items():
-                typed = [c for c in t.columns if c.startswith("f_")]
-                fields = F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in typed))) if typed else F.lit("{}")
-                parts.append(t.select(F.lit(table).alias("parent_table"), F.lit(name).alias("flat_table"), *_NO_ROWS.replace(",", "").split()[::2], fields.alias("fields")))
+    for table, _, tables in _all_flat(spark, base):
+        for name, t in tables.items():
+            typed = [c for c in t.columns if c.startswith("f_")]
+            fields = F.to_json(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in typed))) if typed else F.lit("{}")
+            parts.append(t.select(F.lit(table).alias("parent_table"), F.lit(name).alias("flat_table"), *_NO_ROWS.replace(",", "").split()[::2], fields.alias("fields")))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

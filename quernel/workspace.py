@@ -12,15 +12,9 @@ import atexit
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from typing import TypeVar
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-T = TypeVar("T")
-
 _roots: dict[str, str] = {}
 _lock = threading.Lock()
 
@@ -73,16 +67,6 @@ def _remove(spark: SparkSession, app: str) -> None:
         pass
 
 
-def together(*jobs: Callable[[], T]) -> list[T]:
-    """What some jobs of one session give, run at the same time, so that the end of one doesn't leave cores idle.
-
-    The first error is raised once all have ended.
-    """
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        running = [pool.submit(inheritable_thread_target(j)) for j in jobs]
-    return [r.result() for r in running]
-
-
 #: Bytes of input, as files or as the optimizer estimates them, that one part of costly work holds at most.
 SPREAD_BYTES = 16 << 20
 #: From this estimate on the optimizer doesn't know (it multiplies the sides of joins, and takes rows from elsewhere for endless).

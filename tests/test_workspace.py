@@ -32,15 +32,6 @@ def test_spread_follows_the_bytes(spark, monkeypatch):
     assert workspace.spread(df, "id").rdd.getNumPartitions() > few >= 3 * spark.sparkContext.defaultParallelism
 
 
-def test_jobs_run_together(spark):
-    import threading
-
-    meet = threading.Barrier(3, timeout=30)
-    assert workspace.together(*(lambda i=i: (meet.wait(), spark.range(i).count())[1] for i in range(3))) == [0, 1, 2]
-    with pytest.raises(ZeroDivisionError):
-        workspace.together(lambda: 1, lambda: 1 // 0)
-
-
 def test_spread_of_rows_of_unknown_size(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string")
     assert workspace.spread(df, "i").rdd.getNumPartitions() < 1000
