@@ -29,6 +29,11 @@ ADDRESSES = {
     "bigquery": ("jdbc:bigquery://https://www.googleapis.com/bigquery/v2;ProjectId={project};DefaultDataset={dataset}", None),
 }
 TIMEOUT_S = 5
+# The driver's class by kind, and the package that a session names in ``spark.jars.packages`` to have it.
+DRIVERS = {
+    "postgresql": ("org.postgresql.Driver", "org.postgresql:postgresql"), "mysql": ("com.mysql.cj.jdbc.Driver", "com.mysql:mysql-connector-j"), "sqlserver": ("com.microsoft.sqlserver.jdbc.SQLServerDriver", "com.microsoft.sqlserver:mssql-jdbc"),
+    "trino": ("io.trino.jdbc.TrinoDriver", "io.trino:trino-jdbc"), "snowflake": ("net.snowflake.client.jdbc.SnowflakeDriver", "net.snowflake:snowflake-jdbc"), "bigquery": ("com.simba.googlebigquery.jdbc.Driver", ""),
+}
 
 COLUMNS = "SELECT table_name, column_name, data_type, is_nullable, ordinal_position FROM {where}information_schema.columns WHERE table_schema = '{schema}'"
 KEYS = """SELECT tc.table_name, kcu.column_name, tc.constraint_name, tc.constraint_type FROM information_schema.table_constraints tc
@@ -42,6 +47,16 @@ WHERE kcu.table_schema = '{schema}'"""
 Reader = Callable[[str], DataFrame]
 
 
+def missing_driver(spark: SparkSession, kind: str) -> str | None:
+    """The package to add to the session for a kind of database; None if its driver is there. A session loads drivers when it starts, never later."""
+    name, package = DRIVERS[kind]
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName(name, False, spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        return None
+    except Exception:  # noqa: BLE001  the class isn't on the path
+        return package or name
+
+
 def jdbc_queries(spark: SparkSession, kind: str, options: dict[str, Any]) -> Reader:
     """A reader of queries that the database runs, in a short read-only session."""
     url = ADDRESSES[kind][0].format(**{f.name: f.default for f in CONNECTORS[kind].fields} | options)

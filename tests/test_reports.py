@@ -121,3 +121,11 @@ def test_database(spark):
         raise RuntimeError("FATAL: password authentication failed")
 
     assert DatabaseSource("postgresql", {}, broken).test() == (False, "bad_credentials")
+
+
+def test_drivers(spark):
+    from quernel.sources.connectors import CONNECTORS
+    from quernel.sources.database import ADDRESSES, DRIVERS, missing_driver
+
+    assert set(DRIVERS) == set(ADDRESSES) == set(CONNECTORS) - {"parquet"}
+    assert missing_driver(spark, "mysql") == "com.mysql:mysql-connector-j"
