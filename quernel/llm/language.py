@@ -168,9 +168,12 @@ class Profiles:
 
     def stretches(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(language, confidence, start, end, words) of each longest stretch in one language, in order of reading."""
+        return self.stretches_of(words(text.translate(_INVISIBLE)))
+
+    def stretches_of(self, found: list[tuple[str, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+        """The same for a text's words."""
         if not self.langs:
             return []
-        found = words(text.translate(_INVISIBLE))
         known = [w for w in found if self.word_cost(w[0]).min() < 0.97]
         if not known:
             return []
@@ -226,10 +229,12 @@ class Profiles:
 
 def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROUNDS) -> Profiles:
     """Profiles of all languages of (text, language) pairs, some of them wrong or mixed."""
+    read = [(words(text.translate(_INVISIBLE)), lang) for text, lang in rows]
+
     def of(pick) -> Profiles:
         spoken: dict[str, Counter] = {lang: Counter() for _, lang in rows}
-        for text, lang in rows:
-            spoken[lang].update(pick(text, lang))
+        for found, lang in read:
+            spoken[lang].update(pick(found, lang))
         counts: dict[str, Counter] = {lang: Counter() for lang in spoken}
         for lang, some in spoken.items():
             for w, n in some.items():
@@ -237,13 +242,13 @@ def fit(rows: list[tuple[str, str]], size: int = PROFILE_SIZE, rounds: int = ROU
                     counts[lang][g] += n
         return Profiles({k: c for k, c in counts.items() if c}, size)
 
-    profiles = of(lambda text, lang: [w[0] for w in words(text.translate(_INVISIBLE))])
+    profiles = of(lambda found, lang: [w[0] for w in found])
     for _ in range(rounds - 1):
         before = profiles
 
-        def agreeing(text: str, lang: str, before: Profiles = before) -> list[str]:
-            parts = [s for s in before.stretches(text) if s[0] == lang]
-            return [w for w, a, b, _ in words(text.translate(_INVISIBLE)) if any(s[2] <= a and b <= s[3] for s in parts)]
+        def agreeing(found: list[tuple[str, int, int, int]], lang: str, before: Profiles = before) -> list[str]:
+            parts = [s for s in before.stretches_of(found) if s[0] == lang]
+            return [w for w, a, b, _ in found if any(s[2] <= a and b <= s[3] for s in parts)]
 
         profiles = of(agreeing)
     return profiles

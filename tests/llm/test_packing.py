@@ -73,8 +73,16 @@ def test_bins_left_open_are_packed_by_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "_pack", lambda c, o, level=0: (seen.append((level, o)), run(c, o, level))[1])
     rnd = random.Random(4)
     sizes = [rnd.randint(1, 70) for _ in range(4000)]
-    df = spark.createDataFrame(list(enumerate(sizes)), "doc long, n int").repartition(8)
-    rows = pack(df, "doc", "n", 100, 16).collect()
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc long, n int")
+    adaptive, parts = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (adaptive, parts)}
+    try:
+        spark.conf.set(adaptive, "false")
+        spark.conf.set(parts, "8")
+        rows = pack(df, "doc", "n", 100, 16).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     load = {}
     for r in rows:
         load[r["container"]] = load.get(r["container"], 0) + r["size"]
