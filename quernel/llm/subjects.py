@@ -43,6 +43,8 @@ UPDATES = 6
 #: Updates during which labelled documents are held to their labels.
 ANCHORED = 3
 INNER = 4
+#: Updates of a sentence's row: with few terms, more of them only sharpen what the first has said.
+SENTENCE_ROUNDS = 1
 #: Weight of a subject not among a document's labels while it is anchored: labels may be wrong.
 OFF_LABEL = 0.02
 #: Labelled documents that decide whether a term tells subjects apart, and the least share of its use that one subject must then have.
@@ -298,7 +300,7 @@ class Topics:
         all_of = Batch(len(each), np.repeat(np.arange(len(each)), each), docs.term[spoken])
         some = all_of.placed(self.place).distinct(max(1, len(self.telling)))
         batch = Batch(some.n, some.row, some.term, self.telling[some.term])
-        return doc, solve_w(batch, np.ascontiguousarray(self.ht[:, :k]), prior[doc])
+        return doc, solve_w(batch, np.ascontiguousarray(self.ht[:, :k]), prior[doc], rounds=SENTENCE_ROUNDS)
 
     def sentence_subjects(self, docs: Batch, each: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The document and the subject of each sentence; -1 for one about no subject."""
