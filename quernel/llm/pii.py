@@ -6,17 +6,19 @@ B and I labels for each kind, from features of the token and its neighbours.
 Equal or similar rare words far apart in one text (similar: but for an ending or
 one letter) share a potential that favours equal kinds; loopy message passing between chain and skip links makes the labels of
 a document consistent. The field is trained on invented texts (pii_texts), set
-among ordinary clauses of a bounded sample of the input, which show what the
+among the ordinary clauses of all texts of the input, which show what the
 corpus's ordinary sentences look like.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -25,13 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.canonical import _INVISIBLE
-from quernel.llm.sampling import bounded_sample
 from quernel.llm.pii_texts import KINDS, SENTENCES, Maker
+from quernel.workspace import materialise, spread
 
-#: Rows of the input, in the order of a hash, whose ordinary clauses serve as background in training, and in how many texts a pair of words must stand to be ordinary.
-SAMPLE_ROWS = 12_000
+#: In how many texts a pair of words must stand to be ordinary, and in which share of them, as one in so many.
 FREQUENT = 5
+ONE_IN = 4_800
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 200_000
+#: Invented texts of training at least; there are more where these don't hold every ordinary clause.
 TRAINING_TEXTS = 6000
+#: Clauses among which one task trains at most, and in how many steps of 1 weights are summed.
+PART = 8_000
+SCALE = 1 << 32
 EPOCHS = 6
 #: Strengths of skip links that are tried on development texts when fitting, for equal and for similar words, and the number of these texts.
 STRENGTHS = (0.0, 0.4, 0.8, 1.2, 1.6, 2.0)
@@ -83,8 +91,9 @@ def case_of(text: str) -> str:
     return "l" if lower == 1 else "u" if upper > 0.85 else "t" if title > 0.85 else "m"
 
 
+@lru_cache(maxsize=100_000)
 def shape(token: str) -> str:
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", token))
+    s = "".join("9" if ch.isdecimal() else ("X" if ch.isupper() else "x") if ch.isalnum() else ch for ch in token)
     return s if re.search(r"\d", token) else re.sub(r"(.)\1+", r"\1", s)
 
 
@@ -250,19 +259,20 @@ class Field:
     def train(self, texts: list[list[tuple[str, str | None]]], epochs: int = EPOCHS, rate: float = 0.25, l2: float = 2e-6, seed: int = 1) -> None:
         """Maximises the likelihood of labelled texts by stochastic gradient steps."""
         data = []
-        seen: dict[tuple[str, str, str], list[list[int]]] = {}
+        seen: dict[tuple[str, str, str], int] = {}
+        lists: list[list[list[int]]] = []
         for pieces in texts:
             toks, labels = labelled(pieces)
             case = case_of("".join(p[0] for p in pieces))
-            by_tok = []
+            rows = []
             for t in toks:
                 key = (t[0], t[3], case)
                 if key not in seen:
-                    seen[key] = self.feature_ids(*key, grow=True)
-                by_tok.append(seen[key])
-            feats = [[f for k, o in enumerate(OFFSETS) if 0 <= t + o < len(toks) for f in by_tok[t + o][k]] for t in range(len(toks))]
+                    seen[key] = len(lists)
+                    lists.append(self.feature_ids(*key, grow=True))
+                rows.append(seen[key])
             if toks:
-                data.append((feats, np.array(labels)))
+                data.append((np.array(rows), np.array(labels)))
         self.weights = np.zeros((len(self.ids), N), np.float32)
         g2, t2 = np.full_like(self.weights, 1e-4), np.full_like(self.trans, 1e-4)
         data.sort(key=lambda d: len(d[1]))
@@ -272,27 +282,43 @@ class Field:
         for batch in batches:
             n = np.array([len(y) for _, y in batch])
             width = int(n.max())
-            ids = np.array([f for feats, _ in batch for t in feats for f in t])
-            where = np.array([k * width + t for k, (feats, _) in enumerate(batch) for t, some in enumerate(feats) for _ in some])
-            y = np.zeros((len(batch), n.max()), int)
+            y = np.zeros((len(batch), width), int)
             for k, (_, labels) in enumerate(batch):
                 y[k, : n[k]] = labels
-            # Features lie in order of tokens; for the gradient they are put in order of features, once for all epochs.
-            first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            order = np.argsort(ids, kind="stable")
-            used, runs = np.unique(ids[order], return_index=True)
-            flat.append((n, ids, where[first], first, where[order], used, runs, y))
+            # Each token speaks for its neighbours: source is its row and an offset, target the place spoken for.
+            rows = np.concatenate([r for r, _ in batch])
+            at = np.concatenate([np.arange(m) for m in n])
+            ends, base = np.repeat(n, n), np.repeat(np.arange(len(batch)) * width, n)
+            source, target = [], []
+            for k, o in enumerate(OFFSETS):
+                on = (at - o >= 0) & (at - o < ends)
+                source.append(rows[on] * len(OFFSETS) + k)
+                target.append((base + at - o)[on])
+            which, source_of = np.unique(np.concatenate(source), return_inverse=True)
+            target = np.concatenate(target)
+            order = np.argsort(source_of, kind="stable")
+            runs = np.searchsorted(source_of[order], np.arange(len(which)))
+            # Features lie in order of sources; for the gradient they are put in order of features, once for all epochs.
+            some = [lists[w // len(OFFSETS)][w % len(OFFSETS)] for w in which.tolist()]
+            ids = np.array([f for fs in some for f in fs])
+            sizes = np.array([len(fs) for fs in some])
+            first = np.cumsum(sizes) - sizes
+            by_feature = np.argsort(ids, kind="stable")
+            used, feature_runs = np.unique(ids[by_feature], return_index=True)
+            ends_of = np.cumsum([0, *(len(x) for x in source)])
+            spans = list(zip(ends_of[:-1].tolist(), ends_of[1:].tolist(), strict=True))
+            flat.append((n, y, ids, first, source_of, target, spans, target[order], runs, np.repeat(np.arange(len(which)), sizes)[by_feature], used, feature_runs))
         for _ in range(epochs):
             for b in rng.permutation(len(flat)):
                 self._step(*flat[b], g2, t2, rate, l2)
 
-    def _step(
-        self, n: np.ndarray, ids: np.ndarray, tokens: np.ndarray, first: np.ndarray, where: np.ndarray, used: np.ndarray, runs: np.ndarray, y: np.ndarray, g2: np.ndarray, t2: np.ndarray, rate: float, l2: float
-    ) -> None:
-        """One gradient step on a batch: features ``ids`` by token (``tokens`` start at ``first``); tokens ``where`` by feature (``used`` start at ``runs``)."""
+    def _step(self, n: np.ndarray, y: np.ndarray, ids: np.ndarray, first: np.ndarray, source_of: np.ndarray, target: np.ndarray, spans: list[tuple[int, int]], targets: np.ndarray, runs: np.ndarray, sources: np.ndarray, used: np.ndarray, feature_runs: np.ndarray, g2: np.ndarray, t2: np.ndarray, rate: float, l2: float) -> None:
+        """One gradient step on a batch: features ``ids`` by source (starting at ``first``), targets by offset (``spans``) and by source (``targets`` start at ``runs``), sources by feature (``used`` start at ``feature_runs``)."""
         b, t = y.shape
         u = np.zeros((b * t, N), np.float32)
-        u[tokens] = np.add.reduceat(self.weights[ids], first, axis=0)
+        said = np.add.reduceat(self.weights[ids], first, axis=0)
+        for i, j in spans:
+            u[target[i:j]] += said[source_of[i:j]]
         u = u.reshape(b, t, N)
         # Forward and backward sums as probabilities, scaled at every token, so that a step along the chain is one product of matrices.
         step = np.exp(self.trans + _ALLOWED).astype(np.float32)
@@ -313,17 +339,17 @@ class Field:
         rows = np.arange(b)[:, None], np.arange(t)[None]
         delta[rows[0], rows[1], y] += 1
         delta[~inside] = 0
-        g = np.add.reduceat(delta.reshape(b * t, N)[where], runs, axis=0) / b - l2 * self.weights[used]
+        by_source = np.add.reduceat(delta.reshape(b * t, N)[targets], runs, axis=0)
+        g = np.add.reduceat(by_source[sources], feature_runs, axis=0) / b - l2 * self.weights[used]
         g2[used] += g * g
         self.weights[used] += rate * g / np.sqrt(g2[used])
         tg = np.zeros_like(self.trans)
-        for i in range(t - 1):
-            on = i + 1 < n
-            if on.any():
-                ahead = at[on, i + 1] * back[on, i + 1]
-                z = ((fwd[on, i] @ step) * ahead).sum(axis=1, keepdims=True)
-                tg -= ((fwd[on, i] / z).T @ ahead) * step
-                np.add.at(tg, (y[on, i], y[on, i + 1]), 1)
+        on = np.arange(1, t)[None] < n[:, None]
+        if on.any():
+            behind, ahead = fwd[:, :-1][on], (at * back)[:, 1:][on]
+            z = ((behind @ step) * ahead).sum(axis=1, keepdims=True)
+            tg -= ((behind / z).T @ ahead) * step
+            np.add.at(tg, (y[:, :-1][on], y[:, 1:][on]), 1)
         tg /= b
         t2 += tg * tg
         self.trans += (rate * tg / np.sqrt(t2)).astype(np.float32)
@@ -399,11 +425,13 @@ class Field:
 def labelled(pieces: list[tuple[str, str | None]]) -> tuple[list[tuple[str, int, int, str]], list[int]]:
     """Tokens and labels of a text given in pieces; a token across pieces has the label of its larger part."""
     text = "".join(p[0] for p in pieces)
-    owner = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(pieces)]) if text else np.zeros(0, int)
+    owner = [i for i, p in enumerate(pieces) for _ in p[0]]
     toks = tokens(text)
     labels, last = [], -1
     for t in toks:
-        i = int(Counter(owner[t[1] : t[2]].tolist()).most_common(1)[0][0])
+        i = owner[t[1]]
+        if i != owner[t[2] - 1]:
+            i = Counter(owner[t[1] : t[2]]).most_common(1)[0][0]
         kind = pieces[i][1]
         if kind is None or (kind == "email" and t[3] == "sign"):
             labels.append(0)
@@ -417,84 +445,236 @@ def labelled(pieces: list[tuple[str, str | None]]) -> tuple[list[tuple[str, int,
 _CLAUSES = re.compile(r"(?<=[.?!;])\s+|\n+")
 
 
+_NINES = re.compile(r"(?<=\d)\d|(?<=\d[-./])\d|[1-9]")
+#: White space that no token can hold or end at: beside neither digits nor brackets, or between a digit and a longer word.
+_GAPS = re.compile(r"(?<![\d()\[\]\s])\s+(?![\d()\[\]\s])|(?<=[^\W\d_]{4})(?<!poste)\s+(?=\d)|(?<=\d)\s+(?!poste)(?=[^\W\d_]{4})", re.I)
+
+
+def clauses_of(text: str) -> list[str]:
+    """The distinct clauses of a text, in order."""
+    return sorted({c.strip() for c in _CLAUSES.split(text)} - {""})
+
+
+def bare(clause: str) -> str:
+    """The clause with one space for each gap and nines for digits: what has other digits or gaps, but the same features, is equal."""
+    return _GAPS.sub(" ", _NINES.sub("9", clause))
+
+
+def copy_key(clauses: list[str]) -> bytes:
+    """Equal for texts whose clauses differ in signs, gaps and letter case only."""
+    return blake2b(re.sub(r"\W+", " ", " ".join(clauses).lower()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 @lru_cache(maxsize=100_000)
 def _words(clause: str) -> tuple[str, ...]:
     """The words of a clause; whatever holds digits or is a mail address becomes '0'."""
     return tuple(t if kind == "word" else "0" for t, _, _, kind in tokens(clause) if kind != "sign")
 
 
-def _pairs(clause: str) -> list[tuple[str, str]]:
+@lru_cache(maxsize=100_000)
+def _pairs(clause: str) -> tuple[tuple[str, str], ...]:
     some = ["^", *(w.lower() for w in _words(clause)), "$"]
-    return list(zip(some, some[1:], strict=False))
+    return tuple(zip(some, some[1:], strict=False))
+
 
+def tally(texts: Iterable[tuple[bytes, str]], held: int = HELD_COUNTS) -> Iterator[tuple[Counter, Counter]]:
+    """Counts over texts that come with their copy_key, in the order of both; of copies the first counts.
 
-def lower_words(texts: list[str], frequent: int) -> set[str]:
-    """Words in at least so many texts of mixed case that are mostly written small there."""
-    small: Counter = Counter()
+    The first counter has in how many texts each pair stands ("pair"), each
+    word of texts of mixed case is written small ("small"), and how many texts
+    there are ("texts"); and every clause in its bare form ("clause"). The second has in
+    how many texts of mixed case a word isn't written small ("small").
+    """
+    n: Counter = Counter()
     large: Counter = Counter()
-    for t in texts:
-        if case_of(t) == "m":
-            some = set(_words(t))
-            small.update(w for w in some if w.islower())
-            large.update({w.lower() for w in some if not w.islower()})
-    return {w for w, n in small.items() if n >= frequent and n > 1.5 * large[w]}
+    last = None
+    for key, text in texts:
+        clauses = {bare(c) for c in clauses_of(text)}
+        n.update(dict.fromkeys((("clause", c, "") for c in clauses), 0))
+        if key != last:
+            last = key
+            n["texts", "", ""] += 1
+            n.update(("pair", *p) for p in {p for c in clauses for p in _pairs(c)})
+            if case_of(text) == "m":
+                words = {w for c in clauses for w in _words(c)}
+                n.update(("small", w, "") for w in words if w.islower())
+                large.update({("small", w.lower(), "") for w in words if not w.islower()})
+        if len(n) + len(large) > held:
+            yield n, large
+            n, large = Counter(), Counter()
+    yield n, large
+
 
+def least(texts: int, frequent: int = FREQUENT) -> int:
+    """In how many of so many texts a pair or word stands at least to be ordinary."""
+    return max(frequent, -(-texts // ONE_IN))
 
-def background(texts: list[str], frequent: int = FREQUENT, before: Field | None = None) -> tuple[list[str], set[str]]:
-    """Ordinary clauses, and ordinary words.
+
+def _mostly_small(small: int, large: int) -> bool:
+    return small > 1.5 * large
+
+
+def is_ordinary(clause: str, pairs: set[tuple[str, str]], small: set[str]) -> bool:
+    """Whether all pairs of a clause are among ``pairs``, or made of words among ``small``."""
+    return len(clause) > 8 and all(p in pairs or (p[0] in small and p[1] in small) for p in _pairs(clause))
+
+
+_ENDS = {"^", "$", "0"}
+
+
+def background(texts: list[str], frequent: int = FREQUENT) -> tuple[list[str], set[str]]:
+    """Ordinary clauses in their bare form, and words that are mostly written small.
 
     A clause is ordinary if each of its pairs of neighbouring words stands in
-    at least so many texts (copies counting once), or is made of two words that
+    at least so many texts and one of ``ONE_IN`` (copies counting once), or is made of two words that
     are mostly written small; a clause that names someone has a pair that isn't.
-    Clauses in which the field ``before`` finds something are left out, without
-    one those with numbers, codes and mail addresses. Ordinary words are those of ordinary clauses and
-    those mostly written small.
     """
-    texts = list(dict.fromkeys(texts))
-    split = [sorted({c.strip() for c in _CLAUSES.split(t)} - {""}) for t in texts]
-    n: Counter = Counter()
-    seen: set[str] = set()
-    distinct: list[str] = []
-    for t, clauses in zip(texts, split, strict=True):
-        key = re.sub(r"\W+", " ", " ".join(clauses).lower())
-        if key not in seen:
-            seen.add(key)
-            distinct.append(t)
-            n.update({p for c in clauses for p in _pairs(c)})
-    small = lower_words(distinct, frequent) | {"^", "$", "0"}
-    fine = lambda p: n[p] >= frequent or (p[0] in small and p[1] in small)
-    ordinary = sorted({c for clauses in split for c in clauses if len(c) > 8 and all(fine(p) for p in _pairs(c))})
-    if before is None:
-        ordinary = [c for c in ordinary if "0" not in _words(c)]
-    else:
-        ordinary = [c for c, f in zip(ordinary, before.find(ordinary), strict=True) if not f]
-    return ordinary, {w.lower() for c in ordinary for w in _words(c)} | (small - {"^", "$", "0"})
+    n, large = next(tally(sorted({(copy_key(clauses_of(t)), t) for t in texts}), held=1 << 62))
+    enough = least(n["texts", "", ""], frequent)
+    pairs = {k[1:] for k, v in n.items() if k[0] == "pair" and v >= enough}
+    small = {k[1] for k, v in n.items() if k[0] == "small" and v >= enough and _mostly_small(v, large[k])}
+    return sorted(k[1] for k in n if k[0] == "clause" and is_ordinary(k[1], pairs, small | _ENDS)), small
+
+
+COUNTS = "what string, a string, b string, n long, large long"
+
+
+def background_of(frames: list[DataFrame], frequent: int = FREQUENT) -> tuple[DataFrame, set[str]]:
+    """``background`` of all texts of the frames (one text column each), counted in parallel; the clauses stay a frame.
+
+    What is sent to the driver and broadcast, pairs and words, is bounded by ``ONE_IN``.
+    """
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            some = {t.translate(_INVISIBLE) for t in frame["clause"].unique()}
+            yield pd.DataFrame([(copy_key(clauses_of(t)), t) for t in some], columns=["key", "text"])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((k, t) for frame in batches for k, t in zip(frame["key"], frame["text"], strict=True))
+        for n, large in tally(rows):
+            yield pd.DataFrame([(*k, n[k], large[k]) for k in n.keys() | large.keys()], columns=["what", "a", "b", "n", "large"])
+
+    columns = [df.select(F.col(f"`{df.columns[0]}`").alias("clause")).where("clause IS NOT NULL") for df in frames]
+    texts = spread(functools.reduce(DataFrame.unionAll, columns)).mapInPandas(keyed, "key binary, text string")
+    partial = spread(texts, "key").sortWithinPartitions("key", "text").mapInPandas(counted, COUNTS)
+    counts = materialise(partial.groupBy("what", "a", "b").agg(F.sum("n").alias("n"), F.sum("large").alias("large")), "words")
+    of = lambda what: counts.where(F.col("what") == what)
+    enough = least(sum(r["n"] for r in of("texts").collect()), frequent)
+    pairs = {(r["a"], r["b"]) for r in of("pair").where(F.col("n") >= enough).collect()}
+    small = {r["a"] for r in of("small").where(F.col("n") >= enough).collect() if _mostly_small(r["n"], r["large"])}
+    held = counts.sparkSession.sparkContext.broadcast((pairs, small | _ENDS))
+
+    def ordinary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield frame[[is_ordinary(c, *held.value) for c in frame["clause"]]]
+
+    clauses = of("clause").select(F.col("a").alias("clause"))
+    return materialise(spread(clauses).mapInPandas(ordinary, "clause string"), "ordinary"), small
+
+
+def _sentences(sentences: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The training sentences the first field sees, and those kept apart."""
+    split = {lang: lines.split("\n") for lang, lines in sentences.items()}
+    seen = {lang: "\n".join(x for i, x in enumerate(some) if i % KEPT_APART or len(some) < KEPT_APART) for lang, some in split.items()}
+    return seen, {lang: "\n".join(some[::KEPT_APART]) for lang, some in split.items()}
+
+
+def _common(clause_words: set[str], small: set[str], n_texts: int, seed: int, sentences: dict[str, str]) -> set[str]:
+    """Ordinary words: those of ordinary clauses, those mostly written small, and those that come again in what else stands in invented texts."""
+    maker = Maker(seed, sentences)
+    words = Counter(w.lower() for _ in range(n_texts) for t, k in maker.text(["."]) if k is None for w in _words(t))
+    return clause_words | small | {w for w, c in words.items() if c >= 3}
+
+
+def _trained(clauses: list[str], common: set[str], n_texts: int, seed: int, sentences: dict[str, str]) -> Field:
+    """A field trained on so many invented texts among clauses, or more until each clause stands in one."""
+    maker = Maker(seed, sentences)
+    made = [maker.text(clauses) for _ in range(n_texts)]
+    while not maker.dealt_all(clauses):
+        made.append(maker.text(clauses))
+    field = Field(common)
+    field.train(made)
+    return field
+
+
+def _tuned(field: Field, clauses: list[str], seed: int, apart: dict[str, str]) -> None:
+    maker = Maker(seed + 1_000, apart, vary=True)
+    field.tune([maker.text(clauses) for _ in range(DEVELOPMENT_TEXTS)])
 
 
 def fit(texts: list[str], n_texts: int = TRAINING_TEXTS, frequent: int = FREQUENT, seed: int = 1, sentences: dict[str, str] = SENTENCES) -> Field:
-    """A field trained on invented texts among the ordinary clauses of ``texts``.
+    """A field trained on invented texts among the ordinary clauses of ``texts``, each of which stands in one at least.
 
     A first field, trained with clauses that hold no numbers or codes, tells
-    which clauses with such are ordinary too; the second is trained with all.
+    which clauses with such are ordinary too, as it finds nothing in them; the second is trained with all.
     The first sees but a part of ``sentences``: on texts made of the others, in
     which names come again, also in other forms, the strengths of links are
     learned.
     """
-    split = {lang: lines.split("\n") for lang, lines in sentences.items()}
-    seen = {lang: "\n".join(x for i, x in enumerate(some) if i % KEPT_APART or len(some) < KEPT_APART) for lang, some in split.items()}
-    field = None
-    for some, used in ((n_texts // 2, seen), (n_texts, sentences)):
-        maker = Maker(seed, used)
-        clauses, common = background(texts, frequent, field)
-        made = [maker.text(clauses) for _ in range(some)]
-        words = Counter(w.lower() for pieces in made for t, k in pieces if k is None for w in _words(t))
-        before, field = field, Field(common | {w for w, c in words.items() if c >= 3})
-        field.train(made)
-        if before is None:
-            maker = Maker(seed + 1_000, {lang: "\n".join(some[::KEPT_APART]) for lang, some in split.items()}, vary=True)
-            field.tune([maker.text(clauses) for _ in range(DEVELOPMENT_TEXTS)])
-        else:
-            field.skip, field.skip_similar = before.skip, before.skip_similar
+    ordinary, small = background(texts, frequent)
+    seen, apart = _sentences(sentences)
+    plain = [c for c in ordinary if "0" not in _words(c)]
+    first = _trained(plain, _common({w.lower() for c in plain for w in _words(c)}, small, n_texts // 2, seed, seen), n_texts // 2, seed, seen)
+    _tuned(first, plain, seed, apart)
+    clauses = [c for c, f in zip(ordinary, first.find(ordinary), strict=True) if not f]
+    field = _trained(clauses, _common({w.lower() for c in clauses for w in _words(c)}, small, n_texts, seed, sentences), n_texts, seed, sentences)
+    field.skip, field.skip_similar = first.skip, first.skip_similar
+    return field
+
+
+def _mixed(clauses: DataFrame, small: set[str], n_texts: int, seed: int, sentences: dict[str, str], part: int) -> Field:
+    """A field trained among all clauses of a frame: one for each part of so many clauses, their weights averaged.
+
+    The likelihood has one maximum, to which each part's weights come near; a
+    feature that a part hasn't seen has weight 0 there. Weights are summed as
+    whole numbers, so that the order of parts doesn't matter.
+    """
+    spark = clauses.sparkSession
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"clause": sorted({w.lower() for frame in batches for c in frame["clause"] for w in _words(c)})}, dtype=object)
+
+    words = {r[0] for r in spread(clauses).mapInPandas(told, "clause string").distinct().collect()}
+    common = _common(words, small, n_texts, seed, sentences)
+    n = clauses.count()
+    if n <= part:
+        return _trained(sorted(r[0] for r in clauses.collect()), common, n_texts, seed, sentences)
+    parts = -(-n // part)
+    held = spark.sparkContext.broadcast((common, sentences))
+    columns = [f"w{i}" for i in range(N)]
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = sorted(c for frame in batches for c in frame["clause"])
+        if some:
+            field = _trained(some, held.value[0], n_texts, seed + int.from_bytes(copy_key(some[:1])[:4]), held.value[1])
+            keys = [*field.ids, *((len(OFFSETS), str(i)) for i in range(N))]
+            rows = np.rint(np.concatenate([field.weights, field.trans]).astype(float) * SCALE).astype(np.int64)
+            for i in range(0, len(keys), 20_000):
+                frame = pd.DataFrame(rows[i : i + 20_000], columns=columns)
+                frame.insert(0, "f", [k[1] for k in keys[i : i + 20_000]])
+                frame.insert(0, "o", [k[0] for k in keys[i : i + 20_000]])
+                yield frame
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = pd.concat([pd.DataFrame(columns=["o", "f", *columns]), *batches]).sort_values(["o", "f"])
+        mean = (some[columns].to_numpy(np.float64) / (SCALE * parts)).astype("<f4")
+        yield pd.DataFrame({"features": [json.dumps([some["o"].tolist(), some["f"].tolist()])], "weights": [mean.tobytes()]})
+
+    sums = clauses.repartition(parts, "clause").mapInPandas(trained, ", ".join(["o int", "f string", *(f"{c} long" for c in columns)]))
+    total = sums.repartition(parts, "o", "f").groupBy("o", "f").agg(*(F.sum(c).alias(c) for c in columns))
+    field, blocks = Field(common), []
+    for row in materialise(total.mapInPandas(packed, "features string, weights binary"), "weights").orderBy("features").toLocalIterator():
+        block = np.frombuffer(bytes(row["weights"]), "<f4").reshape(-1, N)
+        own = []
+        for i, (o, f) in enumerate(zip(*json.loads(row["features"]), strict=True)):
+            if o == len(OFFSETS):
+                field.trans[int(f)] = block[i]
+            else:
+                own.append(i)
+                field.ids[o, f] = len(field.ids)
+        blocks.append(block[own])
+    field.weights = np.concatenate(blocks)
     return field
 
 
@@ -517,12 +697,20 @@ def load(spark: SparkSession, path: str) -> Field:
     return field
 
 
-def fit_on(frames: list[DataFrame], sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Fitted with at most ``sample_rows`` distinct texts of each frame (one text column), in the order of their hash."""
-    texts: list[str] = []
-    for df in frames:
-        texts += [r[0] for r in bounded_sample(df.where(F.col(df.columns[0]).isNotNull()), sample_rows)]
-    return fit([t.translate(_INVISIBLE) for t in texts])
+def fit_on(frames: list[DataFrame], n_texts: int = TRAINING_TEXTS, frequent: int = FREQUENT, seed: int = 1, part: int = PART) -> Field:
+    """``fit`` with all texts of the frames (one text column each): counted and trained in parallel, by parts of so many clauses."""
+    ordinary, small = background_of(frames, frequent)
+    seen, apart = _sentences(SENTENCES)
+    numbered = F.udf(lambda c: "0" in _words(c), "boolean", useArrow=True)
+    plain = materialise(ordinary.where(~numbered("clause")), "plain")
+    first = _mixed(plain, small, n_texts // 2, seed, seen, part)
+    _tuned(first, [r[0] for r in plain.orderBy(F.xxhash64("clause"), "clause").limit(part).collect()], seed, apart)
+    clauses = materialise(find(spread(ordinary), "clause", first).where(F.size("found") == 0).select("clause"), "clauses")
+    strengths = first.skip, first.skip_similar
+    del first  # the driver holds one field at a time
+    field = _mixed(clauses, small, n_texts, seed, SENTENCES, part)
+    field.skip, field.skip_similar = strengths
+    return field
 
 
 FOUND = "array<struct<kind string, start int, stop int>>"
@@ -534,7 +722,7 @@ def find(df: DataFrame, text: str, field: Field, column: str = "found") -> DataF
     A null or empty text has an empty array. Positions count characters of the
     text without invisible characters (see ``redact``).
     """
-    held = df.sparkSession.sparkContext.broadcast(field)  # bounded by TRAINING_TEXTS and SAMPLE_ROWS
+    held = df.sparkSession.sparkContext.broadcast(field)  # as large as the distinct features of its training texts
 
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -201,6 +201,8 @@ class Maker:
     def __init__(self, seed: int, sentences: dict[str, str] = SENTENCES, vary: bool = False) -> None:
         """``vary``: texts are longer, and names come again more often and in other forms (an ending, a letter less, one part alone)."""
         self.rnd, self.sentences, self.vary = random.Random(seed), sentences, vary
+        self.deck: list[str] = []
+        self.rounds = 0
 
     def _word(self, tails: list[str]) -> str:
         r = self.rnd
@@ -333,6 +335,18 @@ class Maker:
             out.append((getattr(self, kind)(lang), kind) if kind else (piece, None))
         return [p for p in out if p[0]]
 
+    def _dealt(self, backgrounds: list[str]) -> str:
+        """The next of the backgrounds in random order; none comes again before all have come."""
+        if not self.deck:
+            self.deck = self.rnd.sample(backgrounds, len(backgrounds))
+        clause = self.deck.pop()
+        self.rounds += not self.deck
+        return clause
+
+    def dealt_all(self, backgrounds: list[str]) -> bool:
+        """Whether each of the backgrounds stands in a text that was made."""
+        return not backgrounds or self.rounds > 0
+
     def text(self, backgrounds: list[str]) -> list[tuple[str, str | None]]:
         """A text of a few sentences, with and without personal information."""
         r = self.rnd
@@ -346,7 +360,7 @@ class Maker:
                     part = [(self._again(r.choice(names)), k) if k == "name" else (t, k) for t, k in part]
                 names += [t for t, k in part if k == "name"]
             elif backgrounds and r.random() < 0.75:
-                part = [(r.choice(backgrounds), None)]
+                part = [(self._dealt(backgrounds), None)]
             else:
                 part = [(self.plain(r.choice(PLAIN.split("\n"))), None)]
             if out:

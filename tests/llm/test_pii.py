@@ -141,3 +141,55 @@ def test_a_kept_field_finds_the_same(spark, field, tmp_path):
     maker = Maker(9)
     texts = ["".join(t for t, _ in maker.text(ORDINARY)) for _ in range(100)]
     assert again.find(texts) == field.find(texts) and again.skip == field.skip
+
+
+def test_every_ordinary_clause_is_trained_on(monkeypatch):
+    made, train = [], P.Field.train
+    monkeypatch.setattr(P.Field, "train", lambda self, texts, epochs=P.EPOCHS: (made.append(texts), train(self, texts, 1)))
+    words = "orders items totals regions prices stores baskets months refunds".split()
+    texts = [f"show {a} with {b}." for a in words for b in words] * 2
+    P.fit([f"{t} please check the {w} twice." for t in texts for w in words], n_texts=20, frequent=2)
+    for some in made:
+        held = {t.lower() for pieces in some for t, k in pieces if k is None}
+        assert {t.lower() for t in texts} <= held
+
+
+def test_bare_clauses_have_the_same_tokens():
+    for c in ("Show \t orders since  2025-01-07,  top 5", "tel 01.20   33  ext 9", "a.b (at)  c  dot test", "AB  12 34 56 C", "orders\xa0of\xa0 09 December 2025"):
+        masked = [(P._NINES.sub("9", t), k) for t, _, _, k in P.tokens(c)]
+        assert [(t, k) for t, _, _, k in P.tokens(P.bare(c))] == masked
+    assert P.bare("Orders  of 14  December") == P.bare("Orders\tof 23 December")
+
+
+def test_background_counts_every_text(spark):
+    """Far more texts than the 12,000 that were sampled: pairs of words that stand in few of them count in full, from their share on."""
+    filler = [f"list the {k} totals {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}." for k in ("net", "tax", "due") for i in range(10_000)]
+    rare, few = [f"Qarvel Zumtor! {t}" for t in filler[:8]], [f"Brelko Sandor! {t}" for t in filler[:5]]
+    assert P.least(len(filler)) == 7
+    df = spark.createDataFrame([(t,) for t in [*filler, *rare, *few, None, ""]], "t string")
+    clauses, small = P.background_of([df.limit(20_000), df.exceptAll(df.limit(20_000))])
+    got = sorted(r[0] for r in clauses.collect())
+    assert (got, small) == P.background([*filler, *rare, *few])
+    assert "Qarvel Zumtor!" in got and "Brelko Sandor!" not in got and not any(c.startswith("list the") for c in got)
+
+
+def test_counts_handed_on_in_pieces():
+    texts = sorted({(P.copy_key(P.clauses_of(t)), t) for t in (f"{a} {b}" for a in ORDINARY for b in ORDINARY)})
+    whole, large = next(P.tally(texts, held=1 << 62))
+    pieces = list(P.tally(texts, held=10))
+    assert len(pieces) > 5
+    n = Counter()
+    for some, _ in pieces:
+        n.update(some)
+    assert n == whole and set(n) == set(whole)
+
+
+def test_parts_are_averaged(spark):
+    df = spark.createDataFrame([(f"{a} {b}",) for a in ORDINARY for b in ORDINARY], "t string")
+    one, many = (P.fit_on([df], n_texts=1200, frequent=2, part=part) for part in (100, 2))
+    again = P.fit_on([df.repartition(7)], n_texts=1200, frequent=2, part=2)
+    assert again.ids == many.ids and (again.weights == many.weights).all() and (again.trans == many.trans).all()
+    assert len(many.ids) > len(one.ids)
+    maker = Maker(41)
+    a, b = (scores(f, [m for m in (maker.text(ORDINARY) for _ in range(200))]) for f in (one, many))
+    assert min(*a, *b) > 0.9
