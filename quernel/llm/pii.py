@@ -63,8 +63,10 @@ _SAME = np.array([[1.0 if a == b else -1.0 for b in KIND_OF] for a in KIND_OF])
 
 _AT = r"(?:@|\s?[\[(]\s?at\s?[\])]\s?|\s+at\s+(?=\w+\s+dot\s))"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\s+dot\s+)"
+#: A word before a sign or another word, at which no token of another type begins, is told first ("plain"): most are such.
 TOKEN = re.compile(
-    rf"""(?P<mail>(?:mailto:)?[\w.+-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]*\w)+)
+    rf"""(?P<plain>[^\W\d_]++(?=[,?!;]|\.?\Z|\.\s|\s[^\W\d_a]))
+    |(?P<mail>(?:mailto:)?[\w.+-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]*\w)+)
     |(?P<date>\d{{4}}-\d\d-\d\d(?!\d)|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}(?!\d))
     |(?P<nino>\b[A-Za-z]{{2}}(?:\s\d\d){{3}}\s[A-Za-z]\b)
     |(?P<run>[+(]?\(?\d+\)?(?:(?:[ .\-/  ]|\)\ ?|\ \()(?!\d{{4}}-\d\d-\d\d)\d+)+(?:-?[A-Za-z]\b|-[A-Za-z])?(?:\ ?(?:ext|x|App|poste)\.?\ ?\d+)?)
@@ -79,7 +81,7 @@ _FIRMS = {"ltd", "inc", "gmbh", "ag", "sarl", "llc", "bv", "kg", "plc", "sas", "
 
 def tokens(text: str) -> list[tuple[str, int, int, str]]:
     """(token, start, end, type) of a text."""
-    return [(m[0], m.start(), m.end(), m.lastgroup) for m in TOKEN.finditer(text)]
+    return [(m[0], *m.span(), "word" if (kind := m.lastgroup) == "plain" else kind) for m in TOKEN.finditer(text)]
 
 
 def case_of(text: str) -> str:
@@ -87,13 +89,22 @@ def case_of(text: str) -> str:
     words = re.findall(r"[^\W\d_]{2,}", text)
     if len(words) < 4:
         return "m"
-    lower, upper, title = (sum(f(w) for w in words) / len(words) for f in (str.islower, str.isupper, str.istitle))
+    lower, upper, title = (sum(map(f, words)) / len(words) for f in (str.islower, str.isupper, str.istitle))
     return "l" if lower == 1 else "u" if upper > 0.85 else "t" if title > 0.85 else "m"
 
 
+def _form(ch: str) -> str:
+    return "9" if ch.isdecimal() else ("X" if ch.isupper() else "x") if ch.isalnum() else ch
+
+
+_FORMS = {i: _form(chr(i)) for i in range(0x250)}
+
+
 @lru_cache(maxsize=100_000)
 def shape(token: str) -> str:
-    s = "".join("9" if ch.isdecimal() else ("X" if ch.isupper() else "x") if ch.isalnum() else ch for ch in token)
+    s = token.translate(_FORMS)
+    if not s.isascii():
+        s = "".join(map(_form, token))
     return s if re.search(r"\d", token) else re.sub(r"(.)\1+", r"\1", s)
 
 
@@ -117,6 +128,105 @@ def features(token: str, kind: str, case: str, common: set[str]) -> tuple[list[s
 
 
 OFFSETS = (-2, -1, 0, 1, 2)
+NEIGHBOURS = (-2, -1, 1, 2)
+#: Where the weights of an offset stand in training: neighbours', then a token's own.
+_PLACE = {o: i for i, o in enumerate((*NEIGHBOURS, 0))}
+#: Features that a token has at most for its own label and for its neighbours'.
+MOST_OWN, MOST_NEAR = 8, 4
+#: Tokens, but for those of one text, whose weights are put together at once in use.
+TOKENS_AT_ONCE = 50_000
+#: Rows of a sum that are added in turns with those of the others.
+SHORT = 8
+
+
+class _Batch:
+    """What a gradient step on labelled texts in order of length needs; places are numbered by position, then by text."""
+
+    def __init__(self, data: list[tuple[np.ndarray, np.ndarray]], own_of: np.ndarray, near_of: np.ndarray) -> None:
+        n = np.array([len(y) for _, y in data])
+        self.size, self.width = len(n), int(n.max())
+        #: The first text that has a token at each position.
+        self.starts = np.searchsorted(n, np.arange(self.width), side="right").tolist()
+        at, text = np.concatenate([np.arange(m) for m in n]), np.repeat(np.arange(len(n)), n)
+        self.inside, self.labels = at * self.size + text, np.concatenate([y for _, y in data])
+        which, row = np.unique(np.concatenate([r for r, _ in data]), return_inverse=True)
+        self.by_row = _Sums(row, self.inside)
+        which, row = which[self.by_row.order], np.argsort(self.by_row.order)[row]
+        self.rows = len(which)
+        self.places = np.full(self.width * self.size, self.rows)
+        self.places[self.inside] = row
+        self.outside = np.flatnonzero(self.places == self.rows)
+        later = at > 0
+        self.ahead = self.inside[later]
+        self.behind = self.ahead - self.size
+        self.steps = self.labels[:-1][later[1:]] * N + self.labels[1:][later[1:]]
+        own, near = own_of[which], near_of[which]
+        self.own, self.near = ([some[:, k].copy() for k in range(some.shape[1]) if some[:, k].any()] for some in (own, near))
+        # A token speaks for a neighbour only where there is one.
+        ends = np.repeat(n, n)
+        on = np.zeros((self.rows, len(NEIGHBOURS)), bool)
+        for k, o in enumerate(NEIGHBOURS):
+            on[row[(at - o >= 0) & (at - o < ends)], k] = True
+        self.own_use, self.near_use = _use(own, np.ones((self.rows, 1), bool)), _use(near, on)
+
+
+class _Sums:
+    """Sums of rows of a matrix, ``rows``, for each number in ``of``; the results are in ``order``, those of most rows first."""
+
+    def __init__(self, of: np.ndarray, rows: np.ndarray) -> None:
+        by_number = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[by_number], np.arange(of.max() + 1))
+        counts = np.diff([*starts, len(of)])
+        self.order = np.argsort(-counts, kind="stable")
+        starts, counts, rows = starts[self.order], counts[self.order], rows[by_number]
+        #: The first, second ... row of each sum that has so many, and what is left of the longer ones.
+        self.turns = [rows[starts[: np.count_nonzero(counts > k)] + k] for k in range(min(SHORT, int(counts.max())))]
+        long = np.count_nonzero(counts > SHORT)
+        self.rest = np.concatenate([rows[a + SHORT : a + c] for a, c in zip(starts[:long].tolist(), counts[:long].tolist(), strict=True)]) if long else None
+        self.rest_starts = np.cumsum([0, *(counts[: long - 1] - SHORT)]) if long else None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = x.take(self.turns[0], axis=0)
+        for some in self.turns[1:]:
+            out[: len(some)] += x.take(some, axis=0)
+        if self.rest is not None:
+            out[: len(self.rest_starts)] += np.add.reduceat(x.take(self.rest, axis=0), self.rest_starts, axis=0)
+        return out
+
+
+def _use(ids: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, _Sums, np.ndarray | None]:
+    """The features of rows, sums of rows by feature, and the weights (1 or 0) that no row speaks with if there are such."""
+    flat = np.flatnonzero(ids)
+    used, of = np.unique(ids.ravel()[flat], return_inverse=True)
+    rows = flat // ids.shape[1]
+    sums = _Sums(of, rows)
+    live = np.zeros((len(used), on.shape[1]), bool)
+    np.logical_or.at(live, of, on[rows])
+    return used[sums.order], sums, None if live.all() else np.repeat(live[sums.order], N, axis=1).astype(np.float32)
+
+
+def _summed(weights: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    out = weights.take(ids[0], axis=0)
+    for some in ids[1:]:
+        out += weights.take(some, axis=0)
+    return out
+
+
+def _moved(weights: np.ndarray, squares: np.ndarray, by_row: np.ndarray, use: tuple, b: int, rate: float, l2: float) -> None:
+    """Moves the weights of used features along the gradient, which is given by row."""
+    used, sums, live = use
+    old, g2 = weights.take(used, axis=0), squares.take(used, axis=0)
+    g = sums(by_row)
+    g /= b
+    g -= l2 * old
+    if live is not None:
+        g *= live
+    g2 += g * g
+    squares[used] = g2
+    g *= rate
+    g /= np.sqrt(g2, out=g2)
+    old += g
+    weights[used] = old
 
 
 class Field:
@@ -128,50 +238,71 @@ class Field:
         self.weights = np.zeros((0, N), np.float32)
         self.trans = np.zeros((N, N), np.float32)
         self.skip, self.skip_similar = SKIP, SKIP / 2
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops what is kept of tokens and words seen in use."""
         self._rows: dict[tuple[str, str, str], int] = {}
-        self._table: list[np.ndarray] = []
+        self._table = np.zeros((1, len(OFFSETS), N), np.float32)
+        self._rare: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_rows": {}, "_table": []}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_table", "_rare")}
 
-    def feature_ids(self, token: str, kind: str, case: str, grow: bool = False) -> list[list[int]]:
-        own, near = features(token, kind, case, self.common)
-        out = []
-        for o in OFFSETS:
-            some = own if o == 0 else near
-            keys = [(o, f) for f in some]
-            if grow:
-                out.append([self.ids.setdefault(k, len(self.ids)) for k in keys])
-            else:
-                out.append([i for k in keys if (i := self.ids.get(k)) is not None])
-        return out
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
-    def row(self, token: str, kind: str, case: str) -> int:
-        """Row of the table of summed weights (offset x label) of a token."""
-        key = (token, kind, case)
-        r = self._rows.get(key)
-        if r is None:
-            if len(self._rows) > 200_000:
-                self._rows.clear()
-                self._table.clear()
-            sums = [self.weights[i].sum(axis=0) if i else np.zeros(N, np.float32) for i in self.feature_ids(*key)]
-            r = self._rows[key] = len(self._table)
-            self._table.append(np.array(sums, np.float32))
-        return r
+    def feature_ids(self, token: str, kind: str, case: str) -> list[list[int]]:
+        own, near = features(token, kind, case, self.common)
+        return [[i for f in (near if o else own) if (i := self.ids.get((o, f))) is not None] for o in OFFSETS]
+
+    def _known(self, keys: list[tuple[str, str, str]]) -> None:
+        """Has the table of summed weights (offset x label) hold these tokens; its first row is zero."""
+        if len(self._rows) > 200_000:
+            self._forget()
+        new = [k for k in dict.fromkeys(keys) if k not in self._rows]
+        if not new:
+            return
+        first = len(self._rows) + 1
+        if first + len(new) > len(self._table):
+            self._table = np.concatenate([self._table, np.zeros((len(self._table) + len(new), *self._table.shape[1:]), np.float32)])
+        ids = np.full((len(new), len(OFFSETS), MOST_OWN), -1)
+        for i, key in enumerate(new):
+            self._rows[key] = first + i
+            for j, some in enumerate(self.feature_ids(*key)):
+                ids[i, j, : len(some)] = some
+        for i in range(0, len(new), 1000):
+            some = ids[i : i + 1000]
+            said = self.weights[some] if len(self.weights) else np.zeros((*some.shape, N), np.float32)
+            said[some < 0] = 0
+            self._table[first + i : first + i + len(some)] = said.sum(axis=2)
 
     def unaries(self, toks: list[tuple[str, int, int, str]], case: str) -> np.ndarray:
-        rows = [self.row(t[0], t[3], case) for t in toks]
-        table = np.array([self._table[r] for r in rows])
-        out = np.zeros((len(toks), N), np.float32)
-        n = len(toks)
-        for k, o in enumerate(OFFSETS):  # the token at t + o speaks for t
-            if abs(o) < n:
-                if o >= 0:
-                    out[: n - o] += table[o:, k]
-                else:
-                    out[-o:] += table[:o, k]
+        return self.unaries_of([(toks, case)])[0]
+
+    def unaries_of(self, texts: list[tuple[list[tuple[str, int, int, str]], str]]) -> list[np.ndarray]:
+        """What the tokens of each text and their neighbours say for each label."""
+        out, start, held = [], 0, 0
+        for i, (toks, _) in enumerate(texts):
+            held += len(toks)
+            if held > TOKENS_AT_ONCE or i + 1 == len(texts):
+                out += self._unaries_of(texts[start : i + 1])
+                start, held = i + 1, 0
         return out
 
+    def _unaries_of(self, texts: list[tuple[list[tuple[str, int, int, str]], str]]) -> list[np.ndarray]:
+        keys = [[(t[0], t[3], case) for t in toks] for toks, case in texts]
+        self._known([k for some in keys for k in some])
+        gap = [0] * OFFSETS[-1]  # no token speaks beyond its text
+        said = self._table[[r for some in keys for r in (*map(self._rows.__getitem__, some), *gap)]]
+        out = np.zeros((len(said), N), np.float32)
+        n = len(said)
+        for k, o in enumerate(OFFSETS):  # the token at t + o speaks for t
+            out[max(0, -o) : max(0, n - o)] += said[max(0, o) : max(0, n + o), k]
+        ends = np.cumsum([len(some) + len(gap) for some in keys]).tolist()
+        return [out[e - len(gap) - len(some) : e - len(gap)] for e, some in zip(ends, keys, strict=True)]
+
     # -- inference, over a batch of texts of one padded length -----------------
 
     def _messages(self, u: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -260,114 +391,110 @@ class Field:
         """Maximises the likelihood of labelled texts by stochastic gradient steps."""
         data = []
         seen: dict[tuple[str, str, str], int] = {}
-        lists: list[list[list[int]]] = []
+        # Features for a token's own label, and for its neighbours' labels: these have weights for all neighbours in one row. Row 0, of no feature, stays zero.
+        own_ids: dict[str, int] = {"": 0}
+        near_ids: dict[str, int] = {"": 0}
+        own_of, near_of = [], []
         for pieces in texts:
             toks, labels = labelled(pieces)
             case = case_of("".join(p[0] for p in pieces))
             rows = []
             for t in toks:
                 key = (t[0], t[3], case)
-                if key not in seen:
-                    seen[key] = len(lists)
-                    lists.append(self.feature_ids(*key, grow=True))
-                rows.append(seen[key])
+                r = seen.get(key)
+                if r is None:
+                    r = seen[key] = len(seen)
+                    own, near = features(*key, self.common)
+                    own_of.append([own_ids.setdefault(f, len(own_ids)) for f in own] + [0] * (MOST_OWN - len(own)))
+                    near_of.append([near_ids.setdefault(f, len(near_ids)) for f in near] + [0] * (MOST_NEAR - len(near)))
+                rows.append(r)
             if toks:
                 data.append((np.array(rows), np.array(labels)))
-        self.weights = np.zeros((len(self.ids), N), np.float32)
-        g2, t2 = np.full_like(self.weights, 1e-4), np.full_like(self.trans, 1e-4)
+        own_of, near_of = np.array(own_of, np.int32).reshape(-1, MOST_OWN), np.array(near_of, np.int32).reshape(-1, MOST_NEAR)
+        own, near = np.zeros((len(own_ids), N), np.float32), np.zeros((len(near_ids), len(NEIGHBOURS) * N), np.float32)
+        sums = np.full_like(own, 1e-4), np.full_like(near, 1e-4), np.full_like(self.trans, 1e-4)
         data.sort(key=lambda d: len(d[1]))
         rng = np.random.default_rng(seed)
-        batches = [data[i : i + 48] for i in range(0, len(data), 48)]
-        flat = []
-        for batch in batches:
-            n = np.array([len(y) for _, y in batch])
-            width = int(n.max())
-            y = np.zeros((len(batch), width), int)
-            for k, (_, labels) in enumerate(batch):
-                y[k, : n[k]] = labels
-            # Each token speaks for its neighbours: source is its row and an offset, target the place spoken for.
-            rows = np.concatenate([r for r, _ in batch])
-            at = np.concatenate([np.arange(m) for m in n])
-            ends, base = np.repeat(n, n), np.repeat(np.arange(len(batch)) * width, n)
-            source, target = [], []
-            for k, o in enumerate(OFFSETS):
-                on = (at - o >= 0) & (at - o < ends)
-                source.append(rows[on] * len(OFFSETS) + k)
-                target.append((base + at - o)[on])
-            which, source_of = np.unique(np.concatenate(source), return_inverse=True)
-            target = np.concatenate(target)
-            order = np.argsort(source_of, kind="stable")
-            runs = np.searchsorted(source_of[order], np.arange(len(which)))
-            # Features lie in order of sources; for the gradient they are put in order of features, once for all epochs.
-            some = [lists[w // len(OFFSETS)][w % len(OFFSETS)] for w in which.tolist()]
-            ids = np.array([f for fs in some for f in fs])
-            sizes = np.array([len(fs) for fs in some])
-            first = np.cumsum(sizes) - sizes
-            by_feature = np.argsort(ids, kind="stable")
-            used, feature_runs = np.unique(ids[by_feature], return_index=True)
-            ends_of = np.cumsum([0, *(len(x) for x in source)])
-            spans = list(zip(ends_of[:-1].tolist(), ends_of[1:].tolist(), strict=True))
-            flat.append((n, y, ids, first, source_of, target, spans, target[order], runs, np.repeat(np.arange(len(which)), sizes)[by_feature], used, feature_runs))
+        batches = [_Batch(data[i : i + 48], own_of, near_of) for i in range(0, len(data), 48)]
         for _ in range(epochs):
-            for b in rng.permutation(len(flat)):
-                self._step(*flat[b], g2, t2, rate, l2)
-
-    def _step(self, n: np.ndarray, y: np.ndarray, ids: np.ndarray, first: np.ndarray, source_of: np.ndarray, target: np.ndarray, spans: list[tuple[int, int]], targets: np.ndarray, runs: np.ndarray, sources: np.ndarray, used: np.ndarray, feature_runs: np.ndarray, g2: np.ndarray, t2: np.ndarray, rate: float, l2: float) -> None:
-        """One gradient step on a batch: features ``ids`` by source (starting at ``first``), targets by offset (``spans``) and by source (``targets`` start at ``runs``), sources by feature (``used`` start at ``feature_runs``)."""
-        b, t = y.shape
-        u = np.zeros((b * t, N), np.float32)
-        said = np.add.reduceat(self.weights[ids], first, axis=0)
-        for i, j in spans:
-            u[target[i:j]] += said[source_of[i:j]]
-        u = u.reshape(b, t, N)
+            for b in rng.permutation(len(batches)):
+                self._step(batches[b], own, near, *sums, rate, l2)
+        keys = [*((0, f) for f in own_ids if f), *((o, f) for f in near_ids if f for o in NEIGHBOURS)]
+        self.ids = {k: i for i, k in enumerate(keys)}
+        self.weights = np.concatenate([own[1:], near[1:].reshape(-1, N)])
+
+    def _step(self, batch: _Batch, own: np.ndarray, near: np.ndarray, own2: np.ndarray, near2: np.ndarray, t2: np.ndarray, rate: float, l2: float) -> None:
+        """One gradient step on a batch, on weights ``own`` and ``near``; the others are sums of squared gradients."""
+        b, t, starts = batch.size, batch.width, batch.starts
+        near_n = near.shape[1]
+        said = np.zeros((batch.rows + 1, near_n + N), np.float32)  # the last row is that of places past a text's end
+        said[:-1, :near_n] = _summed(near, batch.near)
+        said[:-1, near_n:] = _summed(own, batch.own)
+        said = said.take(batch.places, axis=0).reshape(t, b, len(OFFSETS), N)
+        u = np.zeros((t, b, N), np.float32)
+        for o in OFFSETS:  # the token at t + o speaks for t
+            u[max(0, -o) : max(0, t - o)] += said[max(0, o) : max(0, t + o), :, _PLACE[o]]
         # Forward and backward sums as probabilities, scaled at every token, so that a step along the chain is one product of matrices.
         step = np.exp(self.trans + _ALLOWED).astype(np.float32)
-        inside = np.arange(t)[None] < n[:, None]
         at = np.exp(u - u.max(axis=2, keepdims=True)) + _TINY
-        fwd, back = np.empty_like(at), np.ones_like(at)
-        fwd[:, 0] = at[:, 0] * np.exp(_START)
-        for i in range(t):
-            if i:
-                fwd[:, i] = (fwd[:, i - 1] @ step) * at[:, i]
-            fwd[:, i] /= fwd[:, i].sum(axis=1, keepdims=True)
+        fwd, back = np.ones_like(at), np.ones_like(at)
+        fwd[0] = at[0] * np.exp(_START)
+        fwd[0] /= fwd[0].sum(axis=1, keepdims=True)
+        for i in range(1, t):
+            k = starts[i]
+            x = fwd[i - 1, k:] @ step
+            x *= at[i, k:]
+            np.divide(x, np.add.reduce(x, axis=1, keepdims=True), out=fwd[i, k:])
         for i in range(t - 2, -1, -1):
-            x = (at[:, i + 1] * back[:, i + 1]) @ step.T
-            back[:, i] = np.where((i + 1 < n)[:, None], x / x.sum(axis=1, keepdims=True), 1)
-        p = fwd * back
-        p /= p.sum(axis=2, keepdims=True)
-        delta = -p
-        rows = np.arange(b)[:, None], np.arange(t)[None]
-        delta[rows[0], rows[1], y] += 1
-        delta[~inside] = 0
-        by_source = np.add.reduceat(delta.reshape(b * t, N)[targets], runs, axis=0)
-        g = np.add.reduceat(by_source[sources], feature_runs, axis=0) / b - l2 * self.weights[used]
-        g2[used] += g * g
-        self.weights[used] += rate * g / np.sqrt(g2[used])
+            k = starts[i + 1]
+            x = (at[i + 1, k:] * back[i + 1, k:]) @ step.T
+            np.divide(x, np.add.reduce(x, axis=1, keepdims=True), out=back[i, k:])
+        delta = fwd * back
+        delta /= delta.sum(axis=2, keepdims=True)
+        np.negative(delta, out=delta)
+        delta = delta.reshape(t * b, N)
+        delta[batch.inside, batch.labels] += 1
+        delta[batch.outside] = 0
+        delta = delta.reshape(t, b, N)
+        heard = np.zeros((t, b, len(OFFSETS), N), np.float32)
+        for o in OFFSETS:
+            heard[max(0, o) : max(0, t + o), :, _PLACE[o]] = delta[max(0, -o) : max(0, t - o)]
+        by_row = batch.by_row(heard.reshape(t * b, -1))
+        _moved(near, near2, by_row[:, :near_n].copy(), batch.near_use, b, rate, l2)
+        _moved(own, own2, by_row[:, near_n:].copy(), batch.own_use, b, rate, l2)
         tg = np.zeros_like(self.trans)
-        on = np.arange(1, t)[None] < n[:, None]
-        if on.any():
-            behind, ahead = fwd[:, :-1][on], (at * back)[:, 1:][on]
+        if len(batch.behind):
+            behind, ahead = fwd.reshape(t * b, N).take(batch.behind, axis=0), (at * back).reshape(t * b, N).take(batch.ahead, axis=0)
             z = ((behind @ step) * ahead).sum(axis=1, keepdims=True)
             tg -= ((behind / z).T @ ahead) * step
-            np.add.at(tg, (y[:, :-1][on], y[:, 1:][on]), 1)
+            np.add.at(tg.reshape(-1), batch.steps, 1)
         tg /= b
         t2 += tg * tg
         self.trans += (rate * tg / np.sqrt(t2)).astype(np.float32)
 
     # -- use -------------------------------------------------------------------
 
+    def _rare_parts(self, word: str) -> tuple[tuple[str, ...], tuple[set[str], ...]]:
+        """The rare parts of a word that links join if equal, and the forms of those that links join if alike."""
+        if word not in self._rare:
+            if len(self._rare) > 20_000:
+                self._rare.clear()
+            parts = word.lower().split("-")
+            bare = [b for p in parts if p not in self.common and len(b := re.sub(r"['’]s?$", "", p)) >= LEAST_LETTERS and b not in self.common]
+            self._rare[word] = tuple(p for p in parts if len(p) > 3 and p not in self.common), tuple({b, *(b[:k] + b[k + 1 :] for k in range(len(b)))} for b in bare)
+        return self._rare[word]
+
     def skips(self, toks: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
         """Links between each rare word, or part of one, and its occurrence before."""
         seen: dict[str, int] = {}
         out = []
         for i, t in enumerate(toks):
             if t[3] == "word":
-                for part in t[0].lower().split("-"):
-                    if len(part) > 3 and part not in self.common:
-                        j = seen.get(part)
-                        if j is not None and j != i:
-                            out.append((j, i))
-                        seen[part] = i
+                for part in self._rare_parts(t[0])[0]:
+                    j = seen.get(part)
+                    if j is not None and j != i:
+                        out.append((j, i))
+                    seen[part] = i
         return out
 
     def similar(self, toks: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
@@ -375,17 +502,12 @@ class Field:
         seen: dict[str, int] = {}
         out = []
         for i, t in enumerate(toks):
-            if t[3] != "word":
-                continue
-            for part in t[0].lower().split("-"):
-                bare = re.sub(r"['’]s?$", "", part)
-                if len(bare) < LEAST_LETTERS or part in self.common or bare in self.common:
-                    continue
-                forms = {bare, *(bare[:k] + bare[k + 1 :] for k in range(len(bare)))}
-                near = [seen[f] for f in forms if f in seen]
-                if near and (j := max(near)) != i and toks[j][0].lower() != t[0].lower():
-                    out.append((j, i))
-                seen.update(dict.fromkeys(forms, i))
+            if t[3] == "word":
+                for forms in self._rare_parts(t[0])[1]:
+                    near = [seen[f] for f in forms if f in seen]
+                    if near and (j := max(near)) != i and toks[j][0].lower() != t[0].lower():
+                        out.append((j, i))
+                    seen.update(dict.fromkeys(forms, i))
         return out
 
     def tune(self, texts: list[list[tuple[str, str | None]]]) -> None:
@@ -394,7 +516,7 @@ class Field:
         made = [(toks, y, case) for (toks, y), case in made if toks]
         links, near = [self.skips(t) for t, _, _ in made], [self.similar(t) for t, _, _ in made]
         keep = [i for i in range(len(made)) if links[i] or near[i]]
-        us = [self.unaries(made[i][0], made[i][2]) for i in keep]
+        us = self.unaries_of([(made[i][0], made[i][2]) for i in keep])
 
         def right(skip: float, similar: float) -> int:
             self.skip, self.skip_similar = skip, similar
@@ -408,12 +530,12 @@ class Field:
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of each occurrence in each text, in order."""
         toks = [tokens(t) for t in texts]
-        us = [self.unaries(k, case_of(t)) if k else np.zeros((0, N), np.float32) for k, t in zip(toks, texts, strict=True)]
+        us = self.unaries_of([(k, case_of(t)) for k, t in zip(toks, texts, strict=True)])
         labels = self.label(us, [self.skips(k) for k in toks], [self.similar(k) for k in toks])
         out = []
         for some, y in zip(toks, labels, strict=True):
             found: list[list] = []
-            for t, lab in zip(some, y, strict=True):
+            for t, lab in zip(some, y.tolist(), strict=True):
                 if LABELS[lab][0] == "B":
                     found.append([KIND_OF[lab], t[1], t[2]])
                 elif lab:

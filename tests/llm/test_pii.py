@@ -1,6 +1,9 @@
 import copy
-from collections import Counter
+import cProfile
+import itertools
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quernel.llm import pii as P
@@ -193,3 +196,81 @@ def test_parts_are_averaged(spark):
     maker = Maker(41)
     a, b = (scores(f, [m for m in (maker.text(ORDINARY) for _ in range(200))]) for f in (one, many))
     assert min(*a, *b) > 0.9
+
+
+def calls(run, *args):
+    profile = cProfile.Profile()
+    profile.runcall(run, *args)
+    return sum(x.callcount for x in profile.getstats())
+
+
+def test_few_calls_for_each_text(field):
+    """Training and finding cost CPU seconds by the calls they make for each text, whatever the machine."""
+    maker = Maker(61)
+    made = [maker.text(ORDINARY) for _ in range(600)]
+    texts = ["".join(t for t, _ in p) for p in made]
+    P.shape.cache_clear()
+    train, find = calls(P.Field(field.common).train, made), calls(copy.deepcopy(field).find, texts)
+    print("calls for a text: training", train / len(made), "finding", find / len(texts))
+    assert train < 550 * len(made) and find < 450 * len(texts)
+
+
+def slow_weights(common, made, epochs, rate=0.25, l2=2e-6):
+    """What ``train`` learns from one batch of short texts, by way of all their labellings."""
+    w, g2 = defaultdict(lambda: np.zeros(P.N)), defaultdict(lambda: np.full(P.N, 1e-4))
+    trans, t2 = np.zeros((P.N, P.N)), np.full((P.N, P.N), 1e-4)
+    for _ in range(epochs):
+        g, tg = defaultdict(lambda: np.zeros(P.N)), np.zeros((P.N, P.N))
+        for pieces in made:
+            toks, y = P.labelled(pieces)
+            case, n = P.case_of("".join(t for t, _ in pieces)), len(toks)
+            said = [(j - o, (o, f)) for j, t in enumerate(toks) for o in P.OFFSETS if 0 <= j - o < n for f in P.features(t[0], t[3], case, common)[o != 0]]
+            u = np.zeros((n, P.N))
+            for at, k in said:
+                u[at] += w[k]
+            ways = np.array(list(itertools.product(range(P.N), repeat=n)))
+            score = P._START[ways[:, 0]] + sum(u[i, ways[:, i]] for i in range(n)) + sum((trans + P._ALLOWED)[ways[:, i], ways[:, i + 1]] for i in range(n - 1))
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            delta = np.array([np.eye(P.N)[y[i]] - np.bincount(ways[:, i], p, P.N) for i in range(n)])
+            for at, k in said:
+                g[k] += delta[at]
+            for i in range(n - 1):
+                tg[y[i], y[i + 1]] += 1
+                np.add.at(tg, (ways[:, i], ways[:, i + 1]), -p)
+        for k, x in g.items():
+            x = x / len(made) - l2 * w[k]
+            g2[k] += x * x
+            w[k] = w[k] + rate * x / np.sqrt(g2[k])
+        tg /= len(made)
+        t2 += tg * tg
+        trans = trans + rate * tg / np.sqrt(t2)
+    return w, trans
+
+
+def test_weights_are_those_of_all_labellings():
+    name, mail = ("Belina Vorstad", "name"), ("b.v@example.org", "email")
+    made = [[("to ", None), mail]] * 9 + [[name], [name, (" to", None)], [("AG ", None), name], [("see 44 ", None), ("Ltd", None)], [("to", None)], [("!", None)]]
+    field = P.Field({"to", "see"})
+    field.train(made, 3)
+    w, trans = slow_weights(field.common, made, 3)
+    assert set(w) <= set(field.ids) and np.abs(field.trans - trans).max() < 1e-3
+    for k, i in field.ids.items():
+        assert np.abs(field.weights[i] - w[k]).max() < 1e-3, k
+
+
+def test_words_told_first_are_words():
+    """Words before signs and words that begin tokens of other types."""
+    kinds = lambda s: [(t, k) for t, _, _, k in P.tokens(s)]
+    assert kinds("Write to ab at x dot org, now") == [("Write", "word"), ("to", "word"), ("ab at x dot org", "mail"), (",", "sign"), ("now", "word")]
+    assert kinds("AB 12 34 56 C") == [("AB 12 34 56 C", "nino")] and kinds("ab [at] x.org") == [("ab [at] x.org", "mail")]
+    assert kinds("mailto:ab@x.org") == [("mailto:ab@x.org", "mail")] and kinds("a.b c-d e'f g.") == [("a.b", "code"), ("c-d", "word"), ("e'f", "word"), ("g", "word"), (".", "sign")]
+
+
+def test_texts_put_together_say_the_same(field, monkeypatch):
+    maker = Maker(62)
+    some = [(P.tokens(t), P.case_of(t)) for t in ["", "to", "to see", *("".join(x for x, _ in maker.text(ORDINARY)) for _ in range(50)), ""]]
+    alone = [field.unaries(*x) for x in some]
+    monkeypatch.setattr(P, "TOKENS_AT_ONCE", 100)
+    for a, b in zip(alone, field.unaries_of(some), strict=True):
+        assert a.shape == b.shape and (a == b).all()
